@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallylog.llm.common import read
 from tallylog.llm.simhash import simhash_groups
+from tallylog.llm.token_blocks import store_ids
+from tallylog.llm.token_counts import token_counts
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_ids(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +28,8 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_context_mixing": op3_context_mixing,
+    "op8_token_counts": op8_token_counts,
     "op9_simhash_trie": op9_simhash_trie,
 }
 ORACLE_SQL: dict[str, str] = {}
