@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallylog.llm.common import read
+from tallylog.llm.langid import languages
+from tallylog.llm.mixing import mix_report
 from tallylog.llm.simhash import simhash_groups
 from tallylog.llm.token_blocks import store_ids
 from tallylog.llm.token_counts import token_counts
@@ -19,6 +21,14 @@ def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_ids(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(read(spark, sf_dir, "documents"))
+
+
+def op7_string_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -29,6 +39,8 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_context_mixing": op3_context_mixing,
+    "op4_entropy_balancing": op4_entropy_balancing,
+    "op7_string_kernels": op7_string_kernels,
     "op8_token_counts": op8_token_counts,
     "op9_simhash_trie": op9_simhash_trie,
 }
