@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallylog.llm.common import read
+from tallylog.llm.decontam import leaks
 from tallylog.llm.langid import languages
 from tallylog.llm.mixing import mix_report
 from tallylog.llm.simhash import simhash_groups
 from tallylog.llm.token_blocks import store_ids
 from tallylog.llm.token_counts import token_counts
+from tallylog.llm.warc import archive_report
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -25,6 +27,14 @@ def op4_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read(spark, sf_dir, "documents"))
 
 
+def op5_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(read(spark, sf_dir, "pages"))
+
+
 def op7_string_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(read(spark, sf_dir, "documents"))
 
@@ -40,8 +50,21 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_context_mixing": op3_context_mixing,
     "op4_entropy_balancing": op4_entropy_balancing,
+    "op5_latent_leaks": op5_latent_leaks,
+    "op6_warc_salvage": op6_warc_salvage,
     "op7_string_kernels": op7_string_kernels,
     "op8_token_counts": op8_token_counts,
     "op9_simhash_trie": op9_simhash_trie,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_salvage": """
+        WITH p AS (
+            SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(strlen(html), 0) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM f""",
+}
