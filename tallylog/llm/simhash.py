@@ -36,7 +36,7 @@ NODE_ROWS = 1 << 17
 #: pairs of nodes, or of leaves, that are looked at together
 CHUNK = 1 << 20
 #: below this many leaf pairs a node pair is compared leaf by leaf
-DIRECT = 16
+DIRECT = 32
 _ONE = np.uint64(1)
 
 
@@ -100,8 +100,8 @@ class Trie:
             first = np.searchsorted(below, own)
             count = np.diff(np.append(first, len(below)))
             bit = (self.values[own] >> np.uint64(BITS - 1 - level)) & _ONE
-            zero = np.where(bit == 0, first, -1)
-            one = np.where(bit == 1, first, np.where(count == 2, first + 1, -1))
+            zero = np.where(bit == 0, first, -1).astype(np.int32)
+            one = np.where(bit == 1, first, np.where(count == 2, first + 1, -1)).astype(np.int32)
             self._levels[level] = at = (at[0], zero, one)
         return at[1], at[2]
 
@@ -137,7 +137,7 @@ def trie_join(left: np.ndarray, right: np.ndarray | None, level: int, apart: int
     one, two = Trie(left), Trie(left if own else right)
     if own:
         two = one
-    zero = np.zeros(1, np.int64)
+    zero = np.zeros(1, np.int32)
     todo = [(level, zero, zero, np.full(1, apart, np.int8))]
     while todo:
         d, x, y, diff = todo.pop()
@@ -158,12 +158,11 @@ def trie_join(left: np.ndarray, right: np.ndarray | None, level: int, apart: int
         cross = diff < budget
         # a node with itself: its two children meet once only
         once = cross & ~(own & (x == y)) if own else cross
-        for a, b, more, ok in ((x0, y0, 0, None), (x1, y1, 0, None), (x0, y1, 1, cross), (x1, y0, 1, once)):
-            keep = (a >= 0) & (b >= 0)
-            if ok is not None:
-                keep &= ok
-            if keep.any():
-                todo.append((d + 1, a[keep], b[keep], diff[keep] + np.int8(more)))
+        below = []
+        for a, b, more, ok in ((x0, y0, 0, True), (x1, y1, 0, True), (x0, y1, 1, cross), (x1, y0, 1, once)):
+            keep = np.flatnonzero((a >= 0) & (b >= 0) & ok)
+            below.append((a[keep], b[keep], diff[keep] + np.int8(more)))
+        todo.append((d + 1, *map(np.concatenate, zip(*below, strict=True))))
 
 
 def _leaves(a: np.ndarray, b: np.ndarray, lo_a: np.ndarray, n_a: np.ndarray, lo_b: np.ndarray, n_b: np.ndarray, budget: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
