@@ -34,7 +34,7 @@ SEED = 42
 #: distinct fingerprints that one prefix should hold at most, which bounds a task's memory
 NODE_ROWS = 1 << 17
 #: pairs of nodes, or of leaves, that are looked at together
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: below this many leaf pairs a node pair is compared leaf by leaf
 DIRECT = 32
 _ONE = np.uint64(1)
