@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tallylog.llm.audio import media_report
 from tallylog.llm.common import read
 from tallylog.llm.decontam import leaks
 from tallylog.llm.langid import languages
@@ -19,6 +20,10 @@ from tallylog.llm.warc import archive_report
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_report(read(spark, sf_dir, "documents"))
+
+
 def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_ids(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -48,6 +53,7 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_audio_features": op2_audio_features,
     "op3_context_mixing": op3_context_mixing,
     "op4_entropy_balancing": op4_entropy_balancing,
     "op5_latent_leaks": op5_latent_leaks,
