@@ -11,6 +11,7 @@ from tallylog.llm.audio import media_report
 from tallylog.llm.common import read
 from tallylog.llm.decontam import leaks
 from tallylog.llm.langid import languages
+from tallylog.llm.licenses import license_scan
 from tallylog.llm.mixing import mix_report
 from tallylog.llm.simhash import simhash_groups
 from tallylog.llm.token_blocks import store_ids
@@ -52,6 +53,10 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
 
 
+def op10_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_audio_features": op2_audio_features,
     "op3_context_mixing": op3_context_mixing,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_string_kernels": op7_string_kernels,
     "op8_token_counts": op8_token_counts,
     "op9_simhash_trie": op9_simhash_trie,
+    "op10_license_paragraphs": op10_license_paragraphs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_warc_salvage": """
