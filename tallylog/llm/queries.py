@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallylog.llm.audio import media_report
 from tallylog.llm.common import read
@@ -13,6 +14,7 @@ from tallylog.llm.decontam import leaks
 from tallylog.llm.langid import languages
 from tallylog.llm.licenses import license_scan
 from tallylog.llm.mixing import mix_report
+from tallylog.llm.quotes import conversations
 from tallylog.llm.simhash import simhash_groups
 from tallylog.llm.token_blocks import store_ids
 from tallylog.llm.token_counts import token_counts
@@ -21,6 +23,11 @@ from tallylog.llm.warc import archive_report
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversations(read(spark, sf_dir, "conversations"))
+    return found.withColumn("body_chars", F.length("body")).withColumn("body", F.sha2("body", 256))
+
+
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(read(spark, sf_dir, "documents"))
 
@@ -58,6 +65,7 @@ def op10_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quotation_links": op1_quotation_links,
     "op2_audio_features": op2_audio_features,
     "op3_context_mixing": op3_context_mixing,
     "op4_entropy_balancing": op4_entropy_balancing,
