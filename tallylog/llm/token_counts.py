@@ -89,7 +89,7 @@ def count_long(text: bytes, bpe: BpeMachine, size: int = CHUNK_BYTES) -> int:
     """Tokens of one text, chunk by chunk."""
     if not bpe.is_own(text):
         return int(bpe.count([text])[0])
-    whole = prefix_scan(chunk_maps([text[k : k + size] for k in range(0, len(text), size)], bpe), bpe)[-1]
+    whole = prefix_scan(chunk_maps([text[k : k + size] for k in range(0, max(1, len(text)), size)], bpe), bpe)[-1]
     ends = [b"".join(whole.head), *([b"".join(whole.tail)] if whole.resets else [])]
     return whole.count + int(bpe.count(ends).sum())
 
