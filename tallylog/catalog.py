@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylog.functions import display
-from tallylog.operators import builtin_rules, exporting, filters, paging, stats
+from tallylog.operators import builtin_rules, exporting, filters, paging, reconstruct, stats
 from tallylog.operators.filters import Always, And, Cond, Expr, LogFilter, Not, Or
 from tallylog.plans import demo_logs
+from tallylog.sources import formats, lines, parse
 
 KEY = ("job_id", "source_id", "line_number")
 _WITH = f"WITH logs AS ({demo_logs.LOGS_SQL}), jobs AS ({demo_logs.JOBS_SQL}), sources AS ({demo_logs.SOURCES_SQL}), bookmarks AS ({demo_logs.BOOKMARKS_SQL}) "
@@ -185,3 +186,77 @@ _CELLS = [
     for c in (*exporting.COLUMNS, "extra_json")
 ]
 add("export_csv_lines", lambda t: exporting.csv_lines(kept(t, LogFilter(active_only=True))).select("source_id", "line_number", "line"), f"SELECT source_id, line_number, concat_ws(',', {', '.join(_CELLS)}) AS line FROM logs WHERE job_id IN (SELECT job_id FROM jobs WHERE active)")
+
+# --- parsing: lines are built from the demo rows, parsed back, and compared with the rows ---
+
+_WHOLE = "client_ip IS NOT NULL AND method IS NOT NULL AND status IS NOT NULL AND bytes_sent IS NOT NULL AND timestamp_utc IS NOT NULL"
+_CLF = F.date_format("timestamp_utc", "dd/MMM/yyyy:HH:mm:ss")
+_CLF_SQL = "strftime(timestamp_utc, '%d/%b/%Y:%H:%M:%S')"
+_SECOND = "epoch_us(date_trunc('second', timestamp_utc))"
+#: by line number modulo 10: what is spoiled in a line, and the error that it gives
+_SPOILED = {1: ("invalid_ip", "client_ip"), 2: ("invalid_status", "status"), 3: ("invalid_timestamp", "timestamp"), 4: ("no_match", None), 5: ("invalid_integer", "bytes_sent")}
+
+
+def common_lines(logs: DataFrame, spoil: bool = False) -> DataFrame:
+    turn = F.col("line_number") % 10
+    pick = lambda k, bad, good: F.when(turn == k, bad).otherwise(good) if spoil else good
+    line = F.concat(
+        pick(1, F.lit("300.1.1.1"), F.col("client_ip")), F.lit(" - - ["), pick(3, F.lit("31/Feb/2024:00:00:00"), _CLF), F.lit(' +0000] "'), F.concat_ws(" ", "method", "request_target", "protocol"), F.lit('" '),
+        pick(2, F.lit("999"), F.col("status").cast("string")), F.lit(" "), pick(5, F.lit("1x"), F.col("bytes_sent").cast("string")), pick(4, F.lit(" more"), F.lit("")),
+    )
+    return logs.where(_WHOLE).select("source_id", "line_number", line.alias("value"))
+
+
+def combined_lines(logs: DataFrame) -> DataFrame:
+    tail = F.concat(F.lit(' "'), F.coalesce("referrer", F.lit("-")), F.lit('" "'), F.coalesce("user_agent", F.lit("-")), F.lit('"'))
+    agents = logs.select(F.col("source_id").alias("_s"), F.col("line_number").alias("_l"), tail.alias("_tail"))
+    own = common_lines(logs)
+    return own.join(agents, (own["source_id"] == agents["_s"]) & (own["line_number"] == agents["_l"])).select("source_id", "line_number", F.concat("value", "_tail").alias("value"))
+
+
+def w3c_lines(logs: DataFrame) -> DataFrame:
+    """Each source's rows as W3C lines below a header at line 0; it changes its columns once."""
+    rows = logs.where(_WHOLE)
+    late = F.col("line_number") > 500
+    first = F.concat_ws(" ", F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss"), "client_ip", "method", "request_target", "status")
+    second = F.concat_ws(" ", F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss"), "client_ip", "request_target", "bytes_sent")
+    body = rows.where("line_number <> 500").select("source_id", "line_number", F.when(late, second).otherwise(first).alias("value"))
+    heads = logs.sparkSession.createDataFrame([(s, n, v) for s in (1, 2) for n, v in ((0, "#Fields: date time c-ip cs-method cs-uri-stem sc-status"), (500, "#Fields: date time c-ip cs-uri-stem sc-bytes"))], "source_id long, line_number long, value string")
+    return body.unionByName(heads)
+
+
+def _parsed(t: DataFrame, name: str) -> DataFrame:
+    found = parse.records(parse.parse(t, formats.preset(name)))
+    return found.withColumn("micros", F.unix_micros("timestamp_utc")).drop("timestamp_utc")
+
+
+_COLUMNS = "source_id, line_number, tz_offset_seconds, client_ip, method, request_target, protocol, status, bytes_sent"
+_NAMES = _COLUMNS.split(", ")
+add("parse_common", lambda t: _parsed(common_lines(t["logs"]), "common").select(*_NAMES, "micros"), f"SELECT {_COLUMNS}, {_SECOND} AS micros FROM logs WHERE {_WHOLE}")
+add("parse_combined_roundtrip", lambda t: _parsed(combined_lines(t["logs"]), "combined").select(*_NAMES, "micros", "referrer", "user_agent", "extra_json"), f"SELECT {_COLUMNS}, {_SECOND} AS micros, referrer, user_agent, CAST(NULL AS VARCHAR) AS extra_json FROM logs WHERE {_WHOLE}")
+add(
+    "parse_errors_by_code",
+    lambda t: parse.parse(common_lines(t["logs"], True), formats.preset("common")).groupBy("kind", "code", "field").agg(F.count("*").alias("n")),
+    "SELECT CASE WHEN k BETWEEN 1 AND 5 THEN 'error' ELSE 'record' END AS kind, CASE k "
+    + " ".join(f"WHEN {k} THEN '{c}'" for k, (c, _) in _SPOILED.items()) + " END AS code, CASE k " + " ".join(f"WHEN {k} THEN '{f}'" for k, (_, f) in _SPOILED.items() if f)
+    + f" END AS field, count(*) AS n FROM (SELECT line_number % 10 AS k FROM logs WHERE {_WHOLE}) GROUP BY 1, 2, 3",
+)
+add("match_rate", lambda t: parse.match_rate(parse.parse(common_lines(t["logs"], True), formats.preset("common"))), f"SELECT source_id, count(*) FILTER (line_number % 10 NOT BETWEEN 1 AND 5) AS records, count(*) FILTER (line_number % 10 BETWEEN 1 AND 5) AS errors, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (line_number % 10 NOT BETWEEN 1 AND 5) / CAST(count(*) AS DOUBLE) AS match_rate FROM logs WHERE {_WHOLE} GROUP BY source_id")
+add("detect_best_profile", lambda t: lines.detect(combined_lines(t["logs"]), rows=10**9).select("source_id", "candidate", "records"), f"SELECT source_id, 'combined' AS candidate, count(*) AS records FROM logs WHERE {_WHOLE} GROUP BY source_id")
+add(
+    "parse_w3c_ffill",
+    lambda t: _parsed(w3c_lines(t["logs"]), "w3c").select("source_id", "line_number", "client_ip", "method", "request_target", "status", "bytes_sent", "micros"),
+    f"SELECT source_id, line_number, client_ip, CASE WHEN line_number < 500 THEN method END AS method, request_target, CASE WHEN line_number < 500 THEN status END AS status, CASE WHEN line_number > 500 THEN bytes_sent END AS bytes_sent, {_SECOND} AS micros FROM logs WHERE {_WHOLE} AND line_number <> 500",
+)
+add("parse_request_line", lambda t: kept(t, ALL).select(*KEY, *[c.alias(n) for c, n in zip(parse.request_parts(F.concat_ws(" ", "method", "request_target", "protocol")), ("m", "t", "p"), strict=True)]), f"SELECT {', '.join(KEY)}, method AS m, request_target AS t, protocol AS p {_A}")
+add("parse_tz_policy", lambda t: t["logs"].where("timestamp_utc is not null").select(*KEY, parse.timestamp(_CLF, {"kind": "clf"}, {"kind": "fixed", "offset_seconds": 32_400})[0].alias("micros")), f"SELECT {', '.join(KEY)}, {_SECOND} - 32400000000 AS micros FROM logs WHERE timestamp_utc IS NOT NULL")
+_DASH = lambda c: f"coalesce(CAST({c} AS VARCHAR), '-')"
+add(
+    "reconstruct_combined",
+    lambda t: t["logs"].where("job_id < 3").select(*KEY, reconstruct.combined_like().alias("text")),
+    f"SELECT {', '.join(KEY)}, {_DASH('client_ip')} || ' - - [' || coalesce({_CLF_SQL} || ' +0000', '-') || '] \"' || {_DASH('method')} || ' ' || {_DASH('request_target')} || ' ' || {_DASH('protocol')} || '\" ' || {_DASH('status')} || ' ' || {_DASH('bytes_sent')} || ' \"' || {_DASH('referrer')} || '\" \"' || {_DASH('user_agent')} || '\"' AS text FROM logs WHERE job_id < 3",
+)
+add("job_counters", lambda t: t["logs"].groupBy("job_id", "batch_id").agg(F.count("*").alias("records")).groupBy("job_id").agg(F.count("*").alias("batches"), F.sum("records").alias("records")), "SELECT job_id, count(DISTINCT batch_id) AS batches, count(*) AS records FROM logs GROUP BY job_id")
+add("export_json_lines", lambda t: exporting.json_lines(kept(t, ERRORS)).select("source_id", "line_number", F.get_json_object("line", "$.extra.message").alias("message"), F.get_json_object("line", "$.timestamp_utc").alias("time"), F.get_json_object("line", "$.method").alias("method")), f"SELECT source_id, line_number, {_MESSAGE} AS message, nullif({_ISO}, '') AS time, method {_E}")
+add("url_decoded", lambda t: kept(t, ALL).select(*KEY, display.url_decoded(F.col("request_target")).alias("text")), f"SELECT {', '.join(KEY)}, replace(replace(request_target, '%27', ''''), '%20', ' ') AS text {_A}")
+add("iso_and_offset", lambda t: t["logs"].select(*KEY, display.iso_utc(F.col("timestamp_utc")).alias("iso"), display.offset_text(F.col("tz_offset_seconds") - 19_800).alias("zone"), display.bytes_text(F.col("bytes_sent")).alias("size")).where("size is null or size like '% B'").drop("size"), f"SELECT {', '.join(KEY)}, {_ISO} AS iso, CASE WHEN tz_offset_seconds IS NOT NULL THEN '-05:30' END AS zone FROM logs WHERE bytes_sent IS NULL OR bytes_sent < 1024")
