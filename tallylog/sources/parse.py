@@ -179,23 +179,35 @@ def parse(lines: DataFrame, profile: dict, limit: int = LINE_BYTES) -> DataFrame
     """``lines`` (source_id, line_number, value) as (source_id, line_number, kind, record, code, field, reason)."""
     ready = _prepared(lines, limit)
     ready = _w3c(ready, profile) if profile["strategy"]["kind"] == "w3c" else _blocks(ready, profile)
-    skipped = F.when(F.col("_bad").isNull(), F.col("_reason"))
-    error = F.coalesce("_bad", F.when(skipped.isNull(), F.col("_error")))
+    ready = _settled(ready, _found=F.struct("_bad", F.col("_reason").alias("reason"), F.col("_error").alias("error"), F.col("_record").alias("record")))
+    skipped = F.when(F.col("_found._bad").isNull(), F.col("_found.reason"))
+    error = F.coalesce("_found._bad", F.when(skipped.isNull(), F.col("_found.error")))
     return ready.select(
         "source_id", "line_number", F.when(error.isNotNull(), "error").when(skipped.isNotNull(), "skipped").otherwise("record").alias("kind"),
-        F.when(error.isNull() & skipped.isNull(), F.col("_record")).alias("record"), error["code"].alias("code"), error["field"].alias("field"), skipped.alias("reason"),
+        F.when(error.isNull() & skipped.isNull(), F.col("_found.record")).alias("record"), error["code"].alias("code"), error["field"].alias("field"), skipped.alias("reason"),
     )
 
 
+def _settled(frame: DataFrame, **columns: Column) -> DataFrame:
+    """``frame`` with columns that stay what they are.
+
+    The optimizer replaces a column by its expression in filters above it, once for each
+    mention; it doesn't look through a generator, here of one row a row.
+    """
+    for name, value in columns.items():
+        frame = frame.select("*", F.explode(F.array(value)).alias(name))
+    return frame
+
+
 def _blocks(ready: DataFrame, profile: dict) -> DataFrame:
     made = compile_blocks(profile)
     text = F.col("_text")
     shape = _BREAK.join(f"${k}" for k in range(1, made.groups + 1)) + _BREAK
-    ready = ready.withColumn("_groups", F.regexp_replace(text, made.pattern, shape))
+    ready = _settled(ready, _groups=F.regexp_replace(text, made.pattern, shape))
     # a text with the separator in it, which logs hardly have, is taken apart group by group
     slow = F.when(text.rlike(made.pattern), F.array(*[F.regexp_extract(text, made.pattern, k) for k in range(1, made.groups + 1)]))
     parts = F.when(text.contains(_BREAK), slow).when(F.col("_groups").endswith(_BREAK), F.split("_groups", _BREAK))
-    ready = ready.withColumn("_parts", parts)
+    ready = _settled(ready, _parts=parts)
     record, extra, errors = _fields(F.col("_parts"), made.fields, profile["timezone"])
     for name, group, within in made.extras:
         value = F.nullif(F.get("_parts", F.lit(group - 1)), F.lit(""))
@@ -230,9 +242,9 @@ def _w3c(ready: DataFrame, profile: dict) -> DataFrame:
     heads = heads.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("line_number", "names"))).alias("_heads"))
     ready = ready.join(heads, "source_id", "left")
     head = F.try_element_at(F.filter("_heads", lambda h: h["line_number"] < F.col("line_number")), F.lit(-1))["names"]
-    ready = ready.withColumns({"_names": head, "_tokens": F.filter(F.split(text, r"[ \t\r\n\f]+"), lambda x: x != "")})
+    ready = _settled(ready, **{"_names": head, "_tokens": F.filter(F.split(text, r"[ \t\r\n\f]+"), lambda x: x != "")})
     pairs = F.filter(F.arrays_zip(F.col("_names").alias("n"), F.col("_tokens").alias("v")), lambda p: p["v"] != "-")
-    ready = ready.withColumn("_pairs", F.when(F.size("_names") == F.size("_tokens"), F.transform(pairs, lambda p: F.struct(p["n"].alias("n"), p["v"].alias("v")))))
+    ready = _settled(ready, _pairs=F.when(F.size("_names") == F.size("_tokens"), F.transform(pairs, lambda p: F.struct(p["n"].alias("n"), p["v"].alias("v")))))
     get = lambda name: F.try_element_at(F.filter("_pairs", lambda p: p["n"] == name), F.lit(-1))["v"]
 
     def wrong(p: Column) -> Column:
