@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylog.functions import display
@@ -190,18 +190,21 @@ add("export_csv_lines", lambda t: exporting.csv_lines(kept(t, LogFilter(active_o
 # --- parsing: lines are built from the demo rows, parsed back, and compared with the rows ---
 
 _WHOLE = "client_ip IS NOT NULL AND method IS NOT NULL AND status IS NOT NULL AND bytes_sent IS NOT NULL AND timestamp_utc IS NOT NULL"
-_CLF = F.date_format("timestamp_utc", "dd/MMM/yyyy:HH:mm:ss")
 _CLF_SQL = "strftime(timestamp_utc, '%d/%b/%Y:%H:%M:%S')"
 _SECOND = "epoch_us(date_trunc('second', timestamp_utc))"
 #: by line number modulo 10: what is spoiled in a line, and the error that it gives
 _SPOILED = {1: ("invalid_ip", "client_ip"), 2: ("invalid_status", "status"), 3: ("invalid_timestamp", "timestamp"), 4: ("no_match", None), 5: ("invalid_integer", "bytes_sent")}
 
 
+def clf_time() -> Column:
+    return F.date_format("timestamp_utc", "dd/MMM/yyyy:HH:mm:ss")
+
+
 def common_lines(logs: DataFrame, spoil: bool = False) -> DataFrame:
     turn = F.col("line_number") % 10
     pick = lambda k, bad, good: F.when(turn == k, bad).otherwise(good) if spoil else good
     line = F.concat(
-        pick(1, F.lit("300.1.1.1"), F.col("client_ip")), F.lit(" - - ["), pick(3, F.lit("31/Feb/2024:00:00:00"), _CLF), F.lit(' +0000] "'), F.concat_ws(" ", "method", "request_target", "protocol"), F.lit('" '),
+        pick(1, F.lit("300.1.1.1"), F.col("client_ip")), F.lit(" - - ["), pick(3, F.lit("31/Feb/2024:00:00:00"), clf_time()), F.lit(' +0000] "'), F.concat_ws(" ", "method", "request_target", "protocol"), F.lit('" '),
         pick(2, F.lit("999"), F.col("status").cast("string")), F.lit(" "), pick(5, F.lit("1x"), F.col("bytes_sent").cast("string")), pick(4, F.lit(" more"), F.lit("")),
     )
     return logs.where(_WHOLE).select("source_id", "line_number", line.alias("value"))
@@ -249,7 +252,7 @@ add(
     f"SELECT source_id, line_number, client_ip, CASE WHEN line_number < 500 THEN method END AS method, request_target, CASE WHEN line_number < 500 THEN status END AS status, CASE WHEN line_number > 500 THEN bytes_sent END AS bytes_sent, {_SECOND} AS micros FROM logs WHERE {_WHOLE} AND line_number <> 500",
 )
 add("parse_request_line", lambda t: kept(t, ALL).select(*KEY, *[c.alias(n) for c, n in zip(parse.request_parts(F.concat_ws(" ", "method", "request_target", "protocol")), ("m", "t", "p"), strict=True)]), f"SELECT {', '.join(KEY)}, method AS m, request_target AS t, protocol AS p {_A}")
-add("parse_tz_policy", lambda t: t["logs"].where("timestamp_utc is not null").select(*KEY, parse.timestamp(_CLF, {"kind": "clf"}, {"kind": "fixed", "offset_seconds": 32_400})[0].alias("micros")), f"SELECT {', '.join(KEY)}, {_SECOND} - 32400000000 AS micros FROM logs WHERE timestamp_utc IS NOT NULL")
+add("parse_tz_policy", lambda t: t["logs"].where("timestamp_utc is not null").select(*KEY, parse.timestamp(clf_time(), {"kind": "clf"}, {"kind": "fixed", "offset_seconds": 32_400})[0].alias("micros")), f"SELECT {', '.join(KEY)}, {_SECOND} - 32400000000 AS micros FROM logs WHERE timestamp_utc IS NOT NULL")
 _DASH = lambda c: f"coalesce(CAST({c} AS VARCHAR), '-')"
 add(
     "reconstruct_combined",
