@@ -20,10 +20,11 @@ paragraphs; repeated rows get equal results; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylog.llm.common import materialise
@@ -109,7 +110,8 @@ class Classifier:
             for g in grams(text):
                 common[g] = common.get(g, 0) + 1
         most = max(2, len(negatives) // 200)
-        self.features = sorted({g for _, t in TEMPLATES for g in grams(t)} - {g for g, n in common.items() if n > most})
+        known = {g for _, t in TEMPLATES for g in grams(t)}
+        self.features = sorted(g for g in known if common.get(g, 0) <= most and min(common.get(w, 0) for w in g.split()) <= most)
         at = {g: k for k, g in enumerate(self.features)}
         fillers = [w for t in negatives[:200] for w in t.split()[:20]]
         rows, labels = [], []
@@ -138,8 +140,8 @@ class Classifier:
         losses = {t: -np.log(np.maximum((softmax(logits / t) * y[held]).sum(1), 1e-9)).mean() for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}
         self.temperature = min(losses, key=losses.get)
         self.bias = b
-        #: words without which no feature is in a paragraph
-        self.cues = sorted({g.split()[0] for g, row in zip(self.features, self.weights, strict=True) if row.any()})
+        #: words without which no feature is in a paragraph: of each feature, the one that ordinary text has least
+        self.cues = sorted({min(g.split(), key=lambda w: (common.get(w, 0), w)) for g, row in zip(self.features, self.weights, strict=True) if row.any()})
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -163,27 +165,44 @@ def paragraphs(text: Column) -> Column:
     return F.array_distinct(F.concat(F.split(text, "\n"), blocks))
 
 
+def bounded_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the model, read from one literal, so that no Python runs outside the driver."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(x.replace(' ', ': ') for x in schema.split(', '))}>>")))
+
+
 def scored(units: DataFrame, model: Classifier) -> DataFrame:
     """(unit, family, probability, overlap) of the different paragraphs ``unit`` that aren't ``unknown`` and are confirmed."""
-    spark = units.sparkSession
-    held = materialise(units.distinct(), "paragraphs")
-    hits = held.select("unit", F.explode(gram_array(word_array(F.col("unit")))).alias("gram"))
+    held = materialise(keyed(units).distinct(), "paragraphs")
+    return held.join(scored_keys(held, model), "paragraph").select("unit", "family", "probability", "overlap")
+
+
+def keyed(units: DataFrame) -> DataFrame:
+    """``units`` with a digest of the paragraph, so that the text itself needn't be grouped and joined by."""
+    return units.withColumn("paragraph", F.sha2("unit", 256))
+
+
+def scored_keys(held: DataFrame, model: Classifier) -> DataFrame:
+    """``scored`` for different paragraphs (paragraph, unit), named by their digests."""
+    spark = held.sparkSession
+    hits = held.select("paragraph", F.explode(gram_array(word_array(F.col("unit")))).alias("gram"))
     rows = [(g, k, float(v)) for g, row in zip(model.features, model.weights, strict=True) for k, v in enumerate(row) if v]
-    weights = spark.createDataFrame(rows, "gram string, class int, weight double")
+    weights = bounded_table(spark, rows, "gram string, class int, weight double")
     base = [(k, float(v)) for k, v in enumerate(model.bias)]
     shares = [(k, f, g, len(p)) for k, (f, t) in enumerate(TEMPLATES) for p in [pairs_of(t)] for g in p]
-    templates = spark.createDataFrame(shares, "template int, family string, gram string, size int")
+    templates = bounded_table(spark, shares, "template int, family string, gram string, size int")
     # the weights of one paragraph side by side; adding them up in fixed point keeps reruns alike
-    total = hits.join(weights, "gram").groupBy("unit", "class").agg(F.sum(F.round(F.col("weight") * 1e9).cast("long")).alias("w"))
-    wide = total.groupBy("unit").agg(*[F.coalesce(F.sum(F.when(F.col("class") == k, F.col("w"))), F.lit(0)).alias(f"w{k}") for k, _ in base])
+    total = hits.join(weights, "gram").groupBy("paragraph", "class").agg(F.sum(F.round(F.col("weight") * 1e9).cast("long")).alias("w"))
+    wide = total.groupBy("paragraph").agg(*[F.coalesce(F.sum(F.when(F.col("class") == k, F.col("w"))), F.lit(0)).alias(f"w{k}") for k, _ in base])
     logit = [(F.col(f"w{k}") / 1e9 + v) / float(model.temperature) for k, v in base]
     top = F.greatest(*logit)
     norm = sum((F.exp(x - top) for x in logit[1:]), F.exp(logit[0] - top))
     named = F.coalesce(*[F.when(x == top, F.lit(f)) for x, f in zip(logit, model.families, strict=True)])
-    told = wide.select("unit", named.alias("family"), (F.lit(1.0) / norm).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST))
-    overlap = hits.join(templates, "gram").groupBy("unit", "family", "template").agg((F.count("*") / F.first("size")).alias("overlap"))
-    overlap = overlap.groupBy("unit", "family").agg(F.max("overlap").alias("overlap"))
-    return told.join(overlap, ["unit", "family"]).where(F.col("overlap") >= OVERLAP)
+    told = wide.select("paragraph", named.alias("family"), (F.lit(1.0) / norm).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST))
+    overlap = hits.join(templates, "gram").groupBy("paragraph", "family", "template").agg((F.count("*") / F.first("size")).alias("overlap"))
+    overlap = overlap.groupBy("paragraph", "family").agg(F.max("overlap").alias("overlap"))
+    return told.join(overlap, ["paragraph", "family"]).where(F.col("overlap") >= OVERLAP)
 
 
 def pairs_of(text: str) -> set[str]:
@@ -193,15 +212,15 @@ def pairs_of(text: str) -> set[str]:
 def license_scan(df: DataFrame, model: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, family, probability, overlap, n_paragraphs) for each row of ``df``."""
     model = model or train(df, text_col)
-    cues = F.array(*[F.lit(c) for c in model.cues])
+    cues = F.split(F.lit(" ".join(model.cues)), " ")
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     # a text's families depend on the text alone, so a digest of it is the key
     docs = docs.withColumn("key", F.sha2("text", 256))
     some = docs.where(F.arrays_overlap(word_array(F.col("text")), cues))
     units = some.select("key", F.explode(paragraphs(F.col("text"))).alias("unit")).where(F.arrays_overlap(word_array(F.col("unit")), cues))
-    units = materialise(units.distinct(), "units")
-    found = materialise(scored(units.select("unit"), model), "licences")
-    best = units.join(found, "unit").groupBy("key").agg(F.max(F.struct("overlap", "probability", "family")).alias("best"), F.count("*").alias("n"))
+    units = materialise(keyed(units).distinct(), "units")
+    found = materialise(scored_keys(units.select("paragraph", "unit").dropDuplicates(["paragraph"]), model), "licences")
+    best = units.select("key", "paragraph").join(found, "paragraph").groupBy("key").agg(F.max(F.struct("overlap", "probability", "family")).alias("best"), F.count("*").alias("n"))
     best = materialise(best.select(F.col("key").alias("_key"), "best", "n"), "licences")
     joined = docs.select("doc_id", "key").join(best, F.col("key") == F.col("_key"), "left")
     return joined.select("doc_id", F.col("best.family").alias("family"), F.round(F.coalesce("best.probability", F.lit(0.0)), 6).alias("probability"), F.round(F.coalesce("best.overlap", F.lit(0.0)), 6).alias("overlap"), F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs"))
