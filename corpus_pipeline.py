@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallylog.llm import decontam, langid, mixing, simhash, token_blocks
+from tallylog.llm import decontam, langid, mixing, near_copies, token_blocks
 from tallylog.llm.common import materialise, read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,8 +17,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
-    return simhash.keep_first(docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more), the one with the smallest id."""
+    return near_copies.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -272,7 +272,11 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     The document with the smallest id stays; of several rows with its id, one.  Rows without
     an id stay, as nothing names them.
     """
-    groups = simhash_groups(df, id_col, text_col, **options)
+    return first_of(df, simhash_groups(df, id_col, text_col, **options), id_col)
+
+
+def first_of(df: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` that stay when one document of each of the ``groups`` (doc_id, component_id) does."""
     gone = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     kept = df.join(gone, df[id_col].cast("long") == gone["_gone"], "left_anti")
     again = materialise(df.groupBy(df[id_col].alias("_again")).count().where("count > 1 and _again is not null").select("_again"), "again")
