@@ -1,16 +1,16 @@
 """Licence scans: a trained paragraph classifier and a template comparison, in DataFrame functions only.
 
 A multinomial logistic regression over the words and word pairs of a paragraph, present or
-not, tells licence families apart; its features are the ones of the templates below that
-ordinary text seldom has, so its weights are sparse and a paragraph without any of these
-words can't be told from ``unknown``.  It is fit on the driver: families from variations of
+not, tells licence families apart; its features are the ones of the templates below, and the
+fit weighs those that ordinary text has too.  It is fit on the driver: families from variations of
 the templates, ``unknown`` from a bounded sample of the corpus's own paragraphs
 (SAMPLE_DOCS documents of the smallest hashes), and a temperature that calibrates the
 probabilities from the variations held back.  A prediction is confirmed if enough of the
 word pairs of one of the family's templates are in the paragraph.
 
-Paragraphs are lines, and blocks of lines between blank ones.  Only paragraphs with a
-feature word are scored, each different one once.
+Paragraphs are lines, and blocks of lines between blank ones.  Only paragraphs that can hold
+enough of a template's pairs are scored, each different one once: with more than 40 % of the
+pairs missing there is no match, so one of the template's rarest 40 % and one more is there.
 
 Defined results: a null text or one without a licence paragraph has family null,
 probability 0, overlap 0 and no paragraphs; of several families in a text the one of the
@@ -109,9 +109,8 @@ class Classifier:
         for text in negatives:
             for g in grams(text):
                 common[g] = common.get(g, 0) + 1
-        most = max(2, len(negatives) // 200)
-        known = {g for _, t in TEMPLATES for g in grams(t)}
-        self.features = sorted(g for g in known if common.get(g, 0) <= most and min(common.get(w, 0) for w in g.split()) <= most)
+        # however often ordinary text has a word, the fit weighs it
+        self.features = sorted({g for _, t in TEMPLATES for g in grams(t)})
         at = {g: k for k, g in enumerate(self.features)}
         fillers = [w for t in negatives[:200] for w in t.split()[:20]]
         rows, labels = [], []
@@ -140,8 +139,15 @@ class Classifier:
         losses = {t: -np.log(np.maximum((softmax(logits / t) * y[held]).sum(1), 1e-9)).mean() for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}
         self.temperature = min(losses, key=losses.get)
         self.bias = b
-        #: words without which no feature is in a paragraph: of each feature, the one that ordinary text has least
-        self.cues = sorted({min(g.split(), key=lambda w: (common.get(w, 0), w)) for g, row in zip(self.features, self.weights, strict=True) if row.any()})
+        #: pairs without which no template is held to OVERLAP, the ones that ordinary text has least, and a word of each
+        self.pairs = sorted({g for _, t in TEMPLATES for g in needed(pairs_of(t), common)})
+        self.cues = sorted({min(g.split(), key=lambda w: (common.get(w, 0), w)) for g in self.pairs})
+
+
+def needed(pairs: set[str], common: dict[str, int]) -> list[str]:
+    """The rarest ``pairs``, as many as leave too few others for OVERLAP."""
+    least = next(n for n in range(1, len(pairs) + 1) if n / len(pairs) >= OVERLAP)
+    return sorted(pairs, key=lambda g: (common.get(g, 0), g))[: len(pairs) - least + 1]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -186,7 +192,8 @@ def keyed(units: DataFrame) -> DataFrame:
 def scored_keys(held: DataFrame, model: Classifier) -> DataFrame:
     """``scored`` for different paragraphs (paragraph, unit), named by their digests."""
     spark = held.sparkSession
-    hits = held.select("paragraph", F.explode(gram_array(word_array(F.col("unit")))).alias("gram"))
+    known = F.split(F.lit("\n".join(model.features)), "\n")
+    hits = held.select("paragraph", F.explode(F.array_intersect(gram_array(word_array(F.col("unit"))), known)).alias("gram"))
     rows = [(g, k, float(v)) for g, row in zip(model.features, model.weights, strict=True) for k, v in enumerate(row) if v]
     weights = bounded_table(spark, rows, "gram string, class int, weight double")
     base = [(k, float(v)) for k, v in enumerate(model.bias)]
@@ -218,6 +225,7 @@ def license_scan(df: DataFrame, model: Classifier | None = None, id_col: str = "
     docs = docs.withColumn("key", F.sha2("text", 256))
     some = docs.where(F.arrays_overlap(word_array(F.col("text")), cues))
     units = some.select("key", F.explode(paragraphs(F.col("text"))).alias("unit")).where(F.arrays_overlap(word_array(F.col("unit")), cues))
+    units = units.where(F.arrays_overlap(gram_array(word_array(F.col("unit"))), F.split(F.lit("\n".join(model.pairs)), "\n")))
     units = materialise(keyed(units).distinct(), "units")
     found = materialise(scored_keys(units.select("paragraph", "unit").dropDuplicates(["paragraph"]), model), "licences")
     best = units.select("key", "paragraph").join(found, "paragraph").groupBy("key").agg(F.max(F.struct("overlap", "probability", "family")).alias("best"), F.count("*").alias("n"))
