@@ -129,7 +129,7 @@ _PAGE = "job_id, source_id, line_number, epoch_us(timestamp_utc) AS micros, clie
 
 def add_page(name: str, f: LogFilter, rows: int, descending: bool, cursor: paging.Cursor | None = None, where: str = "TRUE") -> None:
     def build(t: dict[str, DataFrame]) -> DataFrame:
-        found = paging.page_plan(t["logs"], f, t["jobs"], t["bookmarks"], rows, descending, cursor, max_batch=10_000)
+        found = paging.page_plan(t["logs"], f, t["jobs"], t["bookmarks"], rows, descending, cursor)
         return found.withColumn("micros", F.unix_micros("timestamp_utc")).drop("timestamp_utc")
 
     order = f"timestamp_utc {'DESC' if descending else 'ASC'} NULLS LAST, source_id, line_number"
@@ -138,9 +138,9 @@ def add_page(name: str, f: LogFilter, rows: int, descending: bool, cursor: pagin
 
 add_page("page_time_asc", ALL, 200, False)
 add_page("page_time_desc_nulls_last", ALL, 200, True)
-add_page("page_next_cursor", ALL, 200, False, paging.Cursor(ALL.digest(), False, 10_000, DAY, 1, 50), f"(timestamp_utc > make_timestamp({DAY}) OR timestamp_utc = make_timestamp({DAY}) AND (source_id > 1 OR source_id = 1 AND line_number > 50) OR timestamp_utc IS NULL)")
-add_page("page_next_cursor_desc", ALL, 100, True, paging.Cursor(ALL.digest(), True, 10_000, DAY, 1, 50), f"(timestamp_utc < make_timestamp({DAY}) OR timestamp_utc = make_timestamp({DAY}) AND (source_id > 1 OR source_id = 1 AND line_number > 50) OR timestamp_utc IS NULL)")
-add_page("page_null_segment", ALL, 50, True, paging.Cursor(ALL.digest(), True, 10_000, None, 1, 500), "timestamp_utc IS NULL AND (source_id > 1 OR source_id = 1 AND line_number > 500)")
+add_page("page_next_cursor", ALL, 200, False, paging.Cursor(ALL.digest(), False, None, DAY, 1, 50), f"(timestamp_utc > make_timestamp({DAY}) OR timestamp_utc = make_timestamp({DAY}) AND (source_id > 1 OR source_id = 1 AND line_number > 50) OR timestamp_utc IS NULL)")
+add_page("page_next_cursor_desc", ALL, 100, True, paging.Cursor(ALL.digest(), True, None, DAY, 1, 50), f"(timestamp_utc < make_timestamp({DAY}) OR timestamp_utc = make_timestamp({DAY}) AND (source_id > 1 OR source_id = 1 AND line_number > 50) OR timestamp_utc IS NULL)")
+add_page("page_null_segment", ALL, 50, True, paging.Cursor(ALL.digest(), True, None, None, 1, 500), "timestamp_utc IS NULL AND (source_id > 1 OR source_id = 1 AND line_number > 500)")
 add_page("page_status_500", LogFilter(active_only=True, status=500), 200, False)
 add("page_bookmark_flag", lambda t: paging.marked(kept(t, ALL), t["bookmarks"]).groupBy("bookmarked").agg(F.count("*").alias("n")), f"SELECT bookmarked, count(*) AS n FROM (SELECT {_PAGE} FROM logs WHERE {filter_sql(ALL)}) GROUP BY bookmarked")
 add("detail_join_source", lambda t: paging.detail(t["logs"], t["sources"], 1, 42).select("job_id", "source_id", "line_number", "request_target", "original_path", "current_path"), "SELECT job_id, source_id, line_number, request_target, original_path, current_path FROM logs JOIN sources USING (source_id) WHERE source_id = 1 AND line_number = 42 ORDER BY job_id DESC LIMIT 1")

@@ -18,7 +18,7 @@ _TEXTS = ("client_ip", "method", "request_target", "extra_json")
 class Cursor:
     digest: str
     descending: bool
-    max_batch: int
+    max_batch: int | None
     #: key of the last row: time in microseconds (None among rows without a time), source, line
     time: int | None
     source_id: int
