@@ -5,56 +5,39 @@ is the encoding of that pair's bytes, so an encoding can be followed from left t
 finite memory.  After a prefix ``p`` of a word the machine keeps, for every cut whose rest
 may still grow into a token: the last token before the cut, the trie node of the rest and
 the token count at the cut relative to the count of ``p``.  That set is one state.  A
-transition on a byte carries the change of the token count; the last byte of a word, which
-BPE treats as a symbol of its own, has transitions of its own that name the last token.
-States are built when a text first needs them (subset construction on demand), and many
-words take their steps together.
+transition on a byte is annotated with the change of the token count and the token that ends
+the prefix; the last byte of a word, which BPE treats as a symbol of its own, leads back to
+the start state.  States are built when a text first needs them (subset construction on
+demand), and many runs of symbols take their steps together.
 
-Texts outside the byte classes that the machine knows (ASCII and the letters of U+00C0 to
-U+00FF), and texts that hold a special token's string, go through the tokenizers library.
+Memory is bounded: past MAX_STATES all states but those that runs are in are forgotten, in
+the middle of a word as well.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from tokenizers import Tokenizer
 
-#: states after which the machine starts anew, which bounds its memory
-MAX_STATES = 300_000
-#: bytes of text that take their steps together
-BATCH_BYTES = 1 << 19
+from tallylog.llm.library_words import Library
+from tallylog.llm.word_symbols import pieces, symbols_of
+
+#: states after which the machine forgets, and pairs of tokens whose border is remembered
+MAX_STATES, MAX_PAIRS = 120_000, 1 << 17
 #: odd multiplier of the transition table's hash (2**32 over the golden ratio)
 _MIX = 0x9E3779B1
 #: how a table entry packs its target and the change of the count
 _RISE, _ZERO = 20, 512
-_SPACE, _LETTER, _DIGIT, _OTHER, _FOREIGN = range(5)
-
-
-def _classes() -> np.ndarray:
-    found = np.full(256, _FOREIGN, np.uint8)
-    found[:128] = _OTHER
-    found[[9, 10, 11, 12, 13, 32]] = _SPACE
-    found[48:58] = _DIGIT
-    found[65:91] = found[97:123] = _LETTER
-    found[0x80:0xC0] = _LETTER  # after 0xC3; elsewhere the text is foreign by its first byte
-    found[0xC3] = _LETTER
-    return found
-
-
-def _lower() -> np.ndarray:
-    found = np.arange(256, dtype=np.uint8)
-    found[65:91] += 32
-    found[0x80:0x9F] += 32
-    return found
+#: how a state packs the token before a cut, the trie node and the count
+_NODE, _COUNT, _HALF = 20, 12, 1 << 11
+#: so few runs take their steps one by one
+_FEW = 4
 
 
-_CLASS, _LOWER = _classes(), _lower()
-
-
-def _byte_chars() -> list[str]:
+def byte_chars() -> list[str]:
     """The printable stand-in of every byte in byte-level vocabularies."""
     keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
     spare = iter(range(256, 512))
@@ -62,27 +45,33 @@ def _byte_chars() -> list[str]:
 
 
 class BpeMachine:
-    def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        spec = json.loads(self.library.to_str())
+    """Symbols are bytes, plus 256 for the last one of a word.  State 0 is the start state.
+
+    Runs may begin in and end in other states; these are named by their numbers in ``held``,
+    which stay valid until ``let_go``.
+    """
+
+    def __init__(self, path: str, max_states: int = MAX_STATES):
+        self.library, self.max_states = Library(path), max_states
+        spec = json.loads(self.library.tokenizer.to_str())
         model = spec["model"]
         suffix, vocab = model["end_of_word_suffix"], model["vocab"]
         if not suffix:
             raise ValueError("only tokenizers with a word-end suffix are compiled")
-        self.special = [t["content"].encode() for t in spec["added_tokens"]]
-        chars = _byte_chars()
+        chars = byte_chars()
         byte_of = {c: b for b, c in enumerate(chars)}
         self.rank = {vocab[c + end]: -1 for c in chars for end in ("", suffix)}
         self.parts: dict[int, tuple[int, int]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
+        self.merged: dict[int, int] = {}
         for k, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.merged[vocab[a], vocab[b]] = k
+            self.merged[vocab[a] << 20 | vocab[b]] = k
             if self.rank.setdefault(vocab[a + b], k) == k:
                 self.parts[vocab[a + b]] = (vocab[a], vocab[b])
+        #: trie over the tokens' symbols: node << 9 | symbol to child, and the token that ends at a node
+        self.child: dict[int, int] = {}
+        self.token, self.inner = [-1], [True]
         self.length = np.zeros(max(vocab.values()) + 1, np.int32)
-        self.children: list[dict[int, int]] = [{}]
-        self.token = [-1]
         for text, t in vocab.items():
             if t not in self.rank:
                 continue
@@ -92,42 +81,73 @@ class BpeMachine:
             self.length[t] = len(body)
             node = 0
             for symbol in body:
-                if symbol not in self.children[node]:
-                    self.children[node][symbol] = len(self.children)
-                    self.children.append({})
+                self.inner[node] = True
+                below = self.child.get(node << 9 | symbol)
+                if below is None:
+                    below = self.child[node << 9 | symbol] = len(self.token)
                     self.token.append(-1)
-                node = self.children[node][symbol]
+                    self.inner.append(False)
+                node = below
             self.token[node] = t
-        self._fits: dict[tuple[int, int], bool] = {}
+        if len(self.token) >= 1 << _NODE or max(vocab.values()) >= 1 << 20:
+            raise ValueError("the vocabulary is too large for the states' packing")
+        self.start = (_HALF,)
+        self._fits: dict[int, bool] = {}
+        self.let_go()
         self._reset()
 
-    # --- building states ---------------------------------------------------------------
+    # --- states ------------------------------------------------------------------------
+
+    def let_go(self) -> None:
+        """Forget the states that runs ended in."""
+        self.held, self.held_at = [self.start], {self.start: 0}
 
     def _reset(self) -> None:
-        start = ((-1, 0, 0),)
-        self.states, self.number = [start], {start: 0}
+        self.states, self.number = [self.start], {self.start: 0}
+        self.quick: dict[int, int] = {}
+        #: the token that ends the prefixes of each state
         self.last = np.full(1 << 16, -1, np.int32)
-        self._table(1 << 17)
+        self._table(1 << 16)
 
     def _table(self, size: int) -> None:
         self.keys = np.full(size, -1, np.int32)
         self.value = np.zeros(size, np.int32)
         self.shift, self.mask, self.used = np.uint32(32 - size.bit_length() + 1), size - 1, 0
 
+    def _numbered(self, state: tuple[int, ...]) -> int:
+        found = self.number.get(state)
+        if found is None:
+            found = self.number[state] = len(self.states)
+            if found >= 1 << _RISE:
+                raise ValueError("too many runs at once for the table's packing")
+            self.states.append(state)
+            if found >= len(self.last):
+                self.last = np.concatenate([self.last, np.full(len(self.last), -1, np.int32)])
+            self.last[found] = (state[-1] >> _NODE + _COUNT) - 1
+        return found
+
+    def _begin_anew(self, now: np.ndarray) -> np.ndarray:
+        """Forget all states but those of ``now``; their new numbers."""
+        kept, at = np.unique(now, return_inverse=True)
+        states = [self.states[k] for k in kept.tolist()]
+        self._reset()
+        return np.array([self._numbered(s) for s in states], np.int32)[at]
+
     def fits(self, left: int, right: int) -> bool:
         """Whether BPE leaves the two tokens' bytes as exactly these two tokens."""
-        key = (left, right)
-        if key not in self._fits:
-            if len(self._fits) > 1_000_000:
+        key = left << 20 | right
+        found = self._fits.get(key)
+        if found is None:
+            if len(self._fits) >= MAX_PAIRS:
                 self._fits.clear()
-            self._fits[key] = self._border_holds(left, right)
-        return self._fits[key]
+            found = self._fits[key] = self._border_holds(left, right)
+        return found
 
     def _border_holds(self, a: int, b: int) -> bool:
         """Undo merges beside the border, latest first; a merge across it must come too late."""
         limit = len(self.merged) + 1
         while True:
-            across = self.merged.get((a, b))
+            across = self.merged.get(a << 20 | b)
             if across is not None and across < limit:
                 return False
             if self.rank[a] > self.rank[b]:
@@ -137,37 +157,44 @@ class BpeMachine:
             else:
                 return True
 
-    def _add(self, key: int) -> None:
+    def _add(self, key: int) -> int:
+        """Build the transition ``key`` (state << 9 | symbol)."""
         state, symbol = divmod(key, 512)
         made, rise, stay = -1, 0, []
-        for before, node, count in self.states[state]:
-            child = self.children[node].get(symbol)
+        for packed in self.states[state]:
+            before, node, count = (packed >> _NODE + _COUNT) - 1, packed >> _COUNT & (1 << _NODE) - 1, (packed & (1 << _COUNT) - 1) - _HALF
+            child = self.child.get(node << 9 | symbol)
             if child is None:
                 continue
             t = self.token[child]
             if t >= 0 and made < 0 and (before < 0 or self.fits(before, t)):
                 made, rise = t, count + 1
-            if self.children[child]:
+            if self.inner[child]:
                 stay.append((before, child, count))
         if made < 0:
             raise ValueError("the merge list does not cover these bytes")
         target = made
         if symbol < 256:
-            new = (*((b, n, c - rise) for b, n, c in stay), (made, 0, 0))
-            target = self.number.get(new, -1)
-            if target < 0:
-                target = self.number[new] = len(self.states)
-                self.states.append(new)
-                if target >= len(self.last):
-                    self.last = np.concatenate([self.last, np.full(len(self.last), -1, np.int32)])
-                self.last[target] = made
+            rest = [*((b, n, c - rise) for b, n, c in stay), (made, 0, 0)]
+            target = self._numbered(tuple(b + 1 << _NODE + _COUNT | n << _COUNT | c + _HALF for b, n, c in rest))
         if 2 * (self.used + 1) > len(self.keys):
             old = self.keys >= 0
             rows = self.keys[old].tolist(), self.value[old].tolist()
             self._table(2 * len(self.keys))
             for row in zip(*rows, strict=True):
                 self._put(*row)
-        self._put(key, target | (rise + _ZERO) << _RISE)
+        value = target | (rise + _ZERO) << _RISE
+        self._put(key, value)
+        return value
+
+    def _value(self, key: int) -> int:
+        """What the table has for one transition, built if need be."""
+        at = ((key * _MIX) & 0xFFFFFFFF) >> int(self.shift)
+        while self.keys[at] >= 0:
+            if self.keys[at] == key:
+                return int(self.value[at])
+            at = (at + 1) & self.mask
+        return self._add(key)
 
     def _put(self, key: int, value: int) -> None:
         at = ((key * _MIX) & 0xFFFFFFFF) >> int(self.shift)
@@ -178,137 +205,127 @@ class BpeMachine:
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Slots of the transitions ``keys``, built if need be."""
-        slots = (keys.view(np.uint32) * np.uint32(_MIX)) >> self.shift
-        off = np.flatnonzero(self.keys[slots] != keys)
-        while len(off):
-            at = slots[off]
-            empty = self.keys[at] < 0
-            if empty.any():
-                for key in np.unique(keys[off[empty]]).tolist():
-                    self._add(key)
-                return self._find(keys)
-            slots[off] = (at + np.uint32(1)) & np.uint32(self.mask)
-            off = off[self.keys[slots[off]] != keys[off]]
-        return slots
-
-    # --- running words -----------------------------------------------------------------
-
-    def _walk(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray | None) -> np.ndarray:
-        """Token counts of the words; ``ends`` gets at each byte the token that ends a prefix there."""
-        if len(self.states) > MAX_STATES:
-            self._reset()
+        while True:
+            slots = (keys.view(np.uint32) * np.uint32(_MIX)) >> self.shift
+            off = np.flatnonzero(self.keys[slots] != keys)
+            empty = off[:0]
+            while len(off) and not len(empty):
+                empty = off[self.keys[slots[off]] < 0]
+                slots[off] = (slots[off] + np.uint32(1)) & np.uint32(self.mask)
+                off = off[self.keys[slots[off]] != keys[off]]
+            if not len(empty):
+                return slots
+            for key in np.unique(keys[empty]).tolist():
+                self._add(key)
+
+    # --- running -----------------------------------------------------------------------
+
+    def run(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, entries: np.ndarray | None = None, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that each run of ``symbols`` adds, and the held state that it ends in.
+
+        ``entries``: the held states that they begin in, else the start state.  ``ends`` gets
+        at each symbol the token that ends the prefix there.  Symbols of a word's end are last
+        in their runs.
+        """
         order = np.argsort(-sizes, kind="stable")
         first, size = starts[order], -sizes[order]
-        state, total = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
-        here = len(order)
-        for k in range(-int(size[0]) if here else 0):
-            here, go_on = (int(np.searchsorted(size[:here], -j)) for j in (k, k + 1))
-            at = first[:here] + k
-            keys = (state[:here] << 9) | data[at]
-            keys[go_on:] += 256
-            slots = self._find(keys)
+        total = np.zeros(len(order), np.int64)
+        state = np.zeros(len(order), np.int32)
+        if entries is not None:
+            state[:] = [self._numbered(self.held[e]) for e in entries[order].tolist()]
+        here, k, steps = len(order), 0, -int(size[0]) if len(order) else 0
+        while k < steps:
+            here = int(np.searchsorted(size[:here], -k))
+            if len(self.states) > self.max_states:
+                state[:] = self._begin_anew(state)
+            if here <= _FEW:
+                for lane in range(here):
+                    total[lane] += self._alone(state, lane, symbols, int(first[lane]) + k, int(first[lane] - size[lane]), ends)
+                break
+            now = symbols[first[:here] + k]
+            slots = self._find(state[:here] << 9 | now)  # may replace the table
             value = self.value[slots]
-            total[:here] += value >> _RISE
+            total[:here] += (value >> _RISE) - _ZERO
             value &= (1 << _RISE) - 1
-            state[:go_on] = value[:go_on]
+            over = now >= 256
+            if ends is not None:
+                ends[first[:here] + k] = np.where(over, value, self.last[np.where(over, 0, value)])
+            value[over] = 0
+            state[:here] = value
+            k += 1
+        exits = np.zeros(len(order), np.int64)
+        for lane in np.flatnonzero(state).tolist():
+            own = self.states[state[lane]]
+            exits[lane] = self.held_at.setdefault(own, len(self.held))
+            if exits[lane] == len(self.held):
+                self.held.append(own)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return total[back], exits[back]
+
+    def _alone(self, states: np.ndarray, lane: int, symbols: np.ndarray, first: int, stop: int, ends: np.ndarray | None) -> int:
+        """One run, step by step; ``states`` are all runs' states, of which that of ``lane`` moves."""
+        total, now, quick = 0, int(states[lane]), self.quick
+        for k in range(first, stop, 4096):
+            made = []
+            for symbol in symbols[k : min(k + 4096, stop)].tolist():
+                key = now << 9 | symbol
+                value = quick.get(key)
+                if value is None:
+                    value = quick[key] = self._value(key)
+                total += (value >> _RISE) - _ZERO
+                now = value & (1 << _RISE) - 1
+                made.append(now)
+                if symbol >= 256:
+                    now = 0
             if ends is not None:
-                ends[at[:go_on]] = self.last[value[:go_on]]
-                ends[at[go_on:]] = value[go_on:]
-        out = np.empty_like(total)
-        out[order] = total - _ZERO * sizes[order]
-        return out
-
-    def _words(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Lower-cased bytes, where pieces begin, which are foreign, and the words' starts and sizes."""
-        data = np.frombuffer(b" ".join(pieces) + b"   ", np.uint8)
-        begin = np.cumsum([0, *(len(p) + 1 for p in pieces[:-1])])
-        kind = _CLASS[data]
-        odd = kind == _FOREIGN
-        high = np.flatnonzero(data >= 0x80)
-        if len(high):
-            odd[high] |= (data[high] >= 0x80) & (data[high] < 0xC0) & (data[high - 1] != 0xC3)  # not a letter of two bytes
-            odd[high] |= ((data[high] == 0x97) | (data[high] == 0xB7)) & (data[high - 1] == 0xC3)  # the two signs among the letters
-            odd[high] |= (data[high] == 0xC3) & ((data[high + 1] < 0x80) | (data[high + 1] >= 0xC0))
-        foreign = np.add.reduceat(odd, begin) > 0 if odd.any() else np.zeros(len(pieces), bool)
-        if any(s in data.data.tobytes() for s in self.special):
-            foreign |= np.array([any(s in p for s in self.special) for p in pieces])
-        data = _LOWER[data]
-        if foreign.any():
-            for k in np.flatnonzero(foreign):
-                kind[begin[k] : begin[k] + len(pieces[k])] = _SPACE
-        start = kind != _SPACE
-        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
-        quote = np.flatnonzero((data == 39) & start)
-        if len(quote):
-            a, b = data[quote + 1], data[quote + 2]
-            short = np.isin(a, np.frombuffer(b"stmd", np.uint8))
-            long = ((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108)
-            start[quote[short | long] + 1] = False
-            for hit, step in ((short, 2), (long, 3)):
-                after = quote[hit] + step
-                start[after] |= kind[after] != _SPACE
-        starts = np.flatnonzero(start).astype(np.int32)
-        gap = kind == _SPACE
-        stop = np.flatnonzero(~gap[:-1] & (gap[1:] | start[1:])).astype(np.int32) + np.int32(1)
-        return data, begin, foreign, starts, stop - starts
-
-    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, one after the other, and the number of ids of each."""
-        if not pieces:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        data, begin, foreign, starts, sizes = self._words(pieces)
-        ends = np.full(len(data), -1, np.int32)
-        self._walk(data, starts, sizes, ends)
-        mark = np.zeros(len(data), bool)
-        at = starts + sizes - 1
-        while len(at):
-            mark[at] = True
-            down = at - self.length[ends[at]]
-            going = down >= starts
-            at, starts = down[going], starts[going]
-        ids = ends[mark]
-        counts = np.diff(np.append(np.searchsorted(np.flatnonzero(mark), begin), len(ids)))
-        if foreign.any():
-            where = np.flatnonzero(foreign)
-            found = [np.array(e.ids, np.int32) for e in self._by_library([pieces[k] for k in where])]
-            cut = np.append(0, np.cumsum(counts))
-            own = dict(zip(where.tolist(), found, strict=True))
-            ids = np.concatenate([own.get(k, ids[cut[k] : cut[k + 1]]) for k in range(len(pieces))])
-            counts[where] = [len(x) for x in found]
-        return ids, counts
-
-    def count(self, pieces: list[bytes]) -> np.ndarray:
-        """Number of ids of each piece."""
-        if not pieces:
-            return np.zeros(0, np.int64)
-        data, begin, foreign, starts, sizes = self._words(pieces)
-        total = np.concatenate([[0], np.cumsum(self._walk(data, starts, sizes, None))])
-        counts = np.diff(total[np.append(np.searchsorted(starts, begin), len(starts))])
-        if foreign.any():
-            where = np.flatnonzero(foreign)
-            counts[where] = [len(e.ids) for e in self._by_library([pieces[k] for k in where])]
-        return counts
-
-    def _by_library(self, pieces: list[bytes]) -> list:
-        return self.library.encode_batch([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-
-    def is_own(self, piece: bytes) -> bool:
-        """Whether the machine reads all of the piece without the library."""
-        return not self._words([piece])[2][0]
-
-
-@lru_cache(maxsize=2)
+                own = np.array(made, np.int32)
+                over = symbols[k : min(k + 4096, stop)] >= 256
+                ends[k : k + len(own)] = np.where(over, own, self.last[np.where(over, 0, own)])
+            states[lane] = now
+            if len(self.states) > self.max_states:
+                states[:] = self._begin_anew(states)
+                now, quick = int(states[lane]), self.quick
+        return total
+
+    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        done, text = [], 0
+        for run in pieces(texts):
+            symbols, word, begin, foreign = symbols_of([part for _, part in run], self.library.special)
+            starts = np.flatnonzero(word & (symbols >= 0))
+            at = np.flatnonzero(symbols >= 256)
+            ends = np.full(len(symbols), -1, np.int32)
+            self.run(symbols, starts, at + 1 - starts, None, ends)
+            self.let_go()
+            mark = np.zeros(len(symbols), bool)
+            while len(at) > _FEW:
+                mark[at] = True
+                down = at - self.length[ends[at]]
+                going = down >= starts
+                at, starts = down[going], starts[going]
+            for end, start in zip(at.tolist(), starts.tolist(), strict=True):
+                while end >= start:
+                    mark[end] = True
+                    end -= int(self.length[ends[end]])
+            where = np.flatnonzero(mark)
+            ids = ends[where]
+            if foreign:
+                own = [self.library.ids(w) for _, w in foreign]
+                where = np.concatenate([where, np.repeat([a for a, _ in foreign], [len(x) for x in own])])
+                order = np.argsort(where, kind="stable")
+                ids, where = np.concatenate([ids, *own])[order], where[order]
+            cut = np.append(np.searchsorted(where, begin), len(ids)).tolist()
+            for (k, _), a, b in zip(run, cut[:-1], cut[1:], strict=True):
+                if k != text:
+                    yield np.concatenate(done)
+                    done, text = [], k
+                done.append(ids[a:b])
+        if done:
+            yield np.concatenate(done)
+
+
+@lru_cache(maxsize=1)
 def machine(path: str) -> BpeMachine:
     """This process's machine for the tokenizer file."""
     return BpeMachine(path)
-
-
-def batches(pieces: list[bytes], limit: int = BATCH_BYTES) -> list[slice]:
-    """Runs of pieces of about ``limit`` bytes each."""
-    found, first, size = [], 0, 0
-    for k, piece in enumerate(pieces):
-        if size and size + len(piece) > limit:
-            found.append(slice(first, k))
-            first, size = k, 0
-        size += len(piece)
-    return [*found, slice(first, len(pieces))] if pieces else []

@@ -8,15 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: rows of two numbers that a broadcast may hold: 32 MB
+BROADCAST_ROWS = 1 << 21
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one of its own only where all is one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="tallylog-")
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -37,7 +42,47 @@ def materialise(df: DataFrame, kind: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, kind)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.tallylog_path = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables that ``materialise`` wrote for ``frames``, which nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "tallylog_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a materialised table of a few numbers a row, to be broadcast if it has at most ``rows`` rows; else the planner joins it by its keys."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def batches(pieces: list[bytes], limit: int = 1 << 19) -> list[slice]:
+    """Runs of pieces of about ``limit`` bytes each."""
+    found, first, size = [], 0, 0
+    for k, piece in enumerate(pieces):
+        if size and size + len(piece) > limit:
+            found.append(slice(first, k))
+            first, size = k, 0
+        size += len(piece)
+    return [*found, slice(first, len(pieces))] if pieces else []
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for more columns of ``df`` that none of its own has, in any case."""
+    held = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while (own := f"_{name}").lower() in held:
+            name = own
+        held.add(own.lower())
+        found.append(own)
+    return found
 
 
 def text_bytes(df: DataFrame, name: str) -> F.Column:

@@ -7,15 +7,20 @@ link.  Work is dealt out by pairs of prefixes; each task keeps a spanning forest
 links it finds, never the links themselves, and the forests are joined into components by
 alternating star contraction.
 
+Work is dealt out by prefixes of rotated fingerprints: of BUDGET + 1 blocks of bits, two
+fingerprints within the budget share one whole, so with each block in turn at the front they
+meet under a common prefix of it.  A fingerprint goes to BUDGET + 1 tries, however many there
+are.
+
 Defined results: a null text is an empty one; a text without words has fingerprint zero and
 links like any other; rows that share a document id each get their own fingerprint; a null
 id takes part in links but never names a component unless the component has no other id
-(then it is null).  Columns other than the id and the text are not looked at.
+(then it is null).  Columns other than the id and the text, whatever their names, are not
+looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -25,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.common import materialise, text_bytes
+from tallylog.llm.common import discard, fresh_names, materialise, small, text_bytes
 
 BITS = 64
 BUDGET = 4
 SHINGLE = 4
 SEED = 42
-#: distinct fingerprints that one prefix should hold at most, which bounds a task's memory
-NODE_ROWS = 1 << 17
+#: distinct fingerprints that one prefix should hold, as long as blocks have bits enough for it
+NODE_ROWS = 1 << 15
 #: pairs of nodes, or of leaves, that are looked at together
 CHUNK = 1 << 18
 #: below this many leaf pairs a node pair is compared leaf by leaf
@@ -59,15 +64,16 @@ def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for each row of ``df``."""
+    """(doc_id, key, fp) for each row of ``df``; ``key`` is the XXH64 of the text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    slim = df.select(df[id_col].cast("long").alias("doc_id"), text_bytes(df, text_col).alias("text"))
-    return slim.mapInArrow(each, "doc_id long, fp long")
+    text = text_bytes(df, text_col)
+    slim = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return slim.mapInArrow(each, "doc_id long, key long, fp long")
 
 
 class Trie:
@@ -184,52 +190,46 @@ def _leaves(a: np.ndarray, b: np.ndarray, lo_a: np.ndarray, n_a: np.ndarray, lo_
         done = upto
 
 
-def _forest_of(key: tuple, table: pa.Table, depth: int, budget: int) -> pa.Table:
-    lo, hi = int(key[0].as_py()), int(key[1].as_py())
-    values = np.unique(table.column("fp").to_numpy().view(np.uint64))
-    if depth:
-        heads = values >> np.uint64(BITS - depth)
-        left, right = values[heads == lo], None if lo == hi else values[heads == hi]
-    else:
-        left, right = values, None
-    both = left if right is None else np.concatenate([left, right])
-    forest, seen, waiting = Forest(len(both)), [], 0
+def rotated(values: np.ndarray, bits: int) -> np.ndarray:
+    """``values`` with their first ``bits`` bits moved to the end."""
+    return values << np.uint64(bits) | values >> np.uint64(BITS - bits) if bits % BITS else values
+
+
+def forest_of(values: np.ndarray, level: int, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): a spanning forest of the links between fingerprints that share ``level`` leading bits."""
+    values = np.unique(values)
+    forest, seen, waiting = Forest(len(values)), [], 0
 
     def settle() -> None:
         if seen:
             forest.link(np.concatenate([i for i, _ in seen]), np.concatenate([j for _, j in seen]))
             seen.clear()
 
-    if len(left) and (right is None or len(right)):
-        shift = 0 if right is None else len(left)
-        for i, j in trie_join(left, right, depth, (lo ^ hi).bit_count(), budget):
-            seen.append((i, j + shift))
-            waiting += len(i)
-            if waiting > CHUNK:
-                settle()
-                waiting = 0
-        settle()
-    child = np.flatnonzero(forest.root != np.arange(len(both)))
-    signed = both.view(np.int64)
-    return pa.table({"u": signed[child], "v": signed[forest.root[child]]})
+    for i, j in trie_join(values, None, level, 0, budget):
+        seen.append((i, j))
+        waiting += len(i)
+        if waiting > CHUNK:
+            settle()
+            waiting = 0
+    settle()
+    child = np.flatnonzero(forest.root != np.arange(len(values)))
+    return values[child], values[forest.root[child]]
 
 
 def trie_links(values: DataFrame, count: int, budget: int = BUDGET) -> DataFrame:
-    """Spanning forests (u, v) of the links between the distinct fingerprints ``fp``.
-
-    ``count`` is their number; prefixes get so long that one holds NODE_ROWS on average.
-    """
-    depth = min(12, max(3, math.ceil(math.log2(max(1, count) / NODE_ROWS))))
-    masks = [sum(1 << b for b in bits) for k in range(min(budget, depth) + 1) for bits in itertools.combinations(range(depth), k)]
-    head = F.shiftrightunsigned("fp", BITS - depth)
-    dealt = values.select("fp", head.alias("head"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
-    other = F.col("head").bitwiseXOR(F.col("mask"))
-    dealt = dealt.select("fp", F.least("head", other).alias("lo"), F.greatest("head", other).alias("hi"))
+    """Spanning forests (u, v) of the links between the distinct fingerprints ``fp``, of which there are ``count``."""
+    blocks = budget + 1
+    first = [BITS * k // blocks for k in range(blocks)]
+    depth = min(BITS // blocks, max(2, math.ceil(math.log2(max(1, count) / NODE_ROWS))))
+    turn = lambda k: F.shiftleft("fp", k).bitwiseOR(F.shiftrightunsigned("fp", BITS - k)) if k else F.col("fp")
+    dealt = values.select(F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), turn(k).alias("fp")) for k in first])).alias("_t")).select("_t.turn", "_t.fp")
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
-        return _forest_of(key, table, depth, budget)
+        u, v = forest_of(table.column("fp").to_numpy().view(np.uint64), depth, budget)
+        back = BITS - key[0].as_py()
+        return pa.table({"u": rotated(u, back).view(np.int64), "v": rotated(v, back).view(np.int64)})
 
-    return dealt.groupBy("lo", "hi").applyInArrow(join, "u long, v long")
+    return dealt.withColumn("head", F.shiftrightunsigned("fp", BITS - depth)).groupBy("turn", "head").applyInArrow(join, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -250,37 +250,53 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large.where("u <> v"), "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        fewer = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = materialise(fewer.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(edges, large)
+        edges = after
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of ``df``."""
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, keyed: bool = False) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of ``df``; ``keyed``: (doc_id, key, root), ``key`` being the XXH64 of the text."""
     docs = materialise(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     classes = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     roots = components(trie_links(classes.select("fp"), classes.count(), budget))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "classes")
-    named = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "classes")
+    if keyed:
+        return docs.join(rooted, "fp").select("doc_id", "key", "root")
+    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     names = materialise(rooted.join(named, "root").select("fp", "component_id"), "classes")
+    discard(classes, rooted)
     return docs.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """Rows of ``df`` that stay when one document of each near-duplicate group does.
+    """Rows of ``df`` that stay when one row of each near-duplicate group does, as ``first_of`` says."""
+    groups = simhash_groups(df, id_col, text_col, keyed=True, **options)
+    return first_of(df, groups, id_col, text_col)
+
+
+def first_of(df: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``df`` that stay when one row of each of the ``groups`` (doc_id, key, root) does.
 
-    The document with the smallest id stays; of several rows with its id, one.  Rows without
-    an id stay, as nothing names them.
+    ``key`` is the XXH64 of the text.  The row with the smallest id stays, of equal ids the
+    one with the smallest key.  Rows that share both are one; of these the one with the
+    smallest hash of all columns stays.  Rows without an id stay, as nothing names them.
     """
-    return first_of(df, simhash_groups(df, id_col, text_col, **options), id_col)
-
-
-def first_of(df: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``df`` that stay when one document of each of the ``groups`` (doc_id, component_id) does."""
-    gone = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = df.join(gone, df[id_col].cast("long") == gone["_gone"], "left_anti")
-    again = materialise(df.groupBy(df[id_col].alias("_again")).count().where("count > 1 and _again is not null").select("_again"), "again")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, kept[id_col] == again["_again"], "left_anti")
-    return once.unionByName(kept.join(again, kept[id_col] == again["_again"], "left_semi").dropDuplicates([id_col]))
+    held = materialise(groups.where("doc_id is not null").groupBy("root", "doc_id", "key").agg(F.count("*").alias("n")), "rows")
+    first = held.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    told = materialise(held.join(first, "root").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), (~is_first).alias("_gone"), ((F.col("n") > 1) & is_first).alias("_again")).where("_gone or _again"), "gone")
+    discard(held)
+    names = fresh_names(df, "id", "key")
+    row = df.withColumns({names[0]: df[id_col].cast("long"), names[1]: F.xxhash64(text_bytes(df, text_col))})
+
+    def of(table: DataFrame, how: str) -> DataFrame:
+        return row.join(table, (row[names[0]] == table["_id"]) & (row[names[1]] == table["_key"]), how)
+
+    if told.where("_again").isEmpty():
+        return of(small(told), "left_anti").select(df.columns)
+    again = of(small(told.where("_again")), "left_semi")
+    one = again.groupBy(*names).agg(F.min_by(F.struct(*[again[c] for c in df.columns]), F.xxhash64(*[F.to_json(F.struct(again[c])) for c in df.columns])).alias("_row"))
+    return of(small(told), "left_anti").select(df.columns).union(one.select(*[F.col("_row").getField(c).alias(c) for c in df.columns]))

@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallylog.llm.bpe_machine import batches, machine
+from tallylog.llm.bpe_machine import machine
 from tallylog.llm.common import materialise, new_path, text_bytes
 
 END = 2
 #: ids a block holds at most, and ids of a lane at most
-BLOCK_IDS, LANE_IDS = 1 << 22, 512
+BLOCK_IDS, LANE_IDS = 1 << 20, 512
 #: the coder's totals: order-0 frequencies, and the shares of the three orders
 _FREQ, _SHARE = 20, 12
 #: steps between two refreshes of the order-0 frequencies
@@ -281,12 +281,10 @@ def write_ids(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id",
         def documents() -> Iterator[tuple[int | None, np.ndarray]]:
             for batch in rows:
                 doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for s in batches(texts):
-                    ids, counts = bpe.encode(texts[s])
-                    for doc_id, own in zip(doc_ids[s], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
-                        done[0] += 1
-                        done[1] += len(own) + 1
-                        yield doc_id, np.concatenate([own, stop])
+                for doc_id, own in zip(doc_ids, bpe.encode(texts), strict=True):
+                    done[0] += 1
+                    done[1] += len(own) + 1
+                    yield doc_id, np.concatenate([own, stop])
 
         store, folder = _store(path)
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.ids"

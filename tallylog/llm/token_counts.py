@@ -1,14 +1,19 @@
 """Token counts by a compiled tokenizer: chunk state maps, composed by parallel prefix scan.
 
-A text is cut into chunks of fixed size, wherever the cut falls.  White space brings the
-transducer back to its start state, so the map of a chunk from an unknown entry state is:
-the bytes before its first white space (their count depends on the entry state), the count
-of what lies between its first and last white space, and the bytes after the last one.  Maps
-compose associatively, and a scan of logarithmic depth composes them for all prefixes, each
-round counting its joined fragments together.
+Texts become symbols (bytes, the last one of a word marked) and are cut into chunks of fixed
+size, wherever the cut falls.  A chunk's map is a table: entry state to exit state and number
+of tokens.  A chunk that begins with a word is entered in the start state; one that goes on
+with a word has rows for the states that the chunk before can leave.  Maps compose
+associatively, and a scan of logarithmic depth composes them for all prefixes of all texts of
+a piece at once; the map of a whole text, applied to the start state, has its count.
+
+Parts between white space that hold a character other than ASCII and the letters of U+00C0
+to U+00FF, or the string of a special token, are counted by the tokenizers library, part by
+part; they begin and end in the start state and add to their chunk's row.
 
 Defined results: a null text is an empty one, with zero tokens; rows are independent, so
-repeated rows, ties and extra columns change nothing; an empty table gives an empty one.
+repeated rows, ties and extra columns, whatever their names, change nothing; texts of any
+length are run in pieces of bounded size; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,90 +23,108 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.bpe_machine import BpeMachine, batches, machine
+from tallylog.llm.bpe_machine import BpeMachine, machine
 from tallylog.llm.common import text_bytes
+from tallylog.llm.word_symbols import pieces, symbols_of
 
-CHUNK_BYTES = 1 << 15
+CHUNK_BYTES = 1 << 12
 LIMIT = 2048
-_SPACE = regex.compile(rb"[ \t\n\x0b\f\r]")
-
-
-@dataclass(frozen=True)
-class ChunkMap:
-    """What a run of chunks does to an entry state: ``head`` alone where nothing brings the start state back."""
-
-    head: tuple[bytes, ...]
-    count: int = 0
-    tail: tuple[bytes, ...] | None = None
-
-    @property
-    def resets(self) -> bool:
-        return self.tail is not None
-
-
-def chunk_maps(chunks: list[bytes], bpe: BpeMachine) -> list[ChunkMap]:
-    inner, cuts = [], []
-    for chunk in chunks:
-        first = _SPACE.search(chunk)
-        if first is None:
-            cuts.append(None)
-            continue
-        last = max(chunk.rfind(c) for c in (b" ", b"\t", b"\n", b"\x0b", b"\f", b"\r"))
-        cuts.append((first.start(), last))
-        inner.append(chunk[first.start() : last])
-    counts = iter(np.concatenate([bpe.count(inner[s]) for s in batches(inner)]).tolist() if inner else [])
-    return [ChunkMap((c,)) if at is None else ChunkMap((c[: at[0]],), next(counts), (c[at[1] + 1 :],)) for c, at in zip(chunks, cuts, strict=True)]
-
-
-def compose(pairs: list[tuple[ChunkMap, ChunkMap]], bpe: BpeMachine) -> list[ChunkMap]:
-    """The map of each pair's first, then second; fragments that meet are counted together."""
-    met = [b"".join(a.tail + b.head) for a, b in pairs if a.resets and b.resets]
-    counts = iter(np.concatenate([bpe.count(met[s]) for s in batches(met)]).tolist() if met else [])
-    found = []
-    for a, b in pairs:
-        if not a.resets:
-            found.append(ChunkMap(a.head + b.head, b.count, b.tail))
-        elif not b.resets:
-            found.append(ChunkMap(a.head, a.count, a.tail + b.head))
-        else:
-            found.append(ChunkMap(a.head, a.count + b.count + next(counts), b.tail))
-    return found
-
-
-def prefix_scan(maps: list[ChunkMap], bpe: BpeMachine) -> list[ChunkMap]:
-    """Inclusive prefixes of the maps: pair up, scan the pairs, then fill in the places between."""
-    if len(maps) < 2:
-        return maps
-    pairs = compose(list(zip(maps[::2], maps[1::2], strict=False)), bpe)
-    odd = prefix_scan(pairs, bpe)
-    even = compose([(odd[k - 1], maps[2 * k]) for k in range(1, (len(maps) + 1) // 2)], bpe)
-    found = [maps[0]]
-    for k in range(1, len(maps)):
-        found.append(odd[k // 2] if k % 2 else even[k // 2 - 1])
-    return found
-
-
-def count_long(text: bytes, bpe: BpeMachine, size: int = CHUNK_BYTES) -> int:
-    """Tokens of one text, chunk by chunk."""
-    if not bpe.is_own(text):
-        return int(bpe.count([text])[0])
-    whole = prefix_scan(chunk_maps([text[k : k + size] for k in range(0, max(1, len(text)), size)], bpe), bpe)[-1]
-    ends = [b"".join(whole.head), *([b"".join(whole.tail)] if whole.resets else [])]
-    return whole.count + int(bpe.count(ends).sum())
+#: entry of a row that holds whatever the state before
+ANY = -1
+
+
+@dataclass
+class Maps:
+    """Tables of several chunks; rows sorted by chunk and entry state."""
+
+    chunk: np.ndarray
+    entry: np.ndarray
+    exit: np.ndarray
+    count: np.ndarray
+
+    def rows(self, chunk: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The row that each chunk has for the state."""
+        keys = self.chunk << 32 | self.entry + 1
+        at = np.minimum(np.searchsorted(keys, chunk << 32 | state + 1), len(keys) - 1)
+        missed = keys[at] != (chunk << 32 | state + 1)
+        at[missed] = np.minimum(np.searchsorted(keys, chunk[missed] << 32 | ANY + 1), len(keys) - 1)
+        if (self.chunk[at] != chunk).any() or (self.entry[at[missed]] != ANY).any():
+            raise ValueError("a chunk has no row for a state that it is entered in")
+        return at
+
+
+def chunk_maps(parts: list[bytes], bpe: BpeMachine, size: int = CHUNK_BYTES) -> tuple[Maps, np.ndarray]:
+    """The maps of all chunks of ``parts``, and the number of chunks up to each part."""
+    symbols, word, begin, foreign = symbols_of(parts, bpe.library.special)
+    held = np.maximum(1, -(-np.array([len(p) for p in parts], np.int64) // size))
+    upto = np.append(0, np.cumsum(held))
+    edge = np.repeat(begin, held) + size * (np.arange(upto[-1]) - np.repeat(upto[:-1], held))
+    cut = np.zeros(len(symbols), bool)
+    cut[edge] = True
+    there = symbols >= 0
+    starts = np.flatnonzero(there & (word | cut))
+    # a run ends before the next one, or at the first gap
+    ends = np.flatnonzero(there & ~np.append(there[1:] & ~(word | cut)[1:], False)) + 1
+    owner = np.searchsorted(edge, starts, side="right") - 1
+    sizes, goes_on = ends - starts, ~word[starts]
+    open_end = symbols[ends - 1] < 256
+    tokens, exits = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    entries = np.zeros(len(starts), np.int64)
+    plain = np.flatnonzero(~goes_on)
+    tokens[plain], exits[plain] = bpe.run(symbols, starts[plain], sizes[plain])
+    # runs that go on with a word: the chunk before has to be left first
+    todo, ready = np.flatnonzero(goes_on), ~goes_on
+    while len(todo):
+        now = todo[ready[todo - 1]]
+        entries[now] = exits[now - 1]
+        tokens[now], exits[now] = bpe.run(symbols, starts[now], sizes[now], entries[now])
+        ready[now] = True
+        todo = todo[~ready[todo]]
+    n = upto[-1]
+    entry, leave = np.full(n, ANY, np.int64), np.zeros(n, np.int64)
+    entry[owner[goes_on]] = entries[goes_on]
+    leave[owner[open_end]] = exits[open_end]
+    count = np.bincount(owner, tokens, n).astype(np.int64)
+    if foreign:
+        at = np.searchsorted(edge, [a for a, _ in foreign], side="right") - 1
+        count += np.bincount(at, [len(bpe.library.ids(w)) for _, w in foreign], n).astype(np.int64)
+    return Maps(np.arange(n), entry, leave, count), upto
+
+
+def compose(first: Maps, second: Maps, left: np.ndarray, right: np.ndarray) -> Maps:
+    """For each k the map of chunk ``left[k]`` of ``first``, then chunk ``right[k]`` of ``second``, as the map of ``right[k]``."""
+    lo, hi = np.searchsorted(first.chunk, left), np.searchsorted(first.chunk, left, side="right")
+    rows = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+    owner = np.repeat(right, hi - lo)
+    then = second.rows(owner, first.exit[rows])
+    return Maps(owner, first.entry[rows], second.exit[then], first.count[rows] + second.count[then])
+
+
+def prefix_scan(maps: Maps, upto: np.ndarray) -> Maps:
+    """The maps of all prefixes of each part, in rounds that double their reach."""
+    n, step = int(upto[-1]), 1
+    first = np.repeat(upto[:-1], np.diff(upto))
+    while step < np.diff(upto).max(initial=0):
+        right = np.flatnonzero(np.arange(n) - step >= first)
+        joined = compose(maps, maps, right - step, right)
+        keep = ~np.isin(maps.chunk, right)
+        both = [np.concatenate([a[keep], b]) for a, b in ((maps.chunk, joined.chunk), (maps.entry, joined.entry), (maps.exit, joined.exit), (maps.count, joined.count))]
+        order = np.lexsort((both[1], both[0]))
+        maps, step = Maps(*(x[order] for x in both)), 2 * step
+    return maps
 
 
 def count_texts(texts: list[bytes], bpe: BpeMachine, size: int = CHUNK_BYTES) -> np.ndarray:
-    short = [k for k, t in enumerate(texts) if len(t) <= size]
     found = np.zeros(len(texts), np.int64)
-    for s in batches(short_texts := [texts[k] for k in short]):
-        found[short[s]] = bpe.count(short_texts[s])
-    for k, t in enumerate(texts):
-        if len(t) > size:
-            found[k] = count_long(t, bpe, size)
+    for run in pieces(texts):
+        maps, upto = chunk_maps([part for _, part in run], bpe, size)
+        whole = prefix_scan(maps, upto)
+        last = whole.rows(upto[1:] - 1, np.zeros(len(run), np.int64))
+        np.add.at(found, [k for k, _ in run], whole.count[last])
+        bpe.let_go()
     return found
 
 

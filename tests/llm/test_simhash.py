@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tallylog.llm import simhash
+from tallylog.llm import near_copies, simhash
 
 
 def slow_fingerprint(text, n=4):
@@ -60,3 +60,14 @@ def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
     assert got == {k: 0 for k in range(1, 201)} | {501: 500}
+
+
+def test_repeated_ids_lose_no_text(spark):
+    a, b, c = "the first text of all, in some words", "quite another thing that is told here", "third"
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (7, b, 3), (9, c, 4), (9, c, 5), (None, a, 6)]
+    for module in (simhash, near_copies):
+        df = spark.createDataFrame(rows, "doc_id long, text string, _key int")
+        kept = sorted((str(r.doc_id), r.text) for r in module.keep_first(df).collect())
+        assert kept == sorted([("1", a), ("5", b), ("9", c), ("None", a)])
+        assert module.keep_first(df).columns == df.columns and module.keep_first(df.limit(0)).count() == 0
+        assert module.keep_first(df).collect() == module.keep_first(df).collect()

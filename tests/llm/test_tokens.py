@@ -1,5 +1,7 @@
 import io
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -7,37 +9,79 @@ import public_tokenizers
 import pytest
 
 from tallylog.llm import token_blocks, token_counts
-from tallylog.llm.bpe_machine import machine
+from tallylog.llm.bpe_machine import BpeMachine, machine
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["Don't he'll 'S x'sx''s \"'s it's 'review'l 'll", "ÀÉ×÷ß Œœ", "<|endoftext|> x <|startoftext|>", "12345 a1b2", " x\x85y", "", "  ", "日本語", "é", "ﬁ İI", "a'", "'", "''s", "é's ê'ré", "abc\x1cdef\x00 x", "A" * 3000, "the quick brown fox", "\t\n naïve façade!? (x) a,b.c"]
 
 
 def library(texts):
-    return [e.ids for e in machine(PATH).library.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in machine(PATH).library.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_machine_is_the_library():
+def random_texts():
     rng = random.Random(3)
-    texts = ODD + [" ".join(rng.choices(ODD, k=3)) for _ in range(50)] + ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz' .éü9", k=60)) for _ in range(300)]
-    ids, counts = machine(PATH).encode([t.encode() for t in texts])
+    return ODD + [" ".join(rng.choices(ODD, k=3)) for _ in range(50)] + ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz' .éü9", k=60)) for _ in range(300)]
+
+
+def test_machine_is_the_library():
+    texts = random_texts()
     want = library(texts)
-    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
-    assert machine(PATH).count([t.encode() for t in texts]).tolist() == [len(x) for x in want]
+    assert [x.tolist() for x in machine(PATH).encode([t.encode() for t in texts])] == want
+    assert token_counts.count_texts([t.encode() for t in texts], machine(PATH)).tolist() == [len(x) for x in want]
 
 
 @pytest.mark.parametrize("size", [1, 7, 64])
 def test_chunks_compose(size):
-    for text in [*ODD, "word " * 50, "x" * 200, "é" * 50 + " é"]:
-        assert token_counts.count_long(text.encode(), machine(PATH), size) == len(library([text])[0])
+    texts = [*random_texts(), "word " * 50, "x" * 200, "é" * 50 + " é"]
+    assert token_counts.count_texts([t.encode() for t in texts], machine(PATH), size).tolist() == [len(x) for x in library(texts)]
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_scan_gives_all_prefixes(size):
+    """Against composing the chunks' tables one after the other."""
+    parts = [b"some words, and more of them; don't stop", b"", "a’b unbrokenunbrokenunbroken 12".encode(), b"x"]
+    maps, upto = token_counts.chunk_maps(parts, machine(PATH), size)
+    scanned = token_counts.prefix_scan(maps, upto)
+    for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+        state, total = 0, 0
+        for k in range(a, b):
+            row = maps.rows(np.array([k]), np.array([state]))[0]
+            state, total = maps.exit[row], total + maps.count[row]
+            whole = scanned.rows(np.array([k]), np.array([0]))[0]
+            assert (scanned.exit[whole], scanned.count[whole]) == (state, total)
+        assert state == 0
+    # a table with no row for a state that a chunk is entered in is an error, not a guess
+    inside = np.flatnonzero(maps.entry > 0)[:1]
+    with pytest.raises(ValueError):
+        maps.rows(maps.chunk[inside], np.array([10**6]))
 
 
-def test_scan_gives_all_prefixes():
-    text = b"some words, and more of them; don't stop"
-    chunks = [text[k : k + 5] for k in range(0, len(text), 5)]
-    for k, m in enumerate(token_counts.prefix_scan(token_counts.chunk_maps(chunks, machine(PATH)), machine(PATH))):
-        ends = [b"".join(m.head), *([b"".join(m.tail)] if m.resets else [])]
-        assert m.count + int(machine(PATH).count(ends).sum()) == len(library([text[: 5 * k + 5].decode()])[0])
+def test_states_stay_few():
+    rng = random.Random(5)
+    small = BpeMachine(PATH, max_states=500)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz  ", k=4000)) for _ in range(3)] + ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9000))]
+    want = library(texts)
+    for t, ids in zip(texts, want, strict=True):
+        assert [x.tolist() for x in small.encode([t.encode()])] == [ids]
+        assert token_counts.count_texts([t.encode()], small, 64).tolist() == [len(ids)]
+        assert len(small.states) < 500 + 4000
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    code = f"""
+import resource
+from tallylog.llm import token_counts
+from tallylog.llm.bpe_machine import BpeMachine, machine
+m = machine({PATH!r})
+text = ("naïve façades, and words of " + "x" * 70 + " ’ " ).encode() * 100_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert len(text) > 10_000_000
+n = int(token_counts.count_texts([text], m)[0])
+assert n == sum(map(len, m.encode([text]))) > 0
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
 
 
 def test_counts(spark):
