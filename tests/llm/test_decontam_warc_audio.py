@@ -35,8 +35,9 @@ def test_sketch_is_the_matrix_product():
     idf[decontam.PLACES] = 0
     probe = np.random.default_rng(9).standard_normal((decontam.PLACES + 1, 6)).astype(np.float32)
     probe[-1] = 0
-    total = np.zeros_like(probe)
+    total = np.zeros(probe.shape, np.int64)
     decontam.sketch(texts, idf, probe, total)
+    total = total / decontam._UNIT
     rows = decontam.padded(*decontam.words_of(texts), decontam.PASSAGE)[0].reshape(-1, decontam.PASSAGE)
     a = np.zeros((len(rows), decontam.PLACES + 1), np.float32)
     np.add.at(a, (np.arange(len(rows))[:, None], rows), 1)
@@ -63,6 +64,8 @@ def test_leaks_found_and_clean_texts_left(spark):
     exact = {(d, i) for d, t in texts.items() for i, w in words.items() if w.tobytes() in t.tobytes()}
     assert exact <= got
     assert all(decontam.common(words[i], texts[d]) >= 0.6 * len(words[i]) for d, i in got if d in texts)
+    odd = spark.createDataFrame([(None, held[1], 1), (5, held[2], 2), (5, "a clean text", 3), (None, None, 4)], "doc_id long, text string, _key int")
+    assert sorted(r._key for r in decontam.drop_leaks(odd, items).collect()) == [3, 4]
     clean = decontam.drop_leaks(docs, items)
     assert clean.columns == docs.columns and clean.count() == docs.count() - len({d for d, _ in got if d in texts})
     assert decontam.leaks(docs.limit(0), items).count() == 0 and decontam.leaks(docs, items.limit(0)).count() == 0
