@@ -11,7 +11,8 @@ features whatever batch they are in.
 
 Defined results: a null text is an empty one, which is 192 blanks; a signal shorter than a
 frame is filled up with zeros; media that is null or isn't such a WAV gives null features;
-repeated rows are independent; an empty table gives no rows.
+repeated rows are independent; other columns, whatever their names, aren't looked at; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.common import materialise, text_bytes
+from tallylog.llm.common import discard, materialise, text_bytes
 
 RATE, OUT_RATE, UP, DOWN, TAPS = 12_000, 8_000, 2, 3, 16
 FRAME, HOP, FFT, MELS = 200, 80, 256, 24
@@ -169,11 +170,15 @@ def audio_features(media: DataFrame) -> DataFrame:
 
 
 def media_report(df: DataFrame, **columns: str) -> DataFrame:
-    """Store the texts of ``df`` as media, read them back, and tell what was stored and found."""
+    """Store the texts of ``df`` as media and the media's features as tensors with spans, read both back, and tell what was stored and found."""
     stored = materialise(text_media(df, **columns), "media")
     size = F.octet_length("payload").cast("long")
-    return audio_features(stored).select(
+    found = audio_features(stored).select(
         "doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", "n_frames", F.size("segments"), F.sha2("tensors", 256)).alias("feature"), "n_frames", F.size("segments").cast("long").alias("n_segments"),
+        "n_frames", "tensors", "segments",
     )
+    kept = materialise(found, "tensors")
+    discard(stored)
+    feature = F.concat_ws(":", "n_frames", F.size("segments"), F.sha2("tensors", 256), F.sha2(F.to_json("segments").cast("binary"), 256))
+    return kept.withColumn("n_segments", F.size("segments").cast("long")).withColumn("feature", feature).drop("tensors", "segments")

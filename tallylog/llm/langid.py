@@ -6,12 +6,16 @@ geometric mean of both counts.  A Nystroem map of landmark texts and one-versus-
 ridge regression on it are fit on the driver from a bounded sample of labelled rows; texts
 are scored by products of batch matrices.
 
-Bounds of the fit: MAX_LANGS most frequent labels, PER_LANG rows of each (the smallest
-hashes of their ids), LANDMARKS landmarks in all.  Whole texts are used, to fit and to score.
+Bounds of the fit: PER_LANG different rows of each label (the smallest hashes of their ids
+and texts) and LANDMARKS landmarks, or one a label where there are more labels.  All labels
+can be predicted.  Whole texts are used, to fit and to score.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; a null id is
 held out; with no labelled row to learn from every text is ``und``; equal texts get equal
-predictions.  Labels, sources and ids are never inputs of a prediction.
+predictions; other columns, whatever their names, pass through ``keep_identified`` unread.
+Labels, sources and ids are never inputs of a prediction.  Every text with a letter gets a
+label, so ``keep_identified`` rejects the others only: a margin that is low against all
+languages isn't told apart from a short or mixed text of one of them.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallylog.llm.common import fresh_names
+
 UNKNOWN = "und"
-PER_LANG, LANDMARKS, MAX_LANGS = 250, 96, 256
+PER_LANG, LANDMARKS = 250, 96
 RIDGE = 1e-3
 #: hashed places of the n-grams of each order
 PLACES = (1 << 10, 1 << 12, 1 << 13)
@@ -78,7 +84,7 @@ def fit(langs: list[str], labels: np.ndarray, rows: np.ndarray, landmarks: int =
     turn = np.zeros(len(labels), np.int64)
     for k in range(len(langs)):
         turn[labels == k] = np.arange((labels == k).sum())
-    chosen = np.lexsort((labels, turn))[:landmarks]
+    chosen = np.lexsort((labels, turn))[: max(landmarks, len(langs))]
     wide = normalised(np.unpackbits(rows, axis=1)[:, : _EDGES[-1]])
     cross = (wide @ wide[chosen].T).astype(np.float64)
     target = np.where(labels[:, None] == np.arange(len(langs)), 1.0, -1.0)
@@ -94,16 +100,14 @@ def held_out(df: DataFrame, id_col: str = "doc_id") -> F.Column:
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, **options: float) -> Model | None:
     """Fit on a bounded sample of the labelled rows that are not held out."""
     known = df.where(~held_out(df, id_col) & df[lang_col].isNotNull() & df[text_col].isNotNull())
-    known = known.select(F.xxhash64(df[id_col].cast("string")).alias("rank"), df[lang_col].alias("lang"), df[text_col].cast("binary").alias("text"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    known = known.select(F.xxhash64(df[id_col].cast("string"), df[text_col]).alias("rank"), df[lang_col].alias("lang"), df[text_col].cast("binary").alias("text"))
+    counts = known.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return None
     # ranks are uniform; twice the share that is wanted, then the smallest ranks of each label
-    cut = F.lit(None).cast("long")
-    for row in counts:
-        share = min(1.0, 2 * per_lang / row["count"])
-        cut = F.when(F.col("lang") == row["lang"], F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))).otherwise(cut)
-    some = known.where(F.col("rank") <= cut)
+    cuts = [(r["lang"], min(2**63 - 1, int(-(2**63) + min(1.0, 2 * per_lang / r["count"]) * 2**64))) for r in counts]
+    cuts = df.sparkSession.createDataFrame(cuts, "lang string, cut long")
+    some = known.join(cuts, "lang").where("rank <= cut").select("rank", "lang", "text").dropDuplicates(["lang", "rank"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,10 +135,11 @@ def predict_texts(texts: list[bytes | None], model: Model | None) -> tuple[list[
     return names, scores
 
 
-def predict(df: DataFrame, model: Model | None, text_col: str = "text", as_struct: str = "_lang") -> DataFrame:
-    """``df`` with a struct (lang_pred, score); all other columns pass through unread."""
-    whole = df.withColumn("_text", df[text_col].cast("binary"))
-    names_out = [*df.columns, as_struct]
+def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> tuple[DataFrame, str]:
+    """``df`` with a struct (lang_pred, score), and the struct's name; all other columns pass through unread."""
+    text, told = fresh_names(df, "text", "lang")
+    whole = df.withColumn(text, df[text_col].cast("binary"))
+    names_out = [*df.columns, told]
     out = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,18 +149,19 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text", as_struc
             found = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], fields=list(out))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=names_out)
 
-    schema = df.select("*", F.struct(F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).alias(as_struct)).schema
-    return whole.mapInArrow(each, schema)
+    schema = df.select("*", F.struct(F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).alias(told)).schema
+    return whole.mapInArrow(each, schema), told
 
 
 def languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options: float) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of ``df``."""
     model = train(df, id_col, text_col, lang_col, **options)
     slim = df.select(df[id_col].cast("long").alias("doc_id"), held_out(df, id_col).alias("held_out"), df[text_col].alias("text"))
-    return predict(slim, model).select("doc_id", "held_out", "_lang.lang_pred", "_lang.score")
+    found, told = predict(slim, model)
+    return found.select("doc_id", "held_out", f"{told}.lang_pred", f"{told}.score")
 
 
-def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.05, **options: float) -> DataFrame:
-    """Rows of ``df`` whose language the model tells: not ``und``, and of a score of at least ``least``."""
-    found = predict(df, train(df, id_col, text_col, lang_col, **options), text_col)
-    return found.where((F.col("_lang.lang_pred") != UNKNOWN) & (F.col("_lang.score") >= least)).drop("_lang")
+def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options: float) -> DataFrame:
+    """Rows of ``df`` whose language the model tells (not ``und``)."""
+    found, told = predict(df, train(df, id_col, text_col, lang_col, **options), text_col)
+    return found.where(F.col(f"{told}.lang_pred") != UNKNOWN).select(df.columns)

@@ -1,6 +1,6 @@
 """WARC archives: a writer with revisit records and a reader that salvages damaged files.
 
-Files are runs of gzip members, one record each, or plain records.  The reader takes a
+Files are runs of gzip members of one or more records, or plain records.  The reader takes a
 record only after its checks hold (gzip's own checksum, the length, the block digest, and
 the payload digest of a response).  After a failed check it searches for the next valid
 start, a gzip member that opens with a WARC version line or such a line itself, goes on
@@ -10,13 +10,15 @@ Defined results: a null payload is an empty one; of rows with equal payloads of
 100 bytes the one with the smallest id is the response and the others revisit it, all rows
 with that smallest id being responses; smaller payloads are never revisited; a null id is
 written as an empty one, is never referred to while its payload has another id, and comes
-back as null; an empty table gives no files and no records.
+back as null; other columns, whatever their names, aren't looked at; an empty table gives no
+files and no records.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,9 +35,12 @@ from tallylog.llm.common import materialise, new_path, text_bytes
 LEAST = 100
 #: a file is closed once it holds this many bytes, which bounds what a reading task holds
 ROLL_BYTES = 64 << 20
+#: a member that unpacks to more is not read but logged
+MEMBER_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION, _GZIP, _END = b"WARC/1.1", b"\x1f\x8b\x08", b"\r\n\r\n"
+_LINE = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
 
 
 @dataclass
@@ -85,7 +90,7 @@ def percent(uri: str) -> str:
 
 def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
     """The plain record that begins at ``at`` and where it ends; ValueError where a check fails."""
-    if not data.startswith(b"WARC/", at):
+    if not _LINE.match(data, at):
         raise ValueError("no version line")
     end = data.find(_END, at)
     if end < 0:
@@ -120,16 +125,21 @@ def matches(told: str, part: bytes) -> bool:
     return value.lower() == made.hexdigest() or value.upper() == base64.b32encode(made.digest()).decode()
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
+def inflate(data: bytes, at: int, most: int = MEMBER_BYTES) -> tuple[bytes, int]:
     """Contents of the gzip member at ``at`` and where it ends; its checksum is checked."""
     opened = zlib.decompressobj(31)
-    parts, k = [], at
+    parts, k, size = [], at, 0
     while not opened.eof:
-        piece = data[k : k + (1 << 20)]
+        piece = opened.unconsumed_tail
         if not piece:
+            piece = data[k : k + (1 << 20)]
+            k += len(piece)
+        parts.append(opened.decompress(piece, 1 << 22))
+        if not piece and not parts[-1] and not opened.eof:
             raise ValueError("the member is cut short")
-        parts.append(opened.decompress(piece))
-        k += len(piece)
+        size += len(parts[-1])
+        if size > most:
+            raise ValueError("the member unpacks to too many bytes")
     return b"".join(parts), k - len(opened.unused_data)
 
 
@@ -143,7 +153,8 @@ def opens(data: bytes, at: int) -> bool:
 
 def next_start(data: bytes, at: int) -> int:
     """The next place that opens like a record, or the end."""
-    plain, member = data.find(b"WARC/1.", at), data.find(_GZIP, at)
+    line, member = _LINE.search(data, at), data.find(_GZIP, at)
+    plain = line.start() if line else -1
     while member >= 0 and (plain < 0 or member < plain):
         if opens(data, member):
             return member
@@ -161,11 +172,13 @@ def salvage(data: bytes) -> Salvage:
                     whole, end = inflate(data, at)
                 except zlib.error as error:
                     raise ValueError(str(error)) from error
-                record, used = parse(whole)
-                if used != len(whole):
-                    raise ValueError("more than one record in a member")
+                records, used = [], 0
+                while used < len(whole):
+                    record, used = parse(whole, used)
+                    records.append(record)
             else:
                 record, end = parse(data, at)
+                records = [record]
         except ValueError as error:
             if bad < 0:
                 bad, why = at, str(error)
@@ -174,7 +187,7 @@ def salvage(data: bytes) -> Salvage:
         if bad >= 0:
             found.gaps.append((bad, at, why))
             bad = -1
-        found.records.append(record)
+        found.records += records
         at = end
     if bad >= 0:
         found.gaps.append((bad, len(data), why))
@@ -264,4 +277,7 @@ def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
 def archive_report(df: DataFrame, **columns: str) -> DataFrame:
     """Write all pages as archives in the shared folder and list the records as read back."""
     found = read_warc(write_warc(df, new_path(df.sparkSession, "warc"), **columns), payloads=False)
-    return found.where("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # what was just written has no gaps; a page that can't be read back is an error, not a row less
+    damage = F.raise_error(F.concat(F.lit("a gap in "), "file", F.lit(": "), "gap_reason"))
+    page = F.when(F.col("record_type").isNull(), damage.cast("long")).otherwise(F.col("page_id"))
+    return found.select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import io
 import zlib
@@ -154,5 +155,19 @@ def test_media(spark):
         data = data.ljust(max(1, -(-len(data) // 192)) * 192)
         r = got[k]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
+        frames, made, spans = audio.features(audio.to_wav(data))
+        assert r.feature.split(":")[:3] == [str(frames), str(len(spans)), hashlib.sha256(made).hexdigest()]
         assert (r.media_bytes, r.media_sha256) == (len(data) + 44, hashlib.sha256(audio.to_wav(data)).hexdigest())
     assert got[2].feature == got[6].feature != got[3].feature and audio.media_report(df.limit(0)).count() == 0
+
+
+def test_members_of_several_records_and_old_versions():
+    one = archive(False)
+    packed = gzip.compress(b"".join(one[:3])) + archive(True)[3]
+    assert [r.headers["warc-record-id"] for r in warc.salvage(packed).records] == [f"<urn:page:{k}>" for k in range(4)]
+    old = [x.replace(b"WARC/1.1", b"WARC/0.18", 1) for x in one[:3]]
+    found = warc.salvage(old[0] + b"damage" + old[1][:40] + old[2])
+    assert [r.headers["warc-record-id"] for r in found.records] == ["<urn:page:0>", "<urn:page:2>"] and len(found.gaps) == 1
+    with pytest.raises(ValueError):
+        warc.inflate(gzip.compress(b"x" * 9_000_000), 0, 1 << 20)
+    assert warc.inflate(gzip.compress(b"x" * 9_000_000), 0)[0] == b"x" * 9_000_000

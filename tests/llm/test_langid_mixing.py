@@ -86,3 +86,58 @@ def test_mixed_rows_are_the_reported_copies(docs):
     assert mixed.columns == docs.columns
     assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == want
     assert mixing.mix_report(docs.limit(0)).count() == 0 and mixing.mixed(docs.where("text is null")).count() == 0
+
+
+def test_repeated_rows_are_rounded_one_by_one(spark):
+    rows = [(1, "w " * 100, "a", "x")] * 3 + [(1, "w " * 100, "b", "x"), (None, "w " * 40, None, "x")] + [(None, "w " * 7, None, "y")] * 60 + [(k, "w " * 11, "b", None) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, nth string").repartition(3)
+    got = mixing.mix_report(df).collect()
+    by_target = {}
+    for r in got:
+        by_target.setdefault((r.target, r.source_size), []).append(r)
+    assert len(by_target) == 3 and len(got) == len(rows)
+    for (target, _), own in by_target.items():
+        assert abs(sum(r.taken for r in own) - target) <= max(r["size"] for r in own) / 2 + 1
+        assert all(0 <= r.taken <= 2 * r["size"] for r in own)
+    mixed = mixing.mixed(df)
+    assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in got)
+
+
+def test_every_label_can_be_predicted():
+    rng = np.random.default_rng(0)
+    langs = [f"l{k:03d}" for k in range(120)]
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) for _ in range(6)] for _ in langs]
+    texts = [" ".join(rng.choice(w, 12)) for w in words for _ in range(3)]
+    labels = np.repeat(np.arange(len(langs)), 3)
+    rows = np.packbits(np.stack([langid.ngrams(t) for t in texts]), axis=1)
+    model = langid.fit(langs, labels, rows)
+    assert len(model.landmarks) == len(langs)
+    names, _ = langid.predict_texts([" ".join(rng.permutation(w)).encode() for w in words], model)
+    assert np.mean([a == b for a, b in zip(names, langs, strict=True)]) > 0.9
+
+
+def test_fit_is_the_ridge_regression():
+    """Against the Nystroem features and a dense solve of the same objective."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["the", "cat", "der", "hund", "le", "chat", "x1"], 9)) for _ in range(40)]
+    labels = np.arange(40) % 3
+    grams = np.stack([langid.ngrams(t) for t in texts])
+    model = langid.fit(["a", "b", "c"], labels, np.packbits(grams, axis=1), landmarks=10, ridge=0.01)
+    wide = langid.normalised(grams).astype(np.float64)
+    base = langid.normalised(np.unpackbits(model.landmarks, axis=1)[:, : grams.shape[1]]).astype(np.float64)
+    inner = base @ base.T
+    values, vectors = np.linalg.eigh(inner)
+    keep = values > 1e-9
+    half = vectors[:, keep] / np.sqrt(values[keep])
+    features = wide @ base.T @ half
+    target = np.where(labels[:, None] == np.arange(3), 1.0, -1.0)
+    weights = np.linalg.solve(features.T @ features + 0.01 * 40 * np.eye(features.shape[1]), features.T @ target)
+    assert np.allclose(model.scores(grams), features @ weights, atol=2e-3)
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    rows = [(1, "the cat and the dog", "en", "a", 1)] * 30 + [(2, "der Hund und die Katze", "de", "b", 2)] * 30 + [(3, None, "en", "c", 3), (4, "", None, "d", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text string, _lang int")
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and sorted(set((r._text, r._lang) for r in kept.collect())) in ([("a", 1), ("b", 2)], [])
+    assert kept.count() in (60, 0)

@@ -28,12 +28,12 @@ def test_stages_by_brute_force(spark):
     # language: all that has a letter stays
     before, after = pairs[0]
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect() if re.search(r"[^\W\d_]", r.text or "")}
-    # near duplicates: fingerprints bit by bit, groups by comparing all pairs
-    from tests.llm.test_simhash import slow_fingerprint, slow_groups
+    # near duplicates: groups by comparing the shingle sets of all pairs
+    from tests.llm.test_near_copies import slow_groups
 
     before, after = pairs[1]
     rows = sorted(before.collect(), key=lambda r: r.doc_id)
-    roots = slow_groups([slow_fingerprint(r.text) for r in rows])
+    roots = slow_groups([r.text for r in rows])
     assert sorted(r.doc_id for r in after.collect()) == sorted({min(r.doc_id for r, q in zip(rows, roots, strict=True) if q == root) for root in roots})
     # benchmark: every text that holds an item word by word goes, every other one that shares no long run stays
     before, after = pairs[2]

@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from tallylog.llm import licenses, quotes
@@ -34,6 +37,54 @@ def test_a_line_everybody_repeats_links_to_its_first_message(spark):
     assert {r.parent_turn for r in got if r.turn % 2} == {0}
 
 
+def slow_origin(passage, turn, bodies, n=5):
+    """The earlier message with most of the passage's rows of words, first of equals; every pair is looked at."""
+    words = lambda t: re.sub(r"[\W_]+", " ", t.lower()).strip()
+    rows = lambda t: {tuple(t.split()[i : i + n]) for i in range(max(1, len(t.split()) - n + 1))}
+    want, best = rows(words(passage)), (0.0, 0, None)
+    for k, body in bodies.items():
+        own = rows(words(body)) | {tuple(words(x).split()) for x in body.split("\n") if 0 < len(words(x).split()) < n}
+        share = len(want & own) / len(want)
+        if k < turn and share >= quotes.COVER and (share, -k) > best[:2]:
+            best = (share, -k, k)
+    return best[2]
+
+
+def test_quotes_by_brute_force(spark):
+    """Random conversations: parts of messages, wrapped anew, quoted in several levels."""
+    rng, rows, want, levels = random.Random(4), [], {}, {}
+    word = lambda: rng.choice("abcdefghij") + str(rng.randrange(30))
+    for conv in range(12):
+        bodies = {}
+        for turn in range(9):
+            own = "\n".join(" ".join(word() for _ in range(rng.randrange(1, 14))) for _ in range(rng.randrange(1, 4)))
+            if turn and rng.random() < 0.2:
+                own = bodies[rng.randrange(turn)] + "\n" + own  # repeats an earlier message and goes on
+            lines, first = [], []
+            if turn and rng.random() < 0.8:
+                source = bodies[rng.randrange(turn)].split()
+                a = rng.randrange(len(source))
+                part = source[a : a + rng.randrange(3, 30)]
+                for level in (2, 1) if rng.random() < 0.3 else (1,):
+                    if level == 2:
+                        quoted = [word() for _ in range(8)]
+                    else:
+                        quoted = part
+                        first = " ".join(part)
+                    width = rng.randrange(3, 9)
+                    lines += [">" * level + " " + " ".join(quoted[i : i + width]) for i in range(0, len(quoted), width)]
+            bodies[turn] = own
+            rows.append((conv, turn, "u", "\n".join([*lines, own])))
+            want[conv, turn] = slow_origin(first, turn, bodies) if first else None
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: r.parent_turn for k, r in got.items()} == want and sum(v is not None for v in want.values()) > 30
+    for (conv, turn), parent in want.items():
+        top = turn
+        while want[conv, top] is not None:
+            top = want[conv, top]
+        assert got[conv, turn].thread_turn == top
+
+
 def test_licences(spark):
     rows = [
         (1, "Some text.\nReleased under the MIT License.\nMore."), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "no licence to speak of"), (4, None), (5, ""),
