@@ -22,11 +22,12 @@ from functools import lru_cache
 
 import numpy as np
 
+from tallylog.llm.common import CACHES
 from tallylog.llm.library_words import Library
 from tallylog.llm.word_symbols import pieces, symbols_of
 
 #: states after which the machine forgets, and pairs of tokens whose border is remembered
-MAX_STATES, MAX_PAIRS = 120_000, 1 << 17
+MAX_STATES, MAX_PAIRS = 200_000, 1 << 17
 #: odd multiplier of the transition table's hash (2**32 over the golden ratio)
 _MIX = 0x9E3779B1
 #: how a table entry packs its target and the change of the count
@@ -329,3 +330,6 @@ class BpeMachine:
 def machine(path: str) -> BpeMachine:
     """This process's machine for the tokenizer file."""
     return BpeMachine(path)
+
+
+CACHES.append(machine.cache_clear)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,16 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+#: what empties the caches that a task leaves in its Python worker, which Spark keeps for other tasks
+CACHES: list[Callable[[], None]] = []
+
+
+def let_go() -> None:
+    """Called where a task of another kind begins: forget what the worker's earlier tasks kept."""
+    for clear in CACHES:
+        clear()
+
+
 def text_bytes(df: DataFrame, name: str) -> F.Column:
     """Column ``name`` as UTF-8 bytes, null as empty."""
     return F.coalesce(df[name].cast("binary"), F.lit(b""))

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.common import fresh_names
+from tallylog.llm.common import fresh_names, let_go
 
 UNKNOWN = "und"
 PER_LANG, LANDMARKS = 250, 96
@@ -114,12 +114,14 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             rows = [np.packbits(ngrams(x.decode("utf-8", "replace"))).tobytes() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["rank", "lang", "row"])
 
-    sample = some.mapInArrow(each, "rank long, lang string, row binary").toPandas().sort_values(["lang", "rank"]).groupby("lang", sort=True).head(per_lang)
-    if sample.empty:
+    found: dict[str, list[tuple[int, bytes]]] = {}
+    for row in some.mapInArrow(each, "rank long, lang string, row binary").collect():
+        found.setdefault(row["lang"], []).append((row["rank"], bytes(row["row"])))
+    if not found:
         return None
-    langs = sorted(sample["lang"].unique())
-    rows = np.stack([np.frombuffer(x, np.uint8) for x in sample["row"]])
-    return fit(langs, np.searchsorted(langs, sample["lang"]), rows, **options)
+    langs = sorted(found)
+    sample = [(k, row) for k, lang in enumerate(langs) for _, row in sorted(found[lang])[:per_lang]]
+    return fit(langs, np.array([k for k, _ in sample]), np.stack([np.frombuffer(row, np.uint8) for _, row in sample]), **options)
 
 
 def predict_texts(texts: list[bytes | None], model: Model | None) -> tuple[list[str], np.ndarray]:
@@ -143,6 +145,7 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> tuple
     out = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             names, scores = predict_texts(texts, model)

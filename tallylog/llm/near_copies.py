@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.llm import simhash
-from tallylog.llm.common import batches, discard, materialise, small, text_bytes
+from tallylog.llm.common import batches, discard, let_go, materialise, small, text_bytes
 from tallylog.llm.text_codes import shingle_sets
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -83,6 +83,7 @@ def nodes(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(doc_id, key, node, fp, buckets, sketch) for each row of ``df``; ``key`` tells texts apart."""
 
     def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in rows:
             texts = batch.column(2).to_pylist()
             for s in batches(texts):
@@ -110,6 +111,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     """The pairs (u, v) of nodes whose similarity is ``least`` or more; ``texts``: (node, text)."""
 
     def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in rows:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
