@@ -118,7 +118,7 @@ add_filter("scope_whitelist", filters.with_scope(LogFilter(expr=Cond("status", "
 add_filter("bookmark_screen", filters.bookmark_filter(LogFilter(log_kind="access", expr=Cond("status", "lt", "500"))))
 add("frozen_batch_range", lambda t: filters.frozen(kept(t, ALL), 5).select(*KEY), f"SELECT {', '.join(KEY)} FROM logs WHERE {filter_sql(ALL)} AND batch_id <= 5")
 add("count_matching", lambda t: kept(t, ALL).agg(F.count("*").alias("n")), f"SELECT count(*) AS n FROM logs WHERE {filter_sql(ALL)}")
-add("max_batch_per_job", lambda t: t["logs"].groupBy("job_id").agg(F.max("batch_id").alias("max_batch")), "SELECT job_id, max(batch_id) AS max_batch FROM logs GROUP BY job_id")
+add("max_batch_per_job", lambda t: paging.batches_of_jobs(t["logs"]).select("job_id", "max_batch"), "SELECT job_id, max(batch_id) AS max_batch FROM logs GROUP BY job_id")
 
 for _rule in (*builtin_rules.ACCESS, *builtin_rules.ERROR):
     _kind, _parsed = builtin_rules.builtin(_rule)
@@ -144,7 +144,7 @@ add_page("page_null_segment", ALL, 50, True, paging.Cursor(ALL.digest(), True, N
 add_page("page_status_500", LogFilter(active_only=True, status=500), 200, False)
 add("page_bookmark_flag", lambda t: paging.marked(kept(t, ALL), t["bookmarks"]).groupBy("bookmarked").agg(F.count("*").alias("n")), f"SELECT bookmarked, count(*) AS n FROM (SELECT {_PAGE} FROM logs WHERE {filter_sql(ALL)}) GROUP BY bookmarked")
 add("detail_join_source", lambda t: paging.detail(t["logs"], t["sources"], 1, 42).select("job_id", "source_id", "line_number", "request_target", "original_path", "current_path"), "SELECT job_id, source_id, line_number, request_target, original_path, current_path FROM logs JOIN sources USING (source_id) WHERE source_id = 1 AND line_number = 42 ORDER BY job_id DESC LIMIT 1")
-add("detail_latest_job", lambda t: t["logs"].groupBy("source_id").agg(F.max("job_id").alias("job_id")), "SELECT source_id, max(job_id) AS job_id FROM logs GROUP BY source_id")
+add("detail_latest_job", lambda t: paging.newest_of_lines(t["logs"], t["sources"]).select("source_id", "line_number", "job_id", "current_path"), "SELECT source_id, line_number, max(job_id) AS job_id, any_value(current_path) AS current_path FROM logs JOIN sources USING (source_id) GROUP BY source_id, line_number")
 
 _A, _E = f"FROM logs WHERE {filter_sql(ALL)}", f"FROM logs WHERE {filter_sql(ERRORS)}"
 _LEVEL, _MESSAGE = _FIELD["level"], _FIELD["message"]
@@ -171,14 +171,63 @@ add_timeline("timeline_hour", 3600)
 add_timeline("timeline_day_offset", 86_400, 32_400)
 add_timeline("timeline_week", 7 * 86_400)
 add_timeline("timeline_month", 30 * 86_400, -18_000)
-add("timeline_auto", lambda t: stats.timeline(kept(t, ALL), 3600 * 6), f"SELECT epoch_us(time_bucket(INTERVAL 6 HOURS, timestamp_utc)) AS bucket_micros, count(*) AS n {_A} AND timestamp_utc IS NOT NULL GROUP BY 1")
+_SIZE = "(SELECT min(s) FROM (SELECT unnest([" + ", ".join(map(str, stats.SIZES)) + f"]::BIGINT[]) AS s), (SELECT max(timestamp_utc) AS b, min(timestamp_utc) AS a {_A}) WHERE (epoch_us(b) - epoch_us(a)) // 1000000 // s <= 400)"
+add("timeline_auto", lambda t: stats.auto_timeline(kept(t, ALL)), f"SELECT epoch_us(timestamp_utc) - (epoch_us(timestamp_utc) - {stats.ORIGIN * 1_000_000}) % ({_SIZE} * 1000000) AS bucket_micros, count(*) AS n {_A} AND timestamp_utc IS NOT NULL GROUP BY 1")
+add("stats_ip_first_order", lambda t: stats.ranked_by(stats.ip_order(stats.ip_rows(kept(t, ALL), 30), "first", False)), f"SELECT client_ip, row_number() OVER (ORDER BY coalesce(first_micros, 9007199254740991), client_ip) AS rank FROM ({_IP} {_A} AND client_ip IS NOT NULL GROUP BY client_ip ORDER BY n DESC, client_ip LIMIT 30)")
 
-_CASES = "CASE WHEN status >= 100 AND status < 200 THEN 'info' WHEN status < 300 THEN 'ok' WHEN status < 400 THEN 'redirect' WHEN status < 500 THEN 'client_error' WHEN status < 600 THEN 'server_error' ELSE 'none' END"
+# --- display: the SQL follows the interface's own rules; listed cases tell their variants apart ---
+
+_CASES = "CASE WHEN status >= 500 THEN 's5' WHEN status >= 400 THEN 's4' WHEN status >= 300 THEN 's3' WHEN status >= 200 THEN 's2' ELSE 's0' END"
 add("status_class_label", lambda t: t["logs"].groupBy(display.status_class(F.col("status")).alias("class")).agg(F.count("*").alias("n")), f"SELECT {_CASES} AS class, count(*) AS n FROM logs GROUP BY 1")
-add("method_class_label", lambda t: t["logs"].groupBy(display.method_class(F.col("method")).alias("class")).agg(F.count("*").alias("n")), "SELECT CASE WHEN method IN ('GET', 'HEAD') THEN 'read' WHEN method IN ('POST', 'PUT', 'PATCH') THEN 'write' WHEN method = 'DELETE' THEN 'delete' WHEN method IS NULL THEN 'none' ELSE 'other' END AS class, count(*) AS n FROM logs GROUP BY 1")
-add("level_class_label", lambda t: kept(t, ERRORS).groupBy(display.level_class(display.error_level("extra_json")).alias("class")).agg(F.count("*").alias("n")), f"SELECT CASE WHEN {_LEVEL} IS NULL THEN 'none' WHEN regexp_matches({_LEVEL}, 'crit|alert|emerg') THEN 'severe' WHEN contains({_LEVEL}, 'err') THEN 'error' WHEN contains({_LEVEL}, 'warn') THEN 'warn' ELSE 'info' END AS class, count(*) AS n {_E} GROUP BY 1")
-add("row_summary", lambda t: kept(t, ALL).select(*KEY, display.row_summary().alias("summary")), f"SELECT {', '.join(KEY)}, concat_ws(' · ', client_ip, nullif(concat_ws(' ', method, request_target), ''), CAST(status AS VARCHAR)) AS summary {_A}")
-add("error_row_fields", lambda t: kept(t, ERRORS).select(*KEY, display.error_level("extra_json").alias("level"), display.error_text(F.col("extra_json")).alias("message")), f"SELECT {', '.join(KEY)}, {_LEVEL} AS level, {_MESSAGE} AS message {_E}")
+_METHODS = "CASE WHEN coalesce(method, '') = '' THEN 'm-none' WHEN upper(method) IN ('GET', 'HEAD', 'OPTIONS', 'TRACE') THEN 'm-read' WHEN upper(method) IN ('POST', 'PUT', 'PATCH', 'CONNECT') THEN 'm-write' WHEN upper(method) = 'DELETE' THEN 'm-del' ELSE 'm-odd' END"
+add("method_class_label", lambda t: t["logs"].groupBy(display.method_class(F.col("method")).alias("class")).agg(F.count("*").alias("n")), f"SELECT {_METHODS} AS class, count(*) AS n FROM logs GROUP BY 1")
+_SHOWN = f"coalesce({_LEVEL}, '')"
+add("level_class_label", lambda t: kept(t, ERRORS).groupBy(display.level_class(display.error_level(F.col("extra_json"))).alias("class")).agg(F.count("*").alias("n")), f"SELECT CASE WHEN regexp_matches(lower({_SHOWN}), 'emerg|alert|crit|error') THEN 's5' WHEN contains(lower({_SHOWN}), 'warn') THEN 's4' ELSE 's0' END AS class, count(*) AS n {_E} GROUP BY 1")
+_TEXT = f"coalesce({_MESSAGE}, '')"
+_ACCESS = "concat_ws(' · ', nullif(concat_ws(' ', nullif(method, ''), nullif(request_target, '')), ''), CAST(status AS VARCHAR), client_ip)"
+add("row_summary", lambda t: t["logs"].select(*KEY, display.row_summary().alias("summary")), f"SELECT {', '.join(KEY)}, coalesce(nullif(CASE WHEN {_TEXT} = '' THEN {_ACCESS} ELSE concat_ws(' · ', nullif({_SHOWN}, ''), {_TEXT}, client_ip) END, ''), '(내용 없음)') AS summary FROM logs")
+add("error_row_fields", lambda t: kept(t, ERRORS).select(*KEY, display.error_level(F.col("extra_json")).alias("level"), display.error_client(F.col("client_ip"), F.col("extra_json")).alias("client"), display.error_text(F.col("extra_json")).alias("message")), f"SELECT {', '.join(KEY)}, {_SHOWN} AS level, coalesce(client_ip, '') AS client, {_TEXT} AS message {_E}")
+
+
+def add_cases(name: str, use: Callable[[Column], Column], cases: list[tuple[str | None, str | None]]) -> None:
+    """Every row takes one of the listed texts by its line; the SQL has what the interface makes of each."""
+    told = lambda x: "NULL" if x is None else quoted(x)
+
+    def build(t: dict[str, DataFrame]) -> DataFrame:
+        listed = F.array(*[F.lit(a).cast("string") for a, _ in cases])
+        rows = t["logs"].select(*KEY, F.element_at(listed, (F.col("line_number") % len(cases) + 1).cast("int")).alias("given"))
+        return rows.select(*KEY, use(F.col("given")).alias("text"))
+
+    add(name, build, f"SELECT {', '.join(KEY)}, (CASE line_number % {len(cases)} {' '.join(f'WHEN {k} THEN {told(b)}' for k, (_, b) in enumerate(cases))} END) AS text FROM logs")
+
+
+add_cases("method_class_cases", display.method_class, [("GET", "m-read"), ("get", "m-read"), ("OPTIONS", "m-read"), ("Trace", "m-read"), ("CONNECT", "m-write"), ("patch", "m-write"), ("delete", "m-del"), ("PROPFIND", "m-odd"), ("", "m-none"), (None, "m-none")])
+add_cases("level_class_cases", display.level_class, [("core:error", "s5"), ("EMERG", "s5"), ("alert", "s5"), ("crit", "s5"), ("err", "s0"), ("warn", "s4"), ("ssl:Warning", "s4"), ("notice", "s0"), ("", "s0")])
+add_cases("error_text_cases", display.error_text, [
+    ('{"message":"m","error_code":"AH01"}', "AH01 m"), ('{"level":"warn","client":"1.2.3.4:5","pid":"7","tid":"","z":"q"}', "pid=7, z=q"), ('{"message":"","a":"b"}', "a=b"),
+    ('{"message":"only"}', "only"), ("no object", ""), (None, ""), ('{"level":"warn"}', ""),
+])
+add_cases("url_decoded_cases", display.url_decoded, [
+    ("/a%20b%zz", "/a b%zz"), ("%ff", "%ff"), ("/%ea%b0%80?x=%EA%B0%80", "/가?x=가"), ("a+b%2B", "a+b+"), ("100%", "100%"), ("%41%ff%42", "%41%ff%42"), ("%41x%ff", "Ax%ff"), ("plain", "plain"), ("%C0%80", "%C0%80"), (None, None),
+])
+add_cases("hex_decoded_cases", display.hex_decoded, [
+    (r"\xe3\x81\x82", "あ"), (r"a\x00b\x7F", "a·b·"), (r"\xff\x41", "·A"), (r"\x4", r"\x4"), (r"가\xEA\xB0\x80", "가가"), (r"\x22q\x22", '"q"'), ("plain", "plain"), (r"\xEF\xBB\xBFx", "x"), (r"\xC2\x85", "·"),
+])
+_TLS = " ClientHello — HTTPS 핸드셰이크를 HTTP 포트로 보냄"
+add_cases("protocol_cases", display.protocol_guess, [
+    (r"\x16\x03\x01\x02\x00\x01\x00\x01\xFC\x03\x03", "TLS 1.2+" + _TLS), (r"\x16\x03\x01\x02\x00\x01\x00\x01\xFC\x03\x02", "TLS 1.1" + _TLS), (r"\x16\x03\x01\x02\x00\x01\x00\x01\xFC\x03\x01", "TLS 1.0" + _TLS),
+    (r"\x16\x03\x01\x02\x00\x01", "TLS" + _TLS), (r"\x16\x03\x01\x02\x00\x02", None), (r"\x16\x03\x05\x02\x00\x01", None), (r"\x80.\x01\x03", "SSLv2 ClientHello(구식 스캐너)"), (r"\x05\x02\x00\x02", "SOCKS5 핸드셰이크"),
+    (r"\x05\x03", "SOCKS5 핸드셰이크"), (r"\x05\x04", None), (r"\x04\x01\x00P", "SOCKS4 CONNECT"), (r"\x00\x00\x00\x08", "길이 접두 이진 프로토콜(예: RDP/Java 직렬화)"), (r"\x00\x00\x00\x07", None), ("GET / HTTP/1.1", None),
+])
+_HELLO = r"\x16\x03\x01\x00\x50\x01\x00\x00\x4C\x03\x03" + "r" * 32 + r"\x02ab\x00\x02cc\x01\x00"
+add_cases("server_name_cases", display.server_name, [
+    (_HELLO + r"\x00\x14" + r"\x00\x05\x00\x01z" + r"\x00\x00\x00\x0B\x00\x09\x00\x00\x06a.test", "a.test"), (_HELLO + r"\x00\x0F" + r"\x00\x00\x00\x0B\x00\x09\x00\x00\x06b.test", "b.test"),
+    (_HELLO + r"\x00\x0F" + r"\x00\x00\x00\x0B\x00\x09\x00\x00\x06b.te", None), (_HELLO + r"\x00\x05" + r"\x00\x05\x00\x01z", None), (_HELLO, None), (r"\x16\x03\x01", None), ("GET /", None),
+])
+add_cases("natural_name_order", lambda c: F.array_join(F.transform(F.array_sort(F.transform(F.split(c, " "), lambda n: F.struct(display.natural_key(n).alias("k"), n.alias("n")))), lambda s: s["n"]), " "), [
+    ("access.log.10 access.log.2 access.log", "access.log access.log.2 access.log.10"), ("b1 A2 a10 a9", "A2 a9 a10 b1"), ("x007 x8 x09", "x007 x8 x09"),
+])
+add_cases("base_name_cases", display.base_name, [("/var/log/a.log", "a.log"), (r"C:\logs\b.log", "b.log"), ("/var/log/", "log"), ("", ""), ("x", "x")])
 
 _ISO = "coalesce(strftime(timestamp_utc, '%Y-%m-%dT%H:%M:%S.%fZ'), '')"
 _CELLS = [
@@ -189,7 +238,6 @@ add("export_csv_lines", lambda t: exporting.csv_lines(kept(t, LogFilter(active_o
 
 # --- parsing: lines are built from the demo rows, parsed back, and compared with the rows ---
 
-_WHOLE = "client_ip IS NOT NULL AND method IS NOT NULL AND status IS NOT NULL AND bytes_sent IS NOT NULL AND timestamp_utc IS NOT NULL"
 _CLF_SQL = "strftime(timestamp_utc, '%d/%b/%Y:%H:%M:%S')"
 _SECOND = "epoch_us(date_trunc('second', timestamp_utc))"
 #: by line number modulo 10: what is spoiled in a line, and the error that it gives
@@ -200,31 +248,39 @@ def clf_time() -> Column:
     return F.date_format("timestamp_utc", "dd/MMM/yyyy:HH:mm:ss")
 
 
-def common_lines(logs: DataFrame, spoil: bool = False) -> DataFrame:
+def dashed(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("-"))
+
+
+def request_text() -> Column:
+    """The request of a row, or a dash."""
+    return F.coalesce(F.nullif(F.concat_ws(" ", "method", "request_target", "protocol"), F.lit("")), F.lit("-"))
+
+
+def common_lines(logs: DataFrame, spoil: bool = False, tail: Column | None = None) -> DataFrame:
+    """Each row as a line of the common format, a dash for what isn't there."""
     turn = F.col("line_number") % 10
     pick = lambda k, bad, good: F.when(turn == k, bad).otherwise(good) if spoil else good
+    time = F.coalesce(F.concat(clf_time(), F.lit(" +0000")), F.lit("-"))
     line = F.concat(
-        pick(1, F.lit("300.1.1.1"), F.col("client_ip")), F.lit(" - - ["), pick(3, F.lit("31/Feb/2024:00:00:00"), clf_time()), F.lit(' +0000] "'), F.concat_ws(" ", "method", "request_target", "protocol"), F.lit('" '),
-        pick(2, F.lit("999"), F.col("status").cast("string")), F.lit(" "), pick(5, F.lit("1x"), F.col("bytes_sent").cast("string")), pick(4, F.lit(" more"), F.lit("")),
+        pick(1, F.lit("300.1.1.1"), dashed("client_ip")), F.lit(" - - ["), pick(3, F.lit("31/Feb/2024:00:00:00 +0000"), time), F.lit('] "'), request_text(), F.lit('" '),
+        pick(2, F.lit("999"), dashed("status")), F.lit(" "), pick(5, F.lit("1x"), dashed("bytes_sent")), pick(4, F.lit(" more"), F.lit("")), F.lit("") if tail is None else tail,
     )
-    return logs.where(_WHOLE).select("source_id", "line_number", line.alias("value"))
+    return logs.select("source_id", "line_number", line.alias("value"))
 
 
 def combined_lines(logs: DataFrame) -> DataFrame:
-    tail = F.concat(F.lit(' "'), F.coalesce("referrer", F.lit("-")), F.lit('" "'), F.coalesce("user_agent", F.lit("-")), F.lit('"'))
-    agents = logs.select(F.col("source_id").alias("_s"), F.col("line_number").alias("_l"), tail.alias("_tail"))
-    own = common_lines(logs)
-    return own.join(agents, (own["source_id"] == agents["_s"]) & (own["line_number"] == agents["_l"])).select("source_id", "line_number", F.concat("value", "_tail").alias("value"))
+    return common_lines(logs, tail=F.concat(F.lit(' "'), dashed("referrer"), F.lit('" "'), dashed("user_agent"), F.lit('"')))
 
 
 def w3c_lines(logs: DataFrame) -> DataFrame:
-    """Each source's rows as W3C lines below a header at line 0; it changes its columns once."""
-    rows = logs.where(_WHOLE)
+    """Each source's rows as W3C lines below a header at line 0; from line 501 on they are one line lower, below another header."""
+    stamp = F.concat_ws(" ", F.coalesce(F.date_format("timestamp_utc", "yyyy-MM-dd"), F.lit("-")), F.coalesce(F.date_format("timestamp_utc", "HH:mm:ss"), F.lit("-")))
     late = F.col("line_number") > 500
-    first = F.concat_ws(" ", F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss"), "client_ip", "method", "request_target", "status")
-    second = F.concat_ws(" ", F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss"), "client_ip", "request_target", "bytes_sent")
-    body = rows.where("line_number <> 500").select("source_id", "line_number", F.when(late, second).otherwise(first).alias("value"))
-    heads = logs.sparkSession.createDataFrame([(s, n, v) for s in (1, 2) for n, v in ((0, "#Fields: date time c-ip cs-method cs-uri-stem sc-status"), (500, "#Fields: date time c-ip cs-uri-stem sc-bytes"))], "source_id long, line_number long, value string")
+    first = F.concat_ws(" ", stamp, *map(dashed, ("client_ip", "method", "request_target", "status")))
+    second = F.concat_ws(" ", stamp, *map(dashed, ("client_ip", "request_target", "bytes_sent")))
+    body = logs.select("source_id", (F.col("line_number") + late.cast("int")).alias("line_number"), F.when(late, second).otherwise(first).alias("value"))
+    heads = logs.sparkSession.createDataFrame([(s, n, v) for s in (1, 2) for n, v in ((0, "#Fields: date time c-ip cs-method cs-uri-stem sc-status"), (501, "#Fields: date time c-ip cs-uri-stem sc-bytes"))], "source_id long, line_number long, value string")
     return body.unionByName(heads)
 
 
@@ -235,31 +291,39 @@ def _parsed(t: DataFrame, name: str) -> DataFrame:
 
 _COLUMNS = "source_id, line_number, tz_offset_seconds, client_ip, method, request_target, protocol, status, bytes_sent"
 _NAMES = _COLUMNS.split(", ")
-add("parse_common", lambda t: _parsed(common_lines(t["logs"]), "common").select(*_NAMES, "micros"), f"SELECT {_COLUMNS}, {_SECOND} AS micros FROM logs WHERE {_WHOLE}")
-add("parse_combined_roundtrip", lambda t: _parsed(combined_lines(t["logs"]), "combined").select(*_NAMES, "micros", "referrer", "user_agent", "extra_json"), f"SELECT {_COLUMNS}, {_SECOND} AS micros, referrer, user_agent, CAST(NULL AS VARCHAR) AS extra_json FROM logs WHERE {_WHOLE}")
+add("parse_common", lambda t: _parsed(common_lines(t["logs"]), "common").select(*_NAMES, "micros"), f"SELECT {_COLUMNS}, {_SECOND} AS micros FROM logs")
+add("parse_combined_roundtrip", lambda t: _parsed(combined_lines(t["logs"]), "combined").select(*_NAMES, "micros", "referrer", "user_agent", "extra_json"), f"SELECT {_COLUMNS}, {_SECOND} AS micros, referrer, user_agent, CAST(NULL AS VARCHAR) AS extra_json FROM logs")
 add(
     "parse_errors_by_code",
     lambda t: parse.parse(common_lines(t["logs"], True), formats.preset("common")).groupBy("kind", "code", "field").agg(F.count("*").alias("n")),
     "SELECT CASE WHEN k BETWEEN 1 AND 5 THEN 'error' ELSE 'record' END AS kind, CASE k "
     + " ".join(f"WHEN {k} THEN '{c}'" for k, (c, _) in _SPOILED.items()) + " END AS code, CASE k " + " ".join(f"WHEN {k} THEN '{f}'" for k, (_, f) in _SPOILED.items() if f)
-    + f" END AS field, count(*) AS n FROM (SELECT line_number % 10 AS k FROM logs WHERE {_WHOLE}) GROUP BY 1, 2, 3",
+    + f" END AS field, count(*) AS n FROM (SELECT line_number % 10 AS k FROM logs) GROUP BY 1, 2, 3",
 )
-add("match_rate", lambda t: parse.match_rate(parse.parse(common_lines(t["logs"], True), formats.preset("common"))), f"SELECT source_id, count(*) FILTER (line_number % 10 NOT BETWEEN 1 AND 5) AS records, count(*) FILTER (line_number % 10 BETWEEN 1 AND 5) AS errors, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (line_number % 10 NOT BETWEEN 1 AND 5) / CAST(count(*) AS DOUBLE) AS match_rate FROM logs WHERE {_WHOLE} GROUP BY source_id")
-add("detect_best_profile", lambda t: lines.detect(combined_lines(t["logs"]), rows=10**9).select("source_id", "candidate", "records"), f"SELECT source_id, 'combined' AS candidate, count(*) AS records FROM logs WHERE {_WHOLE} GROUP BY source_id")
+add("match_rate", lambda t: parse.match_rate(parse.parse(common_lines(t["logs"], True), formats.preset("common"))), f"SELECT source_id, count(*) FILTER (line_number % 10 NOT BETWEEN 1 AND 5) AS records, count(*) FILTER (line_number % 10 BETWEEN 1 AND 5) AS errors, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (line_number % 10 NOT BETWEEN 1 AND 5) / CAST(count(*) AS DOUBLE) AS match_rate FROM logs GROUP BY source_id")
+add("detect_best_profile", lambda t: lines.detect(combined_lines(t["logs"]), rows=10**9).select("source_id", "candidate", "records"), f"SELECT source_id, 'combined' AS candidate, count(*) AS records FROM logs GROUP BY source_id")
 add(
     "parse_w3c_ffill",
     lambda t: _parsed(w3c_lines(t["logs"]), "w3c").select("source_id", "line_number", "client_ip", "method", "request_target", "status", "bytes_sent", "micros"),
-    f"SELECT source_id, line_number, client_ip, CASE WHEN line_number < 500 THEN method END AS method, request_target, CASE WHEN line_number < 500 THEN status END AS status, CASE WHEN line_number > 500 THEN bytes_sent END AS bytes_sent, {_SECOND} AS micros FROM logs WHERE {_WHOLE} AND line_number <> 500",
+    f"SELECT source_id, line_number + CASE WHEN line_number > 500 THEN 1 ELSE 0 END AS line_number, client_ip, CASE WHEN line_number <= 500 THEN method END AS method, request_target, CASE WHEN line_number <= 500 THEN status END AS status, CASE WHEN line_number > 500 THEN bytes_sent END AS bytes_sent, {_SECOND} AS micros FROM logs",
 )
 add("parse_request_line", lambda t: kept(t, ALL).select(*KEY, *[c.alias(n) for c, n in zip(parse.request_parts(F.concat_ws(" ", "method", "request_target", "protocol")), ("m", "t", "p"), strict=True)]), f"SELECT {', '.join(KEY)}, method AS m, request_target AS t, protocol AS p {_A}")
 add("parse_tz_policy", lambda t: t["logs"].where("timestamp_utc is not null").select(*KEY, parse.timestamp(clf_time(), {"kind": "clf"}, {"kind": "fixed", "offset_seconds": 32_400})[0].alias("micros")), f"SELECT {', '.join(KEY)}, {_SECOND} - 32400000000 AS micros FROM logs WHERE timestamp_utc IS NOT NULL")
 _DASH = lambda c: f"coalesce(CAST({c} AS VARCHAR), '-')"
+_REQUEST = f"CASE WHEN method IS NULL AND request_target IS NULL AND protocol IS NULL THEN '-' ELSE {_DASH('method')} || ' ' || {_DASH('request_target')} || ' ' || {_DASH('protocol')} END"
 add(
     "reconstruct_combined",
-    lambda t: t["logs"].where("job_id < 3").select(*KEY, reconstruct.combined_like().alias("text")),
-    f"SELECT {', '.join(KEY)}, {_DASH('client_ip')} || ' - - [' || coalesce({_CLF_SQL} || ' +0000', '-') || '] \"' || {_DASH('method')} || ' ' || {_DASH('request_target')} || ' ' || {_DASH('protocol')} || '\" ' || {_DASH('status')} || ' ' || {_DASH('bytes_sent')} || ' \"' || {_DASH('referrer')} || '\" \"' || {_DASH('user_agent')} || '\"' AS text FROM logs WHERE job_id < 3",
+    lambda t: t["logs"].select(*KEY, reconstruct.combined_like().alias("text")),
+    f"SELECT {', '.join(KEY)}, {_DASH('client_ip')} || ' - - [' || coalesce({_CLF_SQL} || ' +0000', '-') || '] \"' || {_REQUEST} || '\" ' || {_DASH('status')} || ' ' || {_DASH('bytes_sent')} || ' \"' || {_DASH('referrer')} || '\" \"' || {_DASH('user_agent')} || '\"' AS text FROM logs",
 )
-add("job_counters", lambda t: t["logs"].groupBy("job_id", "batch_id").agg(F.count("*").alias("records")).groupBy("job_id").agg(F.count("*").alias("batches"), F.sum("records").alias("records")), "SELECT job_id, count(DISTINCT batch_id) AS batches, count(*) AS records FROM logs GROUP BY job_id")
+add("job_counters", lambda t: paging.batches_of_jobs(t["logs"]).select("job_id", "batches", "records"), "SELECT job_id, count(DISTINCT batch_id) AS batches, count(*) AS records FROM logs GROUP BY job_id")
 add("export_json_lines", lambda t: exporting.json_lines(kept(t, ERRORS)).select("source_id", "line_number", F.get_json_object("line", "$.extra.message").alias("message"), F.get_json_object("line", "$.timestamp_utc").alias("time"), F.get_json_object("line", "$.method").alias("method")), f"SELECT source_id, line_number, {_MESSAGE} AS message, nullif({_ISO}, '') AS time, method {_E}")
 add("url_decoded", lambda t: kept(t, ALL).select(*KEY, display.url_decoded(F.col("request_target")).alias("text")), f"SELECT {', '.join(KEY)}, replace(replace(request_target, '%27', ''''), '%20', ' ') AS text {_A}")
-add("iso_and_offset", lambda t: t["logs"].select(*KEY, display.iso_utc(F.col("timestamp_utc")).alias("iso"), display.offset_text(F.col("tz_offset_seconds") - 19_800).alias("zone"), display.bytes_text(F.col("bytes_sent")).alias("size")).where("size is null or size like '% B'").drop("size"), f"SELECT {', '.join(KEY)}, {_ISO} AS iso, CASE WHEN tz_offset_seconds IS NOT NULL THEN '-05:30' END AS zone FROM logs WHERE bytes_sent IS NULL OR bytes_sent < 1024")
+_UNITS = " ".join(f"WHEN bytes_sent < {1024 ** (k + 1)} THEN CASE WHEN bytes_sent / {1024.0**k} >= 100 THEN CAST(CAST(floor(bytes_sent / {1024.0**k} + 0.5) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', floor(bytes_sent / {1024.0**k} * 10 + 0.5) / 10) END || ' {u}'" for k, u in ((1, "KiB"), (2, "MiB"), (3, "GiB")))
+_BYTES = f"CASE WHEN bytes_sent IS NULL THEN '–' WHEN bytes_sent < 1024 THEN CAST(bytes_sent AS VARCHAR) || ' B' {_UNITS} END"
+add(
+    "iso_and_offset",
+    lambda t: t["logs"].select(*KEY, display.iso_utc(F.col("timestamp_utc")).alias("iso"), display.offset_text(F.col("tz_offset_seconds") - 19_800).alias("zone"), display.time_text(F.col("timestamp_utc")).alias("shown"), display.bytes_text(F.col("bytes_sent")).alias("size")),
+    f"SELECT {', '.join(KEY)}, {_ISO} AS iso, CASE WHEN tz_offset_seconds IS NOT NULL THEN 'UTC-05:30' ELSE '미확정' END AS zone, coalesce(strftime(timestamp_utc + INTERVAL 9 HOURS, '%Y-%m-%d %H:%M:%S'), '(시간 미확정)') AS shown, {_BYTES} AS size FROM logs",
+)
+add("bytes_text_cases", lambda t: t["logs"].select(*KEY, display.bytes_text(F.col("bytes_sent") * F.col("line_number")).alias("size")), f"SELECT {', '.join(KEY)}, {_BYTES} AS size FROM (SELECT * REPLACE (bytes_sent * line_number AS bytes_sent) FROM logs)")

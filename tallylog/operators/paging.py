@@ -73,6 +73,18 @@ def max_batch(logs: DataFrame) -> int:
     return logs.agg(F.coalesce(F.max("batch_id"), F.lit(0))).first()[0]
 
 
+def batches_of_jobs(logs: DataFrame) -> DataFrame:
+    """(job_id, batches, records, max_batch) of the rows that are there."""
+    by_batch = logs.groupBy("job_id", "batch_id").agg(F.count("*").alias("n"))
+    return by_batch.groupBy("job_id").agg(F.count("*").alias("batches"), F.sum("n").alias("records"), F.max("batch_id").alias("max_batch"))
+
+
+def newest_of_lines(logs: DataFrame, sources: DataFrame) -> DataFrame:
+    """``detail`` for all lines at once: (source_id, line_number, job_id, current_path) of each line's newest job."""
+    newest = logs.groupBy("source_id", "line_number").agg(F.max("job_id").alias("job_id"))
+    return newest.join(sources.select("source_id", "current_path"), "source_id")
+
+
 def fetch_page(logs: DataFrame, f: LogFilter, jobs: DataFrame, bookmarks: DataFrame, rows: int = 200, descending: bool = False, cursor: Cursor | None = None) -> Page:
     limit = cursor.max_batch if cursor else max_batch(logs)
     plan = page_plan(logs, f, jobs, bookmarks, rows, descending, cursor, limit)

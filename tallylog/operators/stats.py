@@ -89,21 +89,41 @@ def timeline(logs: DataFrame, seconds: int, offset: int = 0, limit: int | None =
     return found if limit is None else found.limit(limit)
 
 
+def auto_timeline(logs: DataFrame, offset: int = 0, limit: int | None = BUCKETS) -> DataFrame:
+    """``timeline`` with the bucket size that suits the range of times."""
+    span = totals(logs).first()
+    return timeline(logs, auto_bucket(span["first_micros"] or 0, span["last_micros"] or 0), offset, limit)
+
+
 def compute(logs: DataFrame, kind: str | None, top_n: int = 20, bucket: str | int = "auto", offset: int = 0) -> dict[str, DataFrame | bool]:
     """All statistics of one filter, by name; ``truncated`` tells whether the timeline had more buckets."""
-    total = totals(logs).persist()
-    span = total.first()
+    span = totals(logs).first()
     size = NAMED.get(bucket, bucket) if bucket != "auto" else auto_bucket(span["first_micros"] or 0, span["last_micros"] or 0)
+    total = logs.sparkSession.createDataFrame([span], totals(logs).schema)
     found: dict[str, DataFrame | bool] = {"totals": total, "top_ips": top_ips(logs, top_n), "ip_rows": ip_rows(logs, top_n)}
     if kind == "error":
         found |= {"levels": by_level(logs), "top_messages": top_messages(logs, top_n)}
     else:
         found |= {"status": by_status(logs), "methods": by_method(logs), "top_targets": top_targets(logs, top_n)}
-    found["timeline"] = timeline(logs, size, offset)
-    found["truncated"] = timeline(logs, size, offset, BUCKETS + 1).count() > BUCKETS
+    # at most BUCKETS + 1 rows, so these are fetched once
+    line = timeline(logs, size, offset, BUCKETS + 1)
+    rows = line.collect()
+    found["timeline"] = logs.sparkSession.createDataFrame(rows[:BUCKETS], line.schema)
+    found["truncated"] = len(rows) > BUCKETS
     return found
 
 
+def ip_order(rows: DataFrame, by: str = "count", descending: bool = True) -> DataFrame:
+    """Rows of addresses sorted by ``count``, ``first`` or ``last`` time, then by address; no first time counts as the latest, no last time as the earliest."""
+    key = {"count": F.col("n"), "first": F.coalesce("first_micros", F.lit((1 << 53) - 1)), "last": F.coalesce("last_micros", F.lit(-1))}[by]
+    return rows.orderBy(key.desc() if descending else key.asc(), "client_ip")
+
+
 def ranked(ips: DataFrame) -> DataFrame:
     """A bounded list of addresses with its rank column."""
     return ips.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "client_ip")))
+
+
+def ranked_by(ips: DataFrame) -> DataFrame:
+    """(client_ip, rank) of a bounded, sorted list of addresses."""
+    return ips.coalesce(1).select("client_ip", (F.monotonically_increasing_id() + 1).alias("rank"))
