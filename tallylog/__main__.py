@@ -93,10 +93,10 @@ def main(argv: list[str] | None = None) -> int:
             synth.generate(spark, a.lines, a.format, a.seed).sort("line_number").select("value").write.text(a.out)
         case "scan":
             found = lines.scan(a.folder, tuple(a.include), tuple(a.exclude))
-            named = {r.source_id: r for r in lines.detect(lines.read_sources(spark, list(enumerate(found.files)))).collect()} if found.files else {}
+            named = {r.source_id: r for r in lines.detect(lines.read_heads(spark, list(enumerate(found.files)))).collect()} if found.files else {}
             show([{"path": p, "format": named[k].candidate if k in named else None} for k, p in enumerate(found.files)])
         case "preview":
-            outcomes, rate = lines.preview(lines.read_sources(spark, [(1, a.file)]), profile_of(a.profile))
+            outcomes, rate = lines.preview(lines.read_heads(spark, [(1, a.file)]), profile_of(a.profile))
             show(outcomes.orderBy("line_number"))
             show(rate)
         case "profile":

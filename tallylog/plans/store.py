@@ -1,7 +1,10 @@
 """The store of parsed results: Parquet folders, committed batch by batch.
 
-``logs`` and ``parse_errors`` are written below a folder of their batch; the batch counts
-once its row is in ``batches``, which is written last, so a broken write is never read.
+A batch is BATCH_ROWS lines of a source.  Batches are written in waves, each one Spark job
+over many batches of many sources, below folders by job, wave, kind and batch; rows are
+written once, and their counts come from what was written.  A batch counts once its row is in
+``batches``, which is written last, so a broken write is never read, and a run that is
+interrupted, cancelled or failed goes on after the last committed batch of each source.
 Small tables (jobs, sources, views, bookmarks) are JSON files that are replaced in one step.
 Raw text is never written.
 """
@@ -13,17 +16,22 @@ import os
 import re
 import shutil
 import time
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylog.plans.schema import BATCH_ERRORS, BOOKMARKS, IMPORT_BATCHES, IMPORT_JOBS, LOGS, PARSE_ERRORS, RESUMABLE, SAVED_VIEWS, SOURCES, VIEW_NAME_BYTES
+from tallylog.plans.schema import BATCH_ERRORS, BATCH_ROWS, BOOKMARKS, IMPORT_BATCHES, IMPORT_JOBS, LOGS, PARSE_ERRORS, RESUMABLE, SAVED_VIEWS, SOURCES, VIEW_NAME_BYTES
 from tallylog.sources import lines as files
 from tallylog.sources import parse
 from tallylog.sources.formats import definition_hash
 
 
+#: batches of one wave at least, waves of a group at most, and bytes of the files that are read as one
+WAVE, WAVES, GROUP_BYTES = 64, 16, 64 << 30
+
+
 class StoreError(ValueError):
     pass
 
@@ -115,67 +123,151 @@ class Store:
         if job["status"] in ("running", "queued", "cancelling") or job["active"] and job["status"].startswith("completed"):
             raise StoreError("the results are in use")
         self._save("batches", [b for b in self._load("batches") if b["job_id"] != job_id])
-        for table in ("logs", "parse_errors"):
-            shutil.rmtree(self.root / table / f"job={job_id}", ignore_errors=True)
+        shutil.rmtree(self.root / "rows" / f"job_id={job_id}", ignore_errors=True)
         self._save("jobs", [j for j in self._load("jobs") if j["job_id"] != job_id])
 
     # --- import -------------------------------------------------------------------------
 
-    def run(self, job_id: int, profile: dict) -> dict:
-        """Parse and commit every source of the job that isn't committed yet, a source a batch."""
+    def run(self, job_id: int, profile: dict, batch_rows: int = BATCH_ROWS, wave: int = WAVE) -> dict:
+        """Parse and commit all batches of the job that aren't committed yet, ``wave`` batches at a time or a sixteenth of a group of sources."""
         job = self.job(job_id)
         if job["status"] not in ("queued", *RESUMABLE):
             raise StoreError("the job isn't waiting")
-        self._update("jobs", "job_id", job_id, status="running")
+        self._update("jobs", "job_id", job_id, status="running", failure_reason=None, finished_at=None)
         try:
-            for source_id in job["source_ids"]:
-                path = next(s["current_path"] for s in self._load("sources") if s["source_id"] == source_id)
-                if not self.verify(source_id):
-                    raise StoreError("the source has changed")
-                self.commit(job_id, source_id, 0, parse.parse(files.read_sources(self.spark, [(source_id, path)]), profile))
+            for group in self._groups(job["source_ids"]):
+                if not self._run_group(job_id, group, profile, batch_rows, wave):
+                    self._update("jobs", "job_id", job_id, status="cancelled", finished_at=time.time())
+                    return self.job(job_id)
             errors = self.job(job_id)["committed_errors"]
             self._update("jobs", "job_id", job_id, status="completed_with_errors" if errors else "completed", finished_at=time.time())
         except Exception as error:
-            self._update("jobs", "job_id", job_id, status="failed", failure_reason=type(error).__name__, finished_at=time.time())
+            self._update("jobs", "job_id", job_id, status="failed", failure_reason=str(error) if isinstance(error, StoreError) else type(error).__name__, finished_at=time.time())
             raise
         return self.job(job_id)
 
-    def commit(self, job_id: int, source_id: int, seq: int, outcomes: DataFrame) -> int | None:
-        """Write one batch; None if the same batch is committed already."""
-        batches = self._load("batches")
-        if any((b["job_id"], b["source_id"], b["batch_seq"]) == (job_id, source_id, seq) for b in batches):
-            return None
-        batch_id = max((b["batch_id"] for b in batches), default=0) + 1
-        outcomes = outcomes.persist()
-        try:
-            n = outcomes.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("record", "error", "skipped")], F.min("line_number").alias("first"), F.max("line_number").alias("last")).first()
-            if n["error"] > BATCH_ERRORS and not n["record"]:
+    def cancel(self, job_id: int) -> None:
+        """Ask a running job to stop after the wave that it is at; a waiting one is stopped at once."""
+        status = self.job(job_id)["status"]
+        if status == "running":
+            self._update("jobs", "job_id", job_id, status="cancelling")
+        elif status == "queued":
+            self._update("jobs", "job_id", job_id, status="cancelled", finished_at=time.time())
+        else:
+            raise StoreError("the job doesn't run")
+
+    def _groups(self, source_ids: list[int]) -> list[list[tuple[int, str]]]:
+        """Sources in order, in runs of about GROUP_BYTES, so that many small files are one job and a large one is one of its own."""
+        held = {s["source_id"]: s for s in self._load("sources")}
+        found, size = [], 0
+        for source_id in source_ids:
+            row = held[source_id]
+            if not found or size + row["file_size"] > GROUP_BYTES:
+                found.append([])
+                size = 0
+            found[-1].append((source_id, row["current_path"]))
+            size += row["file_size"]
+        return found
+
+    def _unchanged(self, sources: Iterable[int]) -> None:
+        if changed := [s for s in sources if not self.verify(s)]:
+            raise StoreError(f"sources have changed: {changed}")
+
+    def _run_group(self, job_id: int, group: list[tuple[int, str]], profile: dict, batch_rows: int, wave: int) -> bool:
+        """Whether all batches of the group are committed; not if the job is cancelled before."""
+        self._unchanged(s for s, _ in group)
+        lines, counts = files.read_counted(self.spark, group)
+        done = {(b["source_id"], b["batch_seq"]) for b in self._load("batches") if b["job_id"] == job_id}
+        todo = [(s, seq) for s, _ in group for seq in range(-(-counts[s] // batch_rows)) if (s, seq) not in done]
+        # a wave reads its group anew, so there are never many of them
+        step = max(wave, -(-len(todo) // WAVES))
+        for k in range(0, len(todo), step):
+            if self.job(job_id)["status"] == "cancelling":
+                return False
+            self._commit_wave(job_id, todo[k : k + step], lines, profile, batch_rows)
+        return True
+
+    def _commit_wave(self, job_id: int, batches: list[tuple[int, int]], lines: DataFrame, profile: dict, batch_rows: int) -> None:
+        held = self._load("batches")
+        first_id = max((b["batch_id"] for b in held), default=0) + 1
+        # the batches of a source that are left are consecutive
+        ranges: dict[int, list[int]] = {}
+        for k, (source, seq) in enumerate(batches):
+            ranges.setdefault(source, [seq, seq, first_id + k])[1] = seq
+        table = self.spark.createDataFrame([(s, lo * batch_rows, (hi + 1) * batch_rows, first - lo) for s, (lo, hi, first) in ranges.items()], "source_id long, _after long, _upto long, _shift long")
+        outcomes = parse.parse(lines, profile)
+        number = F.col("line_number")
+        own = outcomes.join(F.broadcast(table), "source_id").where((number > F.col("_after")) & (number <= F.col("_upto")))
+        batch = F.floor((number - 1) / batch_rows).cast("long") + F.col("_shift")
+        path = f"{self.root}/rows/job_id={job_id}/wave={first_id}"
+        rows = own.select("source_id", number, "record", "code", "field", "kind", batch.alias("batch_id"))
+        flat = [f"record.{n}" for n in LOGS.names if n in parse.RECORD_NAMES]
+        rows = rows.select("source_id", "line_number", *flat, parse.extra_json(F.col("record.extra")).alias("extra_json"), "code", "field", "kind", "batch_id")
+        rows.sortWithinPartitions("kind", "batch_id", "timestamp_utc", "source_id", "line_number").write.mode("overwrite").partitionBy("kind", "batch_id").parquet(path)
+        told = self.spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}").parquet(path)
+        found = {r["batch_id"]: r for r in told.groupBy("batch_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("record", "error", "skipped")], F.min("line_number").alias("first"), F.max("line_number").alias("last")).collect()}
+        for source in ranges:
+            n = [found[first_id + k] for k, (s, _) in enumerate(batches) if s == source and first_id + k in found]
+            earlier = [b for b in held if b["job_id"] == job_id and b["source_id"] == source]
+            errors, records = sum(r["error"] for r in n) + sum(b["error_count"] for b in earlier), sum(r["record"] for r in n) + sum(b["record_count"] for b in earlier)
+            if errors > BATCH_ERRORS and not records:
                 raise StoreError("the file doesn't fit its format")
-            keys = {"job_id": F.lit(job_id).cast("long"), "batch_id": F.lit(batch_id).cast("long")}
-            logs = parse.records(outcomes).withColumns(keys).select(LOGS.names)
-            logs.sortWithinPartitions("timestamp_utc", "source_id", "line_number").write.mode("overwrite").parquet(f"{self.root}/logs/job={job_id}/batch={batch_id}")
-            bad = outcomes.where("kind = 'error'").withColumns(keys | {"error_code": F.col("code"), "field_name": F.col("field")}).select(PARSE_ERRORS.names)
-            bad.write.mode("overwrite").parquet(f"{self.root}/parse_errors/job={job_id}/batch={batch_id}")
-        finally:
-            outcomes.unpersist()
-        row = {"job_id": job_id, "source_id": source_id, "batch_id": batch_id, "batch_seq": seq, "start_line": n["first"], "end_line": n["last"], "record_count": n["record"], "error_count": n["error"], "skipped_count": n["skipped"], "committed_at": time.time()}
-        self._save("batches", [*batches, row])
-        own = [b for b in self._load("batches") if b["job_id"] == job_id]
+        self._unchanged(ranges)
+        now = time.time()
+        made = [
+            {"job_id": job_id, "source_id": s, "batch_id": first_id + k, "batch_seq": seq, "wave": first_id, "start_line": r["first"], "end_line": r["last"], "record_count": r["record"], "error_count": r["error"], "skipped_count": r["skipped"], "committed_at": now}
+            for k, (s, seq) in enumerate(batches) if (r := found.get(first_id + k))
+        ]
+        self._save("batches", [*held, *made])
+        own = [b for b in (*held, *made) if b["job_id"] == job_id]
         self._update("jobs", "job_id", job_id, **{f"committed_{t}": sum(b[f"{k}_count"] for b in own) for t, k in (("records", "record"), ("errors", "error"), ("skipped", "skipped"))})
-        return batch_id
 
     # --- reading ------------------------------------------------------------------------
 
-    def _table(self, name: str, schema: object) -> DataFrame:
-        """Rows of committed batches only."""
-        paths = [f"{self.root}/{name}/job={b['job_id']}/batch={b['batch_id']}" for b in self._load("batches")]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def _rows(self, kind: str) -> DataFrame | None:
+        """Rows of one kind of the committed waves; folders of other jobs, kinds and batches are pruned."""
+        waves = sorted({(b["job_id"], b["wave"]) for b in self._load("batches")})
+        paths = [p for j, w in waves if Path(p := f"{self.root}/rows/job_id={j}/wave={w}").exists()]
+        if not paths:
+            return None
+        names = {f.name: f.dataType.simpleString() for f in LOGS} | {"code": "string", "field": "string", "kind": "string", "wave": "long"}
+        return self.spark.read.option("basePath", f"{self.root}/rows").schema(", ".join(f"{n} {t}" for n, t in names.items())).parquet(*paths).where(F.col("kind") == kind)
 
     def logs(self) -> DataFrame:
-        return self._table("logs", LOGS)
+        found = self._rows("record")
+        return self.spark.createDataFrame([], LOGS) if found is None else found.select(LOGS.names)
 
     def parse_errors(self) -> DataFrame:
-        return self._table("parse_errors", PARSE_ERRORS)
+        found = self._rows("error")
+        if found is None:
+            return self.spark.createDataFrame([], PARSE_ERRORS)
+        return found.withColumns({"error_code": F.col("code"), "field_name": F.col("field")}).select(PARSE_ERRORS.names)
+
+    def max_batch(self) -> int:
+        """The last committed batch, from the list of batches."""
+        return max((b["batch_id"] for b in self._load("batches")), default=0)
+
+    def last_checkpoint(self, job_id: int, source_id: int) -> dict | None:
+        """The last committed batch of a source, after which a run goes on."""
+        own = [b for b in self._load("batches") if (b["job_id"], b["source_id"]) == (job_id, source_id)]
+        return max(own, key=lambda b: b["batch_seq"], default=None)
+
+    def job_sources(self, job_id: int) -> list[dict]:
+        """The job's sources in order, with their paths and how far each is."""
+        held = {s["source_id"]: s for s in self._load("sources")}
+        status = self.job(job_id)["status"]
+        found = []
+        for k, source_id in enumerate(self.job(job_id)["source_ids"]):
+            last = self.last_checkpoint(job_id, source_id)
+            state = "completed" if status.startswith("completed") else "queued" if last is None else "running"
+            found.append({"job_id": job_id, "source_id": source_id, "ordinal": k, "status": state, "current_path": held[source_id]["current_path"], "original_path": held[source_id]["original_path"], "end_line": last and last["end_line"]})
+        return found
+
+    def table_counts(self) -> dict[str, int]:
+        """Rows of every table; those of the large ones are added up from the batches."""
+        batches = self._load("batches")
+        found = {n: len(self._load(n)) for n in ("jobs", "sources", "profiles", "bookmarks", "views")}
+        return found | {"batches": len(batches), "logs": sum(b["record_count"] for b in batches), "parse_errors": sum(b["error_count"] for b in batches)}
 
     def jobs(self) -> DataFrame:
         return self._frame("jobs", IMPORT_JOBS).orderBy(F.desc("job_id"))

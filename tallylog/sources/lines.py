@@ -8,6 +8,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,7 +20,9 @@ from tallylog.sources.formats import definition_hash, preset
 
 #: fixed values: formats that detection tries, in order of preference
 CANDIDATES = ("combined", "common", "w3c")
-HEAD_BYTES = 64 << 10
+HEAD_BYTES, PREVIEW_BYTES = 64 << 10, 1 << 20
+#: rows of the table of blocks that a broadcast may hold: about 24 MB
+BROADCAST_BLOCKS = 1 << 20
 
 
 @dataclass
@@ -81,25 +84,37 @@ def identities(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("file_size"), F.sha2(F.substring("content", 1, HEAD_BYTES), 256).alias("head_hash"), F.unix_seconds("modificationTime").alias("modified_unix"))
 
 
-def read_lines(spark: SparkSession, sources: list[tuple[int, str]]) -> DataFrame:
-    """(source_id, line_number, value) of text files, gzip files by their ``.gz`` names included.
+def _plain(path: str) -> str:
+    """A path as Spark's metadata has it, without its percent codes."""
+    whole = path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
+    return re.sub("^file:/+", "file:///", unquote(whole) if "%" in whole and "://" in path else whole)
 
-    Lines end in ``\\n`` only.  Blocks of a file are read on their own; their line counts, one
-    row a block, are added up and joined back, so lines are numbered without a shuffle.
+
+def read_lines(spark: SparkSession, sources: list[tuple[int, str]]) -> tuple[DataFrame, dict[int, int]]:
+    """(source_id, line_number, value) of text files, gzip files by their ``.gz`` names included, and the number of lines of each source.
+
+    Lines end in ``\\n`` only.  Blocks of a file are read on their own.  Their line counts, one
+    row a block as the scheduler has them anyway, are added up first and joined back by one
+    number a block, so lines are numbered without a shuffle.
     """
     # Spark hides names that begin with a dot or an underscore; such files are read one by one elsewhere
     raw = spark.read.option("lineSep", "\n").text([p for _, p in sources])
     raw = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
-    blocks = raw.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    names = spark.createDataFrame([(i, p if "://" in p else f"file://{os.path.abspath(p)}") for i, p in sources], "source_id long, _name string")
-    norm = F.regexp_replace("_file", "^file:/+", "file:///")
-    blocks = blocks.join(names, norm == F.regexp_replace("_name", "^file:/+", "file:///"))
-    numbered = raw.join(blocks, ["_file", "_block"])
-    number = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    raw = raw.select(F.xxhash64("_file", "_block").alias("_key"), "_file", "_block", "_at", "value")
+    counted = raw.groupBy("_file", "_block", "_key").agg(F.min("_at").alias("first"), F.count("*").alias("n")).collect()
+    of = {_plain(p): i for i, p in sources}
+    before: dict[int, int] = {i: 0 for i, _ in sources}
+    shifts = []
+    for row in sorted(counted, key=lambda r: (r["_file"], r["_block"])):
+        source = of.get(_plain(row["_file"]), of.get(_plain(unquote(row["_file"]))))
+        shifts.append((row["_key"], source, before[source] - row["first"] + 1))
+        before[source] += row["n"]
+    table = spark.createDataFrame(shifts, "_key long, source_id long, _shift long")
+    numbered = raw.select("_key", "_at", "value").join(F.broadcast(table) if len(shifts) <= BROADCAST_BLOCKS else table, "_key")
+    number = F.col("_at") + F.col("_shift")
     # a mark of byte order belongs to the file, not to its first line
-    return numbered.select("source_id", number.alias("line_number"), F.when((number == 1) & F.col("value").startswith("\ufeff"), F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value")).alias("value"))
+    value = F.when((number == 1) & F.col("value").startswith("\ufeff"), F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value"))
+    return numbered.select("source_id", number.alias("line_number"), value.alias("value")), before
 
 
 def read_gzip(spark: SparkSession, sources: list[tuple[int, str]]) -> DataFrame:
@@ -129,10 +144,43 @@ def _numbered(source: int, first: int, part: list[bytes]) -> pa.RecordBatch:
 
 def read_sources(spark: SparkSession, sources: list[tuple[int, str]]) -> DataFrame:
     """Lines of all files, whatever they are compressed with and called."""
+    return read_counted(spark, sources)[0]
+
+
+def read_counted(spark: SparkSession, sources: list[tuple[int, str]]) -> tuple[DataFrame, dict[int, int]]:
+    """``read_sources``, and the number of lines of each source."""
     odd = [(i, p) for i, p in sources if "://" not in p and is_gzip(p) and not p.endswith(".gz")]
     plain = [s for s in sources if s not in odd]
-    frames = ([read_lines(spark, plain)] if plain else []) + ([read_gzip(spark, odd)] if odd else [])
-    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+    found, counts = None, {i: 0 for i, _ in sources}
+    if plain:
+        found, own = read_lines(spark, plain)
+        counts |= own
+    if odd:
+        more = read_gzip(spark, odd)
+        counts |= {r["source_id"]: r["n"] for r in more.groupBy("source_id").agg(F.max("line_number").alias("n")).collect()}
+        found = more if found is None else found.unionByName(more)
+    return found, counts
+
+
+def read_heads(spark: SparkSession, sources: list[tuple[int, str]], size: int = PREVIEW_BYTES) -> DataFrame:
+    """The numbered lines within the first ``size`` bytes of each file, unpacked; a last line that is cut goes, unless it is the only one.
+
+    A task reads the beginning of its files, so a look at large files costs no scan of them.
+    """
+    names = spark.createDataFrame(sources, "source_id long, path string").repartition(max(1, min(len(sources), 1024)), "path")
+
+    def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for source, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with gzip.open(path, "rb") if is_gzip(path) else open(path, "rb") as stream:
+                    data = stream.read(size + 1)
+                part = data[:size].removeprefix(b"\xef\xbb\xbf").split(b"\n")
+                if len(part) > 1 and (len(data) > size or not part[-1]):
+                    part.pop()
+                if part != [b""]:
+                    yield _numbered(source, 1, part)
+
+    return names.mapInArrow(each, "source_id long, line_number long, bytes binary").select("source_id", "line_number", F.col("bytes").cast("string").alias("value"))
 
 
 def preview(lines: DataFrame, profile: dict, rows: int = DETECT_LINES) -> tuple[DataFrame, DataFrame]:

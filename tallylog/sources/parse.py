@@ -13,12 +13,12 @@ from tallylog.plans.schema import LINE_BYTES, W3C_FIELDS
 from tallylog.sources.formats import FieldDef, compile_blocks
 
 RECORD = "struct<timestamp_utc: timestamp, tz_offset_seconds: int, client_ip: string, method: string, request_target: string, protocol: string, status: int, bytes_sent: bigint, referrer: string, user_agent: string, extra: map<string,string>>"
+RECORD_NAMES = tuple(x.split(": ")[0] for x in RECORD[len("struct<") : -1].split(", ") if not x.startswith("extra"))
 _BREAK = ""
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _IP4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _BLANK = r"^\p{IsWhite_Space}*$"
-_REQUEST = r"(?s)\A([A-Z_-]+) (.*?)(?: (HTTP/[^ ]*))?\z"
 
 
 def _ip6() -> str:
@@ -34,12 +34,19 @@ def _ip6() -> str:
     return "|".join(f"(?:{f})" for f in forms)
 
 
-_IP = rf"\A(?:{_IP4}|{_ip6()})\z"
+_IP, _ONLY_IP4 = rf"\A(?:{_IP4}|{_ip6()})\z", rf"\A{_IP4}\z"
+_CLF = r"\A[0-9]{2}/(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)/[0-9]{4}:[0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4}\z"
 
 
 def is_ip(text: Column) -> Column:
     colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
-    return text.rlike(_IP) & (colons <= 8)
+    # the long pattern only for what the short one leaves
+    return F.when(text.rlike(_ONLY_IP4), True).when(~text.contains(":"), False).otherwise(text.rlike(_IP) & (colons <= 8))
+
+
+def is_blank(text: Column) -> Column:
+    """Only white space of any script; most lines show by their first character that they are not."""
+    return F.when(F.ascii(text).between(33, 126), False).otherwise(text.rlike(_BLANK))
 
 
 def integer(text: Column) -> Column:
@@ -82,8 +89,28 @@ def strftime_parts(pattern: str) -> tuple[str, bool]:
     return "".join(out).strip(" ,"), zone
 
 
+def clf_parts(text: Column) -> tuple[Column, Column]:
+    """(microseconds of the clock, offset) of a text of the usual shape, by its places; no time where a part is out of range."""
+    number = lambda first, size: F.substring(text, first, size).cast("int")
+    month = ((F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), F.substring(text, 4, 3)) + 2) / 3).cast("int")
+    day = F.try_make_timestamp(number(8, 4), month, number(1, 2), number(13, 2), number(16, 2), number(19, 2).cast("decimal(8,6)"))
+    sign = F.when(F.substring(text, 22, 1) == "-", -1).otherwise(1)
+    # second 60 would be taken as the next minute
+    return F.when(number(19, 2) < 60, F.unix_micros(day)), sign * (number(23, 2) * 3600 + number(25, 2) * 60)
+
+
 def timestamp(text: Column, form: dict, zone: dict) -> tuple[Column, Column, Column]:
     """(microseconds, offset, whether the text is a time); the policy stands in for an offset that isn't there."""
+    if form["kind"] == "clf":
+        usual = text.rlike(_CLF)
+        clock, given = clf_parts(text)
+        micros, offset, ok = _timestamp(text, form, zone)
+        return F.when(usual, clock - given.cast("bigint") * 1_000_000).otherwise(micros), F.when(usual, given).otherwise(offset), F.when(usual, clock.isNotNull()).otherwise(ok)
+    return _timestamp(text, form, zone)
+
+
+def _timestamp(text: Column, form: dict, zone: dict) -> tuple[Column, Column, Column]:
+    """``timestamp`` by patterns, for texts of any shape."""
     if form["kind"] == "clf":
         shape = r"\A([0-9]{1,2}/[A-Za-z]{3}/[0-9]{4}:[0-9]{2}:[0-9]{2}:[0-9]{2})(?: ([+-][0-9]{2}:?[0-9]{2}))?\z"
         naive = F.try_to_timestamp(F.regexp_extract(text, shape, 1), F.lit("d/MMM/yyyy:HH:mm:ss"))
@@ -107,11 +134,20 @@ def timestamp(text: Column, form: dict, zone: dict) -> tuple[Column, Column, Col
 
 
 def request_parts(raw: Column) -> tuple[Column, Column, Column]:
-    """Method, target and protocol; what isn't a request is a target as a whole."""
-    whole = raw.rlike(_REQUEST)
-    alone = raw.rlike(r"\A[A-Z_-]+\z")
-    get = lambda k: F.nullif(F.regexp_extract(raw, _REQUEST, k), F.lit(""))
-    return F.when(whole, get(1)).when(alone, raw), F.when(whole, get(2)).when(~alone, raw), F.when(whole, get(3))
+    """Method, target and protocol; what isn't a request is a target as a whole.
+
+    The method is the first word; the protocol is the last one if it begins like one and a
+    target's place is left before it.
+    """
+    method = F.substring_index(raw, " ", 1)
+    named = method.rlike(r"\A[A-Z_-]+\z")
+    whole, alone = named & raw.contains(" "), named & ~raw.contains(" ")
+    rest = F.substring(raw, F.length(method) + 2, F.length(raw))
+    last = F.substring_index(rest, " ", -1)
+    ends = rest.contains(" ") & last.startswith("HTTP/")
+    target = F.when(ends, F.substring(rest, F.lit(1), F.length(rest) - F.length(last) - 1)).otherwise(rest)
+    some = lambda x: F.nullif(x, F.lit(""))
+    return F.when(whole | alone, method), F.when(whole, some(target)).when(~alone, raw), F.when(whole & ends, last)
 
 
 def _error(code: str, field: str | None = None) -> Column:
@@ -172,7 +208,7 @@ def extra_json(extra: Column) -> Column:
 def _prepared(lines: DataFrame, limit: int) -> DataFrame:
     """``lines`` with text, one trailing CR dropped, and what is wrong with the bytes."""
     bad = F.when(F.octet_length("value") > limit, _error("line_too_long")).when(~F.is_valid_utf8("value"), _error("invalid_utf8"))
-    return lines.withColumns({"_bad": bad, "_text": F.when(F.octet_length("value") <= limit, F.regexp_replace("value", r"\r\z", ""))})
+    return lines.withColumns({"_bad": bad, "_text": F.when(F.octet_length("value") <= limit, F.when(F.col("value").endswith("\r"), F.substring(F.col("value"), F.lit(1), F.length("value") - 1)).otherwise(F.col("value")))})
 
 
 def parse(lines: DataFrame, profile: dict, limit: int = LINE_BYTES) -> DataFrame:
@@ -214,7 +250,7 @@ def _blocks(ready: DataFrame, profile: dict) -> DataFrame:
         for g in within:
             value = F.when(F.get("_parts", F.lit(g - 1)) != "", value)
         extra[name] = value
-    blank = text.rlike(_BLANK)
+    blank = is_blank(text)
     goes_on = F.regexp_replace(text, r"\p{IsWhite_Space}+\z", "").rlike(r"^(?:[ \t#]|at |Stack trace|thrown|Caused by|Traceback|\.\.\.)")
     none = F.col("_parts").isNull()
     return ready.withColumns({
@@ -268,14 +304,13 @@ def _w3c(ready: DataFrame, profile: dict) -> DataFrame:
     refused = marked & directive & ~F.size(names).between(1, W3C_FIELDS)
     error = F.when(refused, _error("invalid_directive")).when(F.col("_names").isNull(), _error("header_missing")).when(F.col("_pairs").isNull(), _error("field_count_mismatch"))
     error = error.otherwise(F.coalesce(first, F.when(both & ~ok, _error("invalid_timestamp", "date"))))
-    return ready.withColumns({"_reason": F.when(text.rlike(_BLANK), "blank").when(marked & ~refused, "directive"), "_error": error, "_record": _record(record, extra)})
+    return ready.withColumns({"_reason": F.when(is_blank(text), "blank").when(marked & ~refused, "directive"), "_error": error, "_record": _record(record, extra)})
 
 
 def records(outcomes: DataFrame) -> DataFrame:
     """The records as rows of the log table, without job and batch."""
     own = outcomes.where("kind = 'record'")
-    names = [x.split(": ")[0] for x in RECORD[len("struct<") : -1].split(", ")][:-1]
-    return own.select("source_id", "line_number", *[f"record.{n}" for n in names], extra_json(F.col("record.extra")).alias("extra_json"))
+    return own.select("source_id", "line_number", *[f"record.{n}" for n in RECORD_NAMES], extra_json(F.col("record.extra")).alias("extra_json"))
 
 
 def match_rate(outcomes: DataFrame) -> DataFrame:
