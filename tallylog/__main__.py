@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tallylog.operators import exporting, paging, reconstruct, rules, stats
 from tallylog.operators.filters import LogFilter, apply_filter
 from tallylog.plans.store import Store
-from tallylog.sources import formats, lines, synth
+from tallylog.sources import formats, guessing, lines, synth
 
 
 def session() -> SparkSession:
@@ -65,10 +66,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("files", nargs="+")
     p.add_argument("--kind", choices=("access", "error"), default="access")
     p.add_argument("--replaces", type=int)
-    for name in ("resume", "activate", "delete-results"):
+    for name in ("resume", "activate", "delete-results", "cancel", "job-sources"):
         command(name, "job")
-    for name in ("jobs", "sources"):
+    for name in ("jobs", "sources", "counts"):
         command(name)
+    command("guess", "file", store=False)
     command("verify", "source")
     p = command("query", filtered=True)
     p.add_argument("--rows", type=int, default=200)
@@ -78,6 +80,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--top", type=int, default=20)
     p.add_argument("--bucket", default="auto")
     p.add_argument("--offset", type=int, default=0)
+    p = command("analyze")
+    p.add_argument("--job", type=int)
+    p.add_argument("--from-micros", type=int)
+    p.add_argument("--to-micros", type=int)
+    p.add_argument("--top-n", type=int, default=10)
     p = command("export", "out", filtered=True)
     p.add_argument("--format", choices=("csv", "json_lines"), default="csv")
     p.add_argument("--max-rows", type=int)
@@ -113,6 +120,20 @@ def main(argv: list[str] | None = None) -> int:
             store.activate(int(a.job))
         case "delete-results":
             store.delete_results(int(a.job))
+        case "cancel":
+            store.cancel(int(a.job))
+        case "job-sources":
+            show(store.job_sources(int(a.job)))
+        case "counts":
+            show([store.table_counts()])
+        case "guess":
+            show(list(guessing.profiles(lines.read_heads(spark, [(1, a.file)])).values()))
+        case "analyze":
+            began = time.time()
+            logs = apply_filter(store.logs(), LogFilter(job_id=a.job, time_from=a.from_micros, time_to=a.to_micros), store.jobs(), store.bookmarks())
+            for name, found in stats.compute(logs, None, a.top_n).items():
+                show([{name: [r.asDict() for r in found.collect()] if isinstance(found, DataFrame) else found}])
+            show([{"seconds": round(time.time() - began, 3)}])
         case "jobs":
             show(store.jobs())
         case "sources":
