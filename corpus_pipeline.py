@@ -1,4 +1,12 @@
-"""A training corpus from ``documents``: five stages, each written and read again before the next."""
+"""A training corpus from ``documents``: five stages, each written and read again before the next.
+
+Defined results, beside what each operator states: a null text is an empty one, has no
+language and goes in the first stage, like one without a letter; rows without an id pass
+near-dedup and are decontaminated by their texts; rows that share id and text are one for
+near-dedup, where the one with the smallest hash of all columns stays; ties go to the
+smallest id; texts of any length are read whole; further columns, whatever their names, pass
+through all stages but the last; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +25,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more), the one with the smallest id."""
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more), the one with the smallest id.
+
+    SimHash fingerprints go through op9's binary trie first; MinHash bands find what differs
+    in more bits than a trie can follow at scale; both are confirmed by the exact similarity.
+    """
     return near_copies.keep_first(docs)
 
 

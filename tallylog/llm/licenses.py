@@ -3,9 +3,9 @@
 A multinomial logistic regression over the words and word pairs of a paragraph, present or
 not, tells licence families apart; its features are the ones of the templates below, and the
 fit weighs those that ordinary text has too.  It is fit on the driver: families from variations of
-the templates, ``unknown`` from a bounded sample of the corpus's own paragraphs
-(SAMPLE_DOCS documents of the smallest hashes), and a temperature that calibrates the
-probabilities from the variations held back.  A prediction is confirmed if enough of the
+the templates, ``unknown`` from a bounded sample of the corpus's own lines (SAMPLE_LINES
+whole lines of SAMPLE_DOCS different texts, by the smallest hashes), and a temperature that
+calibrates the probabilities from the variations held back.  A prediction is confirmed if enough of the
 word pairs of one of the family's templates are in the paragraph.
 
 Paragraphs are lines, and blocks of lines between blank ones.  Only paragraphs that can hold
@@ -15,7 +15,8 @@ pairs missing there is no match, so one of the template's rarest 40 % and one mo
 Defined results: a null text or one without a licence paragraph has family null,
 probability 0, overlap 0 and no paragraphs; of several families in a text the one of the
 greatest overlap, then probability, then name is reported, with the number of confirmed
-paragraphs; repeated rows get equal results; an empty table gives no rows.
+paragraphs; repeated rows get equal results; other columns, whatever their names, aren't
+looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -155,12 +156,13 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(df: DataFrame, text_col: str = "text") -> Classifier:
-    """Fit with ``unknown`` paragraphs of SAMPLE_DOCS documents; paragraphs that hold a template are none."""
-    ranked = df.where(df[text_col].isNotNull()).select(df[text_col].alias("text")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
-    # bounded rows of bounded length reach the driver: the first lines of each sampled document, cut
-    lines = ranked.select(F.explode(F.slice(F.split("text", "\n"), 1, 20)).alias("line")).select(F.substring("line", 1, 2000).alias("line"))
-    sample = [r["line"] for r in lines.limit(SAMPLE_LINES).collect()]
+def train(df: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Classifier:
+    """Fit with ``unknown`` paragraphs: of ``sample_docs`` different texts ``sample_lines`` different lines, both of the smallest hashes; lines that hold a template are none."""
+    texts = df.where(df[text_col].isNotNull()).select(F.xxhash64(df[text_col]).alias("hash"), df[text_col].alias("text"))
+    chosen = texts.select("hash").distinct().orderBy("hash").limit(sample_docs)
+    held = texts.join(F.broadcast(chosen), "hash", "left_semi").dropDuplicates(["hash"])
+    lines = held.select(F.explode(F.split("text", "\n")).alias("line")).distinct().orderBy(F.xxhash64("line"), "line").limit(sample_lines)
+    sample = [r["line"] for r in lines.collect()]
     exact = [grams(t) for _, t in TEMPLATES]
     return Classifier([x for x in sample if not any(len(t & grams(x)) >= 0.6 * len(t) for t in exact)])
 

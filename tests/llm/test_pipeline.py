@@ -60,4 +60,25 @@ def test_stages_by_brute_force(spark):
 
 
 def test_run_is_the_stages(spark):
-    assert corpus_pipeline.run(spark, DATA).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    *_, (_, last) = stage_inputs(spark)
+    got = corpus_pipeline.run(spark, DATA)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, last.collect()))
+
+
+def test_stages_take_odd_tables(spark):
+    """Null and repeated ids, repeated rows, empty and long texts, clashing names, and no rows at all."""
+    names = ("doc_id", "text", "lang", "source", "n_chars", "_text", "_key", "_lang", "_id", "_row", "size", "nth", "node", "fp", "Root")
+    base = [(1, "the cat and the dog sat by the old mill", "en", "a", 3), (1, "the cat and the dog sat by the old mill", "en", "a", 3), (1, "another text with the same id as the cat", "en", "b", 4), (None, "a text without any id at all is here", None, None, 5)]
+    base += [(None, None, None, None, None), (7, "", "en", "a", 0), (8, " 12 34 ", "en", "a", 0), (9, "word " * 60_000, "en", "c", 1), (10, "é" * 5000 + " end", "de", "c", 1)]
+    rows = [(*r, "x", 1, "y", 2, "z", 3, 4, 5, 6, "w") for r in base]
+    kinds = "long string string string int string int string int string int int int int string".split()
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert tuple(out.columns) == names and out.count() > 0
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    kept = corpus_pipeline.near_dedup(spark, docs, DATA)
+    assert sorted((str(r.doc_id), (r.text or "")[:9]) for r in kept.collect()) == sorted([("1", "the cat a"), ("1", "another t"), ("None", "a text wi"), ("None", ""), ("7", ""), ("8", " 12 34 "), ("9", "word word"), ("10", "é" * 9)])
+    ids = corpus_pipeline.token_ids(spark, docs, DATA)
+    assert ids.count() == len(rows) and corpus_pipeline.token_ids(spark, docs.limit(0), DATA).count() == 0
