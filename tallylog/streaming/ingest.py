@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallylog.operators.stats import bucket_start
-from tallylog.sources import parse
+from tallylog.sources import lines, parse
 
 
-def stream_lines(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
-    """Whole files as they arrive: (path, bytes); a file is one row, so its lines keep their numbers."""
+def stream_files(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
+    """Files as they arrive, a row each; their contents aren't read here."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder)
-
+    return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder).select("path", F.xxhash64("path").alias("source_id"))
 
-def exploded(batch: DataFrame) -> DataFrame:
-    """Numbered lines of a batch of files, each source named by the hash of its path."""
-    text = F.regexp_replace(F.col("content").cast("string"), "\\A\ufeff|\\n\\z", "")
-    return batch.select(F.xxhash64("path").alias("source_id"), F.posexplode(F.split(text, "\n")).alias("_k", "value")).select("source_id", (F.col("_k") + 1).cast("long").alias("line_number"), "value")
 
+def ingest(spark: SparkSession, folder: str, profile: dict, out: str, checkpoint: str, files_per_batch: int = 16) -> StreamingQuery:
+    """Parse all files that have arrived since the last run; a batch that is run again replaces itself.
 
-def ingest(spark: SparkSession, folder: str, profile: dict, out: str, checkpoint: str) -> StreamingQuery:
-    """Parse all files that have arrived since the last run; a batch that is run again replaces itself."""
+    A batch knows its files by name only; they are then read like any others, in blocks and
+    unpacked.  Rows of ``logs`` are written last, so a batch that has them is whole.
+    """
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        outcomes = parse.parse(exploded(batch), profile).persist()
-        parse.records(outcomes).write.mode("overwrite").parquet(f"{out}/logs/batch={batch_id}")
+        # at most files_per_batch rows
+        arrived = [(r["source_id"], unquote(re.sub("^file:/+", "/", r["path"]))) for r in batch.collect()]
+        if not arrived:
+            return
+        outcomes = parse.parse(lines.read_sources(spark, arrived), profile).persist()
         outcomes.where("kind = 'error'").select("source_id", "line_number", "code", "field").write.mode("overwrite").parquet(f"{out}/parse_errors/batch={batch_id}")
+        parse.records(outcomes).write.mode("overwrite").parquet(f"{out}/logs/batch={batch_id}")
         outcomes.unpersist()
 
-    return stream_lines(spark, folder).writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream_files(spark, folder, files_per_batch).writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def live_timeline(logs: DataFrame, seconds: int = 60, late: str = "60 seconds") -> DataFrame:
