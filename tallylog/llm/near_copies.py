@@ -179,29 +179,37 @@ def rooted_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     links = confirmed(tried, texts, shingle, least)
     info = classes.select("node", "sketch").join(score, "node")
 
-    def rooted() -> tuple[DataFrame, DataFrame]:
-        """Roots so far, and the members of buckets that still hold several components."""
-        roots = materialise(simhash.components(links), "roots").withColumnsRenamed({"node": "_node", "root": "_root"})
+    roots = materialise(simhash.components(links), "roots").withColumnsRenamed({"node": "_node", "root": "_root"})
+
+    def split() -> DataFrame:
+        """The members of buckets that hold several components."""
         own = met.join(roots, met["node"] == roots["_node"], "left").select("bucket", "node", F.coalesce("_root", "node").alias("root"))
-        split = own.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("split")).where("split").select("bucket")
-        return roots, materialise(own.join(split, "bucket", "left_semi").join(info, "node"), "members")
+        parted = own.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("split")).where("split").select("bucket")
+        return materialise(own.join(parted, "bucket", "left_semi").join(info, "node"), "members")
+
+    def more_links(pairs: DataFrame) -> bool:
+        """Confirm ``pairs`` and take them in; whether there were any."""
+        nonlocal links, roots
+        more = confirmed(pairs, texts, shingle, least)
+        if more.isEmpty():
+            return False
+        links = materialise(links.union(more), "links")
+        roots = materialise(simhash.components(links), "roots").withColumnsRenamed({"node": "_node", "root": "_root"})
+        return True
 
+    held = split()
     for of_others in (False, True):
-        roots, held = rooted()
-        more = confirmed(to_hubs(held, of_others), texts, shingle, least)
-        links = materialise(links.union(more), "links")
-        discard(roots, held, more)
-    roots, held = rooted()
-    crowd = outside(held).where(F.col("others") > MANY).select("bucket").distinct()
-    crowd = materialise(crowd, "crowds")
+        if more_links(to_hubs(held, of_others)):
+            discard(held)
+            held = split()
+    crowd = materialise(outside(held).where(F.col("others") > MANY).select("bucket").distinct(), "crowds")
     last = across(held.join(crowd, "bucket", "left_anti"))
     if not crowd.isEmpty():
         many = held.join(crowd, "bucket", "left_semi").join(members.select("node", F.col("bucket").alias("_other")), "node").where("bucket <> _other")
         last = last.union(across(many.withColumn("bucket", F.xxhash64("bucket", "_other")).drop("_other"))).distinct()
     last = materialise(last, "pairs")
     if not last.isEmpty():
-        links = materialise(links.union(confirmed(last, texts, shingle, least)), "links")
-        roots = materialise(simhash.components(links), "roots").withColumnsRenamed({"node": "_node", "root": "_root"})
+        more_links(last)
     found = docs.join(roots, docs["node"] == roots["_node"], "left").select("doc_id", "key", "node", F.coalesce("_root", "node").alias("root"))
     found = materialise(found, "groups")
     discard(docs, classes, prints, tried, met, score, keys, texts, held, crowd, last, links)
