@@ -11,8 +11,9 @@ of the shingles), and the confirmed ones are joined into components.
 
 No bucket's pairs are all made.  In each, the nodes are compared with its hub, the node that
 shares buckets with most others; then with a hub among those that the largest component
-hasn't taken; after that only nodes outside it are compared with those of other components.
-Where these are many, two of them have to share a second bucket to meet.
+hasn't taken; after that only nodes outside it are compared with those of other components, and of these
+pairs only those that can be similar in spite of the shingles which no other node there has.
+Where nodes are many, two of them have to share a second bucket to meet.
 
 Defined results: a null text is an empty one, and texts without words are alike; which row
 of a group stays is as in ``simhash.first_of``; a null id takes part in links but names no
@@ -149,14 +150,35 @@ def to_hubs(held: DataFrame, of_others: bool) -> DataFrame:
     return materialise(best.select("u", F.col("node").alias("v")), "pairs")
 
 
-def across(held: DataFrame) -> DataFrame:
-    """(u, v): the pairs of nodes of different components that share a bucket and may be similar."""
+def across(held: DataFrame, least: float) -> DataFrame:
+    """(u, v): the pairs of nodes of different components that share a bucket and may be similar, by their sketches and by (n, most) of ``reach``."""
     fresh = outside(held)
-    rest = fresh.where("root <> top").select("bucket", F.col("node").alias("u"), F.col("root").alias("_root"), F.col("sketch").alias("_sketch"))
-    met = fresh.join(rest, "bucket").where((F.col("root") != F.col("_root")) & ((F.col("root") == F.col("top")) | (F.col("u") < F.col("node"))) & (apart(F.col("sketch"), F.col("_sketch")) <= APART))
+    more = ["n", "most"]
+    rest = fresh.where("root <> top").select("bucket", F.col("node").alias("u"), F.col("root").alias("_root"), F.col("sketch").alias("_sketch"), *[F.col(c).alias(f"_{c}") for c in more])
+    both = F.least("most", "_most")
+    close = both / (F.col("n") + F.col("_n") - both) >= least - 1e-9
+    met = fresh.join(rest, "bucket").where(close).where((F.col("root") != F.col("_root")) & ((F.col("root") == F.col("top")) | (F.col("u") < F.col("node"))) & (apart(F.col("sketch"), F.col("_sketch")) <= APART))
     return met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
 
 
+def reach(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, n, most) of each of ``nodes``: its shingles, and how many of them another of the nodes has; no two have more in common than ``most`` of either."""
+
+    def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            names, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for s in batches(data):
+                for node, held in zip(names[s], shingle_sets(data[s], shingle), strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), node)), pa.array(held.view(np.int64))], names=["node", "hash"])
+
+    own = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(each, "node long, hash long")
+    single = own.groupBy("hash").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    # a hash of one node counts for it alone, one of several for each of them
+    alone = single.where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    found = own.groupBy("node").agg(F.count("*").alias("n")).join(alone, "node", "left")
+    return materialise(found.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")), "reach")
+
+
 def rooted_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, key, node, root) for each row of ``df``: rows of one group share ``root``."""
     docs = materialise(nodes(df, id_col, text_col, shingle), "nodes")
@@ -202,17 +224,20 @@ def rooted_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         if more_links(to_hubs(held, of_others)):
             discard(held)
             held = split()
-    crowd = materialise(outside(held).where(F.col("others") > MANY).select("bucket").distinct(), "crowds")
-    last = across(held.join(crowd, "bucket", "left_anti"))
+    # what no other of these nodes has keeps some below the similarity, whomever they meet
+    shares = reach(held.select("node").distinct(), texts, shingle)
+    near = materialise(held.join(shares.where(F.col("most") >= F.col("n") * (least - 1e-9)), "node"), "members")
+    crowd = materialise(outside(near).where(F.col("others") > MANY).select("bucket").distinct(), "crowds")
+    last = across(near.join(crowd, "bucket", "left_anti"), least)
     if not crowd.isEmpty():
-        many = held.join(crowd, "bucket", "left_semi").join(members.select("node", F.col("bucket").alias("_other")), "node").where("bucket <> _other")
-        last = last.union(across(many.withColumn("bucket", F.xxhash64("bucket", "_other")).drop("_other"))).distinct()
+        many = near.join(crowd, "bucket", "left_semi").join(members.select("node", F.col("bucket").alias("_other")), "node").where("bucket <> _other")
+        last = last.union(across(many.withColumn("bucket", F.xxhash64("bucket", "_other")).drop("_other"), least)).distinct()
     last = materialise(last, "pairs")
     if not last.isEmpty():
         more_links(last)
     found = docs.join(roots, docs["node"] == roots["_node"], "left").select("doc_id", "key", "node", F.coalesce("_root", "node").alias("root"))
     found = materialise(found, "groups")
-    discard(docs, classes, prints, tried, met, score, keys, texts, held, crowd, last, links)
+    discard(docs, classes, prints, tried, met, score, keys, texts, held, near, shares, crowd, last, links)
     return found
 
 

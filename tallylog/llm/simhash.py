@@ -38,6 +38,8 @@ SHINGLE = 4
 SEED = 42
 #: distinct fingerprints that one prefix should hold, as long as blocks have bits enough for it
 NODE_ROWS = 1 << 15
+#: files of a table of links at least, and links of a file
+FEW_PARTS, EDGES_A_PART = 8, 100_000
 #: pairs of nodes, or of leaves, that are looked at together
 CHUNK = 1 << 18
 #: below this many leaf pairs a node pair is compared leaf by leaf
@@ -239,6 +241,12 @@ def components(links: DataFrame) -> DataFrame:
     smaller ones, until all that is left are stars; only whether it is so reaches the driver.
     """
     edges = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    # few edges go to few files, whatever the number of shuffle partitions
+    parts = max(FEW_PARTS, edges.count() // EDGES_A_PART)
+    if parts < int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        fewer_files = lambda df: df.coalesce(parts)
+    else:
+        fewer_files = lambda df: df
     while True:
         # in a star a node has one edge down, and none that comes from above
         ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
@@ -248,10 +256,10 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large.where("u <> v"), "links")
+        large = materialise(fewer_files(large.where("u <> v")), "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         fewer = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialise(fewer.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        after = materialise(fewer_files(fewer.union(least.select("u", F.col("m").alias("v"))).distinct()), "links")
         discard(edges, large)
         edges = after
 
