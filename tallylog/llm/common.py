@@ -63,6 +63,25 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: keys that are joined apart because many rows have them, at most
+HEAVY_KEYS = 1000
+
+
+def by_heavy_keys(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``key`` and tells by ``weight`` how many of ``rows`` have it.
+
+    The keys of more than a thousandth of all rows, at most HEAVY_KEYS, are broadcast; of the
+    others none has many rows, and they are joined by their keys.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * HEAVY_KEYS > total
+    named = table.withColumnRenamed(key, "_of")
+    few = rows.join(F.broadcast(named.where(heavy)), rows[key] == F.col("_of"), "left")
+    others = [c for c in table.columns if c != key]
+    rest = few.where("_of is null").select(rows.columns).join(named.where(~heavy), rows[key] == F.col("_of"))
+    return few.where("_of is not null").select(*rows.columns, *others).unionByName(rest.select(*rows.columns, *others))
+
+
 def batches(pieces: list[bytes], limit: int = 1 << 19) -> list[slice]:
     """Runs of pieces of about ``limit`` bytes each."""
     found, first, size = [], 0, 0

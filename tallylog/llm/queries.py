@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylog.llm.audio import media_report
+from tallylog.llm.bloom_variants import spelling_forms
 from tallylog.llm.common import read
 from tallylog.llm.decontam import leaks
+from tallylog.llm.fast_sketches import similar_groups
 from tallylog.llm.langid import languages
 from tallylog.llm.licenses import license_scan
 from tallylog.llm.mixing import mix_report, sizes_of, source_targets
@@ -64,6 +66,14 @@ def op10_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
+def op12_fast_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(read(spark, sf_dir, "documents"))
+
+
+def op13_bloom_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(read(spark, sf_dir, "documents"))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The targets that ``op4_entropy_balancing`` mixes by, one row a source."""
     targets = source_targets(sizes_of(read(spark, sf_dir, "documents"))[0])
@@ -86,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_license_paragraphs": op10_license_paragraphs,
+    "op12_fast_sketches": op12_fast_sketches,
+    "op13_bloom_variants": op13_bloom_variants,
     "mix_targets": mix_targets,
     "media_payloads": media_payloads,
 }
