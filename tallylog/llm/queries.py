@@ -16,6 +16,7 @@ from tallylog.llm.fast_sketches import similar_groups
 from tallylog.llm.langid import languages
 from tallylog.llm.licenses import license_scan
 from tallylog.llm.mixing import mix_report, sizes_of, source_targets
+from tallylog.llm.pair_counts import alignments
 from tallylog.llm.quotes import conversations
 from tallylog.llm.simhash import simhash_groups
 from tallylog.llm.token_blocks import store_ids
@@ -23,6 +24,7 @@ from tallylog.llm.token_counts import token_counts
 from tallylog.llm.warc import archive_report
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +68,10 @@ def op10_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
+def op11_pair_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER))
+
+
 def op12_fast_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(read(spark, sf_dir, "documents"))
 
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_license_paragraphs": op10_license_paragraphs,
+    "op11_pair_hashing": op11_pair_hashing,
     "op12_fast_sketches": op12_fast_sketches,
     "op13_bloom_variants": op13_bloom_variants,
     "mix_targets": mix_targets,
