@@ -11,9 +11,9 @@ BANDS bands of ROWS coordinates put sets into buckets: a pair at the similarity
 no bucket with a computed probability of 7e-7.  Of a bucket not all pairs are made.  Its
 members are compared with its hub, the set that shares buckets with most others; then, round
 by round, with a hub among those outside its largest component.  Once that links little more,
-all pairs of a bucket's members in different components are compared, but for those that
-cannot be similar by their sizes or by the shingles that no other set there has; both bounds
-are exact.  Every link is confirmed on the full sets, in whole numbers.
+the members outside a bucket's largest component are compared with all of its members, block
+by block, but for sets that cannot be similar to any because of the shingles that no other
+set has, an exact bound.  Every link is confirmed on the full sets, in whole numbers.
 
 Defined results: a null text is an empty one; a text without words has an empty set and links
 with nothing; texts with fewer words than a shingle has are one shingle; rows that share an
@@ -45,8 +45,10 @@ BANDS, ROWS = 30, 6
 COORDINATES = BANDS * ROWS
 #: rounds with hubs at most, before all pairs that are left are compared
 HUB_ROUNDS = 4
-#: elements that are dealt to bins together
+#: elements that are dealt to bins or counted together
 SLICE = 1 << 18
+#: bytes of sets that are compared with as many others in one task
+BLOCK_BYTES = 8 << 20
 _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _VALUE_BITS = np.uint64(40)
 
@@ -202,16 +204,62 @@ def reach(held: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(alone, "reach")
 
 
-def across(held: DataFrame, alone: DataFrame) -> DataFrame:
-    """(u, v): all pairs of sets of different components that share a bucket and can be similar."""
-    able = held.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    able = able.where(F.col("most") * SHARE[1] >= F.col("n") * SHARE[0])
-    fresh = outside(able)
-    rest = fresh.where("root <> top").select("bucket", F.col("node").alias("u"), F.col("root").alias("_root"), F.col("n").alias("_n"), F.col("most").alias("_most"))
-    both = F.least("most", "_most")
-    close = both * SHARE[1] >= (F.col("n") + F.col("_n") - both) * SHARE[0]
-    met = fresh.join(rest, "bucket").where(by_size() & close & (F.col("root") != F.col("_root")) & ((F.col("root") == F.col("top")) | (F.col("u") < F.col("node"))))
-    return materialise(met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct(), "pairs")
+def near_in_block(names: list[bytes], roots: list[bytes], sets: list[np.ndarray], fresh: list[bool]) -> list[tuple[bytes, bytes]]:
+    """The similar pairs of a fresh set with any other one of another component, by common hashes counted for many pairs at once."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    whole, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(whole, kind="stable")
+    whole, owner = whole[order], owner[order]
+    root = np.unique(roots, return_inverse=True)[1]
+    found = []
+    for i in np.flatnonzero(fresh).tolist():
+        first, last = np.searchsorted(whole, sets[i]), np.searchsorted(whole, sets[i], "right")
+        both = np.zeros(len(sets), np.int64)
+        for k in _runs(last - first):
+            size = last[k] - first[k]
+            at = np.repeat(first[k] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+            both += np.bincount(owner[at], minlength=len(sets))
+        near = (SHARE[1] * both >= SHARE[0] * (n[i] + n - both)) & (root != root[i])
+        found += [(min(names[i], names[j]), max(names[i], names[j])) for j in np.flatnonzero(near).tolist()]
+    return found
+
+
+def compared(held: DataFrame, alone: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): the similar pairs among all sets of different components that share a bucket.
+
+    A bucket's sets outside its largest component are compared with all of its sets, in blocks
+    of about BLOCK_BYTES of either; small buckets go together.  No rows of pairs are made but
+    of those that are similar.
+    """
+    able = held.join(alone, "node", "left").where((F.col("n") - F.coalesce("alone", F.lit(0))) * SHARE[1] >= F.col("n") * SHARE[0])
+    told = outside(able.select("bucket", "node", "root", "n")).withColumn("fresh", F.col("root") != F.col("top")).drop("top")
+    size = lambda c: F.sum(F.when(c, F.col("n"))) * 8
+    blocks = told.groupBy("bucket").agg(size(F.col("fresh")).alias("some"), size(F.lit(True)).alias("all")).where("some > 0")
+    blocks = materialise(blocks.withColumns({"rows": F.ceil(F.col("some") / BLOCK_BYTES), "columns": F.ceil(F.col("all") / BLOCK_BYTES)}), "blocks")
+    together = max(1, -(-(blocks.agg(F.sum("all")).first()[0] or 0) // BLOCK_BYTES))
+    dealt = told.join(blocks, "bucket").withColumn("group", F.when(F.col("all") * 16 > BLOCK_BYTES, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(together))))
+    of = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    each_of = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    # a fresh set meets every block of the bucket's sets, and the sets of a block every block of fresh ones
+    left = dealt.where("fresh").select("group", "bucket", "node", "root", "fresh", of("rows").alias("row"), F.explode(each_of("columns")).alias("column"))
+    right = dealt.select("group", "bucket", "node", "root", F.lit(False).alias("fresh"), F.explode(each_of("rows")).alias("row"), of("columns").alias("column"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        found: set[tuple[bytes, bytes]] = set()
+        table = table.sort_by("bucket")
+        bucket = table.column("bucket").to_numpy()
+        edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
+        for first, last in zip(edge[:-1], edge[1:], strict=True):
+            part = table.slice(first, last - first)
+            fresh = part.column("fresh").to_pylist()
+            if any(fresh) and not all(fresh):
+                found.update(near_in_block(part.column("node").to_pylist(), part.column("root").to_pylist(), [np.frombuffer(x, np.uint64) for x in part.column("held").to_pylist()], fresh))
+        return pa.table({"u": pa.array([u for u, _ in found], pa.binary()), "v": pa.array([v for _, v in found], pa.binary())})
+
+    both = left.unionByName(right).join(sets, "node").select("group", "bucket", "node", "root", "fresh", "row", "column", "held")
+    links = materialise(both.groupBy("group", "row", "column").applyInArrow(compare, "u binary, v binary").distinct(), "links")
+    discard(blocks)
+    return links
 
 
 def linked(df: DataFrame, text_col: str, shingle: int, classes: DataFrame) -> DataFrame:
@@ -232,10 +280,9 @@ def linked(df: DataFrame, text_col: str, shingle: int, classes: DataFrame) -> Da
         parted = own.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("split")).where("split").select("bucket")
         return materialise(own.join(parted, "bucket", "left_semi").join(scores, "node"), "members")
 
-    def take(pairs: DataFrame) -> int:
-        """Confirm ``pairs``; how many of them link."""
+    def take(more: DataFrame) -> int:
+        """Take confirmed links in; how many there are."""
         nonlocal roots
-        more = confirmed(pairs, sets)
         n = more.count()
         if n:
             found.append(more)
@@ -247,7 +294,7 @@ def linked(df: DataFrame, text_col: str, shingle: int, classes: DataFrame) -> Da
     held = split()
     for turn in range(HUB_ROUNDS):
         pairs = to_hubs(held, turn > 0)
-        tried, linking = pairs.count(), take(pairs)
+        tried, linking = pairs.count(), take(confirmed(pairs, sets))
         discard(pairs)
         if linking:
             discard(held)
@@ -256,10 +303,8 @@ def linked(df: DataFrame, text_col: str, shingle: int, classes: DataFrame) -> Da
         if 20 * linking < tried or not tried:
             break
     alone = reach(held, sets)
-    last = across(held, alone)
-    if not last.isEmpty():
-        take(last)
-    discard(met, scores, wanted, sets, held, alone, last, *found)
+    take(compared(held, alone, sets))
+    discard(met, scores, wanted, sets, held, alone, *found)
     return roots if roots is not None else classes.sparkSession.createDataFrame([], "node binary, root binary")
 
 
