@@ -8,12 +8,13 @@ import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallylog.operators import exporting, paging, reconstruct, rules, stats
 from tallylog.operators.filters import LogFilter, apply_filter
+from tallylog.plans import lease
 from tallylog.plans.store import Store
 from tallylog.sources import formats, guessing, lines, synth
+from tallylog.streaming.progress import Throttle
 
 
 def session() -> SparkSession:
@@ -26,7 +27,10 @@ def show(rows: object) -> None:
 
 
 def profile_of(name: str) -> dict:
-    return formats.preset(name) or formats.from_text(open(name).read())
+    if found := formats.preset(name):
+        return found
+    with open(name, encoding="utf-8") as f:
+        return formats.from_text(f.read())
 
 
 def filter_of(a: argparse.Namespace) -> LogFilter:
@@ -75,6 +79,7 @@ def parser() -> argparse.ArgumentParser:
     p = command("query", filtered=True)
     p.add_argument("--rows", type=int, default=200)
     p.add_argument("--desc", action="store_true")
+    p.add_argument("--name", default="query")
     p = command("detail", "source", "line")
     p = command("stats", filtered=True)
     p.add_argument("--top", type=int, default=20)
@@ -88,6 +93,8 @@ def parser() -> argparse.ArgumentParser:
     p = command("export", "out", filtered=True)
     p.add_argument("--format", choices=("csv", "json_lines"), default="csv")
     p.add_argument("--max-rows", type=int)
+    p.add_argument("--name", default="export")
+    p = command("stop", "kind", "name")
     return top
 
 
@@ -99,7 +106,7 @@ def main(argv: list[str] | None = None) -> int:
         case "gen":
             synth.generate(spark, a.lines, a.format, a.seed).sort("line_number").select("value").write.text(a.out)
         case "scan":
-            found = lines.scan(a.folder, tuple(a.include), tuple(a.exclude))
+            found = lines.scan(a.folder, tuple(a.include), tuple(a.exclude), spark=spark)
             named = {r.source_id: r for r in lines.detect(lines.read_heads(spark, list(enumerate(found.files)))).collect()} if found.files else {}
             show([{"path": p, "format": named[k].candidate if k in named else None} for k, p in enumerate(found.files)])
         case "preview":
@@ -111,17 +118,19 @@ def main(argv: list[str] | None = None) -> int:
             show([found, {"hash": formats.definition_hash(found), "issues": formats.validate(found)}])
         case "import":
             profile = profile_of(a.profile)
-            job = store.create_job(store.upsert_profile(profile), [store.register_source(f) for f in a.files], a.kind, a.replaces)
-            show([store.run(job, profile)])
+            job = store.create_job(store.upsert_profile(profile), store.register_sources(a.files), a.kind, a.replaces)
+            show([store.run(job, profile, progress=Throttle(lambda j: print(json.dumps({k: j[k] for k in ("job_id", "committed_records", "committed_errors")}), file=sys.stderr)))])
         case "resume":
             job = store.job(int(a.job))
-            show([store.run(job["job_id"], json.loads(next(p for p in store._load("profiles") if p["profile_id"] == job["profile_id"])["definition_json"]))])
+            show([store.run(job["job_id"], store.profile(job["profile_id"]))])
         case "activate":
             store.activate(int(a.job))
         case "delete-results":
             store.delete_results(int(a.job))
         case "cancel":
             store.cancel(int(a.job))
+        case "stop":
+            lease.stop(store.files, f"{a.kind}-{a.name}")
         case "job-sources":
             show(store.job_sources(int(a.job)))
         case "counts":
@@ -141,7 +150,8 @@ def main(argv: list[str] | None = None) -> int:
         case "verify":
             show([{"unchanged": store.verify(int(a.source))}])
         case "query":
-            show(paging.fetch_page(store.logs(), filter_of(a), store.jobs(), store.bookmarks(), a.rows, a.desc).rows)
+            with lease.Stoppable(spark, store.files, f"query-{a.name}"):
+                show(store.page(filter_of(a), a.rows, a.desc).rows)
         case "detail":
             show(paging.detail(store.logs(), store.sources(), int(a.source), int(a.line)).withColumn("text", reconstruct.combined_like()))
         case "stats":
@@ -149,9 +159,7 @@ def main(argv: list[str] | None = None) -> int:
             for name, found in stats.compute(logs, a.kind, a.top, int(a.bucket) if a.bucket.isdigit() else a.bucket, a.offset).items():
                 show([{name: [r.asDict() for r in found.collect()] if isinstance(found, DataFrame) else found}])
         case "export":
-            logs = apply_filter(store.logs(), filter_of(a), store.jobs(), store.bookmarks())
-            rendered, head = (exporting.csv_lines(logs), exporting.csv_header()) if a.format == "csv" else (exporting.json_lines(logs), None)
-            show([{"truncated": exporting.export(rendered, a.out, head, a.max_rows), "rows": logs.agg(F.count("*")).first()[0]}])
+            show([vars(exporting.export_store(store, filter_of(a), a.out, a.format, max_rows=a.max_rows, name=a.name))])
     return 0
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,8 @@ from tallylog.functions import display
 from tallylog.operators import builtin_rules, exporting, filters, paging, reconstruct, stats
 from tallylog.operators.filters import Always, And, Cond, Expr, LogFilter, Not, Or
 from tallylog.plans import demo_logs
-from tallylog.sources import formats, lines, parse
+from tallylog.plans.store import Store
+from tallylog.sources import formats, lines, parse, storage
 
 KEY = ("job_id", "source_id", "line_number")
 _WITH = f"WITH logs AS ({demo_logs.LOGS_SQL}), jobs AS ({demo_logs.JOBS_SQL}), sources AS ({demo_logs.SOURCES_SQL}), bookmarks AS ({demo_logs.BOOKMARKS_SQL}) "
@@ -189,45 +192,38 @@ add("row_summary", lambda t: t["logs"].select(*KEY, display.row_summary().alias(
 add("error_row_fields", lambda t: kept(t, ERRORS).select(*KEY, display.error_level(F.col("extra_json")).alias("level"), display.error_client(F.col("client_ip"), F.col("extra_json")).alias("client"), display.error_text(F.col("extra_json")).alias("message")), f"SELECT {', '.join(KEY)}, {_SHOWN} AS level, coalesce(client_ip, '') AS client, {_TEXT} AS message {_E}")
 
 
-def add_cases(name: str, use: Callable[[Column], Column], cases: list[tuple[str | None, str | None]]) -> None:
-    """Every row takes one of the listed texts by its line; the SQL has what the interface makes of each."""
-    told = lambda x: "NULL" if x is None else quoted(x)
-
-    def build(t: dict[str, DataFrame]) -> DataFrame:
-        listed = F.array(*[F.lit(a).cast("string") for a, _ in cases])
-        rows = t["logs"].select(*KEY, F.element_at(listed, (F.col("line_number") % len(cases) + 1).cast("int")).alias("given"))
-        return rows.select(*KEY, use(F.col("given")).alias("text"))
-
-    add(name, build, f"SELECT {', '.join(KEY)}, (CASE line_number % {len(cases)} {' '.join(f'WHEN {k} THEN {told(b)}' for k, (_, b) in enumerate(cases))} END) AS text FROM logs")
-
-
-add_cases("method_class_cases", display.method_class, [("GET", "m-read"), ("get", "m-read"), ("OPTIONS", "m-read"), ("Trace", "m-read"), ("CONNECT", "m-write"), ("patch", "m-write"), ("delete", "m-del"), ("PROPFIND", "m-odd"), ("", "m-none"), (None, "m-none")])
-add_cases("level_class_cases", display.level_class, [("core:error", "s5"), ("EMERG", "s5"), ("alert", "s5"), ("crit", "s5"), ("err", "s0"), ("warn", "s4"), ("ssl:Warning", "s4"), ("notice", "s0"), ("", "s0")])
-add_cases("error_text_cases", display.error_text, [
-    ('{"message":"m","error_code":"AH01"}', "AH01 m"), ('{"level":"warn","client":"1.2.3.4:5","pid":"7","tid":"","z":"q"}', "pid=7, z=q"), ('{"message":"","a":"b"}', "a=b"),
-    ('{"message":"only"}', "only"), ("no object", ""), (None, ""), ('{"level":"warn"}', ""),
-])
-add_cases("url_decoded_cases", display.url_decoded, [
-    ("/a%20b%zz", "/a b%zz"), ("%ff", "%ff"), ("/%ea%b0%80?x=%EA%B0%80", "/가?x=가"), ("a+b%2B", "a+b+"), ("100%", "100%"), ("%41%ff%42", "%41%ff%42"), ("%41x%ff", "Ax%ff"), ("plain", "plain"), ("%C0%80", "%C0%80"), (None, None),
-])
-add_cases("hex_decoded_cases", display.hex_decoded, [
-    (r"\xe3\x81\x82", "あ"), (r"a\x00b\x7F", "a·b·"), (r"\xff\x41", "·A"), (r"\x4", r"\x4"), (r"가\xEA\xB0\x80", "가가"), (r"\x22q\x22", '"q"'), ("plain", "plain"), (r"\xEF\xBB\xBFx", "x"), (r"\xC2\x85", "·"),
-])
+_METHOD = "CASE WHEN line_number % 2 = 0 THEN lower(method) ELSE method END"
+add("method_class_cases", lambda t: t["logs"].select(*KEY, display.method_class(F.when(F.col("line_number") % 2 == 0, F.lower("method")).otherwise(F.col("method"))).alias("text")), f"SELECT {', '.join(KEY)}, CASE WHEN m IS NULL THEN 'm-none' WHEN upper(m) IN ('GET', 'HEAD', 'OPTIONS', 'TRACE') THEN 'm-read' WHEN upper(m) IN ('POST', 'PUT', 'PATCH', 'CONNECT') THEN 'm-write' WHEN upper(m) = 'DELETE' THEN 'm-del' ELSE 'm-odd' END AS text FROM (SELECT *, {_METHOD} AS m FROM logs)")
+add("level_class_cases", lambda t: kept(t, ERRORS).select(*KEY, display.level_class(F.concat(F.lit("mod"), F.col("line_number") % 7, F.lit(":"), F.upper(display.error_level(F.col("extra_json"))))).alias("text")), f"SELECT {', '.join(KEY)}, CASE WHEN regexp_matches(lower({_SHOWN}), 'emerg|alert|crit|error') THEN 's5' WHEN contains(lower({_SHOWN}), 'warn') THEN 's4' ELSE 's0' END AS text {_E}")
+# the fields of access rows as an error's: without a message, all of them but the client
+add(
+    "error_text_cases",
+    lambda t: kept(t, ALL).select(*KEY, display.error_text(F.to_json(F.struct(F.col("method").alias("a"), F.col("request_target").alias("b"), F.col("client_ip").alias("client"), F.col("status").cast("string").alias("error_code"), F.col("user_agent").alias("message")))).alias("text")),
+    f"SELECT {', '.join(KEY)}, CASE WHEN user_agent IS NULL THEN concat_ws(', ', 'a=' || method, 'b=' || request_target, 'error_code=' || status) WHEN status IS NULL THEN user_agent ELSE status || ' ' || user_agent END AS text {_A}",
+)
+escaped = lambda c, mark: F.regexp_replace(F.hex(F.col(c).cast("binary")), "(..)", f"{mark}$1")
+add("url_decoded_cases", lambda t: t["logs"].select(*KEY, display.url_decoded(F.concat(escaped("referrer", "%"), F.lit("%zz%ff+"))).alias("text")), f"SELECT {', '.join(KEY)}, referrer || '%zz%ff+' AS text FROM logs")
+add("hex_decoded_cases", lambda t: t["logs"].select(*KEY, display.hex_decoded(F.concat(escaped("request_target", r"\\x"), F.lit(r"\x00\xff"))).alias("text")), f"SELECT {', '.join(KEY)}, request_target || '··' AS text FROM logs")
+# greetings whose version and host come from the row
 _TLS = " ClientHello — HTTPS 핸드셰이크를 HTTP 포트로 보냄"
-add_cases("protocol_cases", display.protocol_guess, [
-    (r"\x16\x03\x01\x02\x00\x01\x00\x01\xFC\x03\x03", "TLS 1.2+" + _TLS), (r"\x16\x03\x01\x02\x00\x01\x00\x01\xFC\x03\x02", "TLS 1.1" + _TLS), (r"\x16\x03\x01\x02\x00\x01\x00\x01\xFC\x03\x01", "TLS 1.0" + _TLS),
-    (r"\x16\x03\x01\x02\x00\x01", "TLS" + _TLS), (r"\x16\x03\x01\x02\x00\x02", None), (r"\x16\x03\x05\x02\x00\x01", None), (r"\x80.\x01\x03", "SSLv2 ClientHello(구식 스캐너)"), (r"\x05\x02\x00\x02", "SOCKS5 핸드셰이크"),
-    (r"\x05\x03", "SOCKS5 핸드셰이크"), (r"\x05\x04", None), (r"\x04\x01\x00P", "SOCKS4 CONNECT"), (r"\x00\x00\x00\x08", "길이 접두 이진 프로토콜(예: RDP/Java 직렬화)"), (r"\x00\x00\x00\x07", None), ("GET / HTTP/1.1", None),
-])
+add(
+    "protocol_cases",
+    lambda t: t["logs"].select(*KEY, display.protocol_guess(F.when(F.col("method") == "GET", F.concat(F.lit(r"\x16\x03\x01\x02\x00\x01\x00\x01\xFC\x03\x0"), F.col("line_number") % 4)).when(F.col("method") == "POST", F.lit(r"\x05\x01")).otherwise(F.concat(F.lit(r"\x47"), "request_target"))).alias("text")),
+    f"SELECT {', '.join(KEY)}, CASE WHEN method = 'GET' THEN ['TLS', 'TLS 1.0', 'TLS 1.1', 'TLS 1.2+'][line_number % 4 + 1] || '{_TLS}' WHEN method = 'POST' THEN 'SOCKS5 핸드셰이크' END AS text FROM logs",
+)
 _HELLO = r"\x16\x03\x01\x00\x50\x01\x00\x00\x4C\x03\x03" + "r" * 32 + r"\x02ab\x00\x02cc\x01\x00"
-add_cases("server_name_cases", display.server_name, [
-    (_HELLO + r"\x00\x14" + r"\x00\x05\x00\x01z" + r"\x00\x00\x00\x0B\x00\x09\x00\x00\x06a.test", "a.test"), (_HELLO + r"\x00\x0F" + r"\x00\x00\x00\x0B\x00\x09\x00\x00\x06b.test", "b.test"),
-    (_HELLO + r"\x00\x0F" + r"\x00\x00\x00\x0B\x00\x09\x00\x00\x06b.te", None), (_HELLO + r"\x00\x05" + r"\x00\x05\x00\x01z", None), (_HELLO, None), (r"\x16\x03\x01", None), ("GET /", None),
-])
-add_cases("natural_name_order", lambda c: F.array_join(F.transform(F.array_sort(F.transform(F.split(c, " "), lambda n: F.struct(display.natural_key(n).alias("k"), n.alias("n")))), lambda s: s["n"]), " "), [
-    ("access.log.10 access.log.2 access.log", "access.log access.log.2 access.log.10"), ("b1 A2 a10 a9", "A2 a9 a10 b1"), ("x007 x8 x09", "x007 x8 x09"),
-])
-add_cases("base_name_cases", display.base_name, [("/var/log/a.log", "a.log"), (r"C:\logs\b.log", "b.log"), ("/var/log/", "log"), ("", ""), ("x", "x")])
+
+
+def greeting(host: Column) -> Column:
+    """A greeting that asks for a host."""
+    size = lambda more: F.concat(F.lit(r"\x00\x"), F.lpad(F.hex(F.length(host) + more), 2, "0"))
+    return F.concat(F.lit(_HELLO), size(9), F.lit(r"\x00\x00"), size(5), size(3), F.lit(r"\x00"), size(0), host)
+
+
+add("server_name_cases", lambda t: t["logs"].select(*KEY, display.server_name(greeting(F.split_part("referrer", F.lit("/"), F.lit(3)))).alias("text")), f"SELECT {', '.join(KEY)}, split_part(referrer, '/', 3) AS text FROM logs")
+natural = lambda names: F.transform(F.array_sort(F.transform(names, lambda n: F.struct(display.natural_key(n).alias("k"), n.alias("n")))), lambda s: s["n"])
+add("natural_name_order", lambda t: t["logs"].select(*KEY, F.array_join(natural(F.transform(F.array(F.col("line_number"), F.col("line_number") * 7 % 1000, F.lit(99)), lambda n: F.concat(F.lit("log."), n.cast("string")))), " ").alias("text")), f"SELECT {', '.join(KEY)}, array_to_string(list_transform(list_sort([line_number, line_number * 7 % 1000, 99]), lambda n: 'log.' || n), ' ') AS text FROM logs")
+add("base_name_cases", lambda t: t["logs"].select(*KEY, display.base_name(F.coalesce("referrer", "request_target")).alias("text")), f"SELECT {', '.join(KEY)}, coalesce(list_filter(string_split_regex(coalesce(referrer, request_target), '[/\\\\]+'), lambda x: x <> '')[-1], '') AS text FROM logs")
 
 _ISO = "coalesce(strftime(timestamp_utc, '%Y-%m-%dT%H:%M:%S.%fZ'), '')"
 _CELLS = [
@@ -327,3 +323,55 @@ add(
     f"SELECT {', '.join(KEY)}, {_ISO} AS iso, CASE WHEN tz_offset_seconds IS NOT NULL THEN 'UTC-05:30' ELSE '미확정' END AS zone, coalesce(strftime(timestamp_utc + INTERVAL 9 HOURS, '%Y-%m-%d %H:%M:%S'), '(시간 미확정)') AS shown, {_BYTES} AS size FROM logs",
 )
 add("bytes_text_cases", lambda t: t["logs"].select(*KEY, display.bytes_text(F.col("bytes_sent") * F.col("line_number")).alias("size")), f"SELECT {', '.join(KEY)}, {_BYTES} AS size FROM (SELECT * REPLACE (bytes_sent * line_number AS bytes_sent) FROM logs)")
+
+
+# --- the way through files: the demo rows as log files, imported by ranges and committed, and read back ---
+
+
+def imported(t: DataFrame, profile: str) -> Store:
+    """A new store below the shared folder that has imported ``t`` (value), written as several files."""
+    spark = t.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallylog-")
+    root = f"{shared.rstrip('/')}/tallylog-case-{uuid.uuid4().hex}"
+    t.repartition(3).select("value").write.option("lineSep", "\n").text(f"{root}/raw")
+    store = Store(spark, f"{root}/case")
+    own = formats.preset(profile)
+    raw = storage.storage(spark, f"{root}/raw")
+    paths = [f"{raw.url}/{n}" for n in raw.names("") if n.startswith("part-")]
+    store.run(store.create_job(store.upsert_profile(own), store.register_sources(paths)), own, batch_rows=20_000)
+    return store
+
+
+def _sums(t: dict[str, DataFrame]) -> DataFrame:
+    """Batches of an import: their lines, and what became of them."""
+    batches = imported(common_lines(t["logs"], True), "common").batches()
+    whole = F.sum(F.col("end_line") - F.col("start_line") + 1).alias("lines")
+    return batches.agg(whole, *[F.sum(f"{k}_count").alias(k) for k in ("record", "error", "skipped")], F.count_if(F.col("next_offset").isNull()).alias("without_place"))
+
+
+add("import_line_sums", _sums, "SELECT count(*) AS lines, count(*) FILTER (line_number % 10 NOT BETWEEN 1 AND 5) AS record, count(*) FILTER (line_number % 10 BETWEEN 1 AND 5) AS error, 0 AS skipped, 0 AS without_place FROM logs")
+add(
+    "import_rows",
+    lambda t: imported(combined_lines(t["logs"]), "combined").logs().groupBy("status", "method").agg(F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes"), F.sum(F.unix_micros("timestamp_utc") % 1_000_000_007).alias("times"), F.countDistinct("source_id", "line_number").alias("places")),
+    f"SELECT status, method, count(*) AS n, sum(bytes_sent) AS bytes, sum({_SECOND} % 1000000007) AS times, count(*) AS places FROM logs GROUP BY status, method",
+)
+add(
+    "import_errors",
+    lambda t: imported(common_lines(t["logs"], True), "common").parse_errors().groupBy("error_code", "field_name").agg(F.count("*").alias("n")),
+    "SELECT CASE k " + " ".join(f"WHEN {k} THEN '{c}'" for k, (c, _) in _SPOILED.items()) + " END AS error_code, CASE k " + " ".join(f"WHEN {k} THEN '{f}'" for k, (_, f) in _SPOILED.items() if f)
+    + " END AS field_name, count(*) AS n FROM (SELECT line_number % 10 AS k FROM logs) WHERE k BETWEEN 1 AND 5 GROUP BY 1, 2",
+)
+
+
+def _first_pages(t: dict[str, DataFrame]) -> DataFrame:
+    """Times of the first three pages of an imported store, from the files that can have them."""
+    store, cursor, rows = imported(combined_lines(t["logs"]), "combined"), None, []
+    for _ in range(3):
+        page = store.page(LogFilter(status=404), 100, True, cursor)
+        rows += [(r["_micros"], r["status"]) for r in page.rows]
+        if (cursor := page.cursor) is None:
+            break
+    return t["logs"].sparkSession.createDataFrame(rows, "micros long, status int")
+
+
+add("import_first_pages", _first_pages, f"SELECT {_SECOND} AS micros, status FROM logs WHERE status = 404 ORDER BY micros DESC NULLS LAST LIMIT 300")

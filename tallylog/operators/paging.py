@@ -88,7 +88,11 @@ def newest_of_lines(logs: DataFrame, sources: DataFrame) -> DataFrame:
 def fetch_page(logs: DataFrame, f: LogFilter, jobs: DataFrame, bookmarks: DataFrame, rows: int = 200, descending: bool = False, cursor: Cursor | None = None) -> Page:
     limit = cursor.max_batch if cursor else max_batch(logs)
     plan = page_plan(logs, f, jobs, bookmarks, rows, descending, cursor, limit)
-    got = plan.withColumn("_micros", F.unix_micros("timestamp_utc")).collect()
+    return cut_page(plan.withColumn("_micros", F.unix_micros("timestamp_utc")).collect(), rows, f, descending, limit)
+
+
+def cut_page(got: list, rows: int, f: LogFilter, descending: bool, limit: int | None) -> Page:
+    """The page of rows that a plan found, one more than asked for if there are: cut at PAGE_BYTES, but never below one row."""
     kept, used = [], 0
     for row in got[:rows]:
         used += 48 + sum(len((row[c] or "").encode()) for c in _TEXTS)

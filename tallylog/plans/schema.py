@@ -24,6 +24,8 @@ IMPORT_JOBS = _table(
     "committed_skipped:long failure_reason:string active:bool replaces_job_id:long log_kind:string"
 )
 IMPORT_JOB_SOURCES = _table("job_id:long source_id:long ordinal:int status:string")
+#: the layout of a store's folder
+STORE_VERSION = 3
 SOURCES = _table(
     "source_id:long original_path:string current_path:string file_size:long modified_unix:long encoding:string compression:string head_hash:string head_bytes:long "
     "registered_at:time full_hash:string"

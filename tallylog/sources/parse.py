@@ -14,6 +14,8 @@ from tallylog.sources.formats import FieldDef, compile_blocks
 
 RECORD = "struct<timestamp_utc: timestamp, tz_offset_seconds: int, client_ip: string, method: string, request_target: string, protocol: string, status: int, bytes_sent: bigint, referrer: string, user_agent: string, extra: map<string,string>>"
 RECORD_NAMES = tuple(x.split(": ")[0] for x in RECORD[len("struct<") : -1].split(", ") if not x.startswith("extra"))
+#: columns of lines that outcomes keep
+PLACES = ("start_offset", "next_offset", "header")
 _BREAK = ""
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _IP4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
@@ -213,14 +215,18 @@ def _prepared(lines: DataFrame, limit: int) -> DataFrame:
 
 def parse(lines: DataFrame, profile: dict, limit: int = LINE_BYTES) -> DataFrame:
     """``lines`` (source_id, line_number, value) as (source_id, line_number, kind, record, code, field, reason)."""
+    w3c = profile["strategy"]["kind"] == "w3c"
+    if w3c and "header" not in lines.columns:
+        lines = with_headers(lines)
     ready = _prepared(lines, limit)
-    ready = _w3c(ready, profile) if profile["strategy"]["kind"] == "w3c" else _blocks(ready, profile)
+    ready = _w3c(ready, profile) if w3c else _blocks(ready, profile)
     ready = _settled(ready, _found=F.struct("_bad", F.col("_reason").alias("reason"), F.col("_error").alias("error"), F.col("_record").alias("record")))
     skipped = F.when(F.col("_found._bad").isNull(), F.col("_found.reason"))
     error = F.coalesce("_found._bad", F.when(skipped.isNull(), F.col("_found.error")))
     return ready.select(
         "source_id", "line_number", F.when(error.isNotNull(), "error").when(skipped.isNotNull(), "skipped").otherwise("record").alias("kind"),
         F.when(error.isNull() & skipped.isNull(), F.col("_found.record")).alias("record"), error["code"].alias("code"), error["field"].alias("field"), skipped.alias("reason"),
+        *[c for c in PLACES if c in lines.columns],
     )
 
 
@@ -265,19 +271,26 @@ _W3C = {"cs-method": "method", "cs-version": "protocol", "cs(Referer)": "referre
 _W3C_OWN = (*_W3C, "c-ip", "cs-uri-stem", "cs-uri-query", "sc-status", "sc-bytes")
 
 
-def _w3c(ready: DataFrame, profile: dict) -> DataFrame:
-    """W3C extended logs: each ``#Fields:`` line names the columns of the lines after it.
+def with_headers(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``header``, the W3C columns that hold at each line, for readers that don't tell them.
 
-    The directives, few a file, are gathered by file and joined to its lines, so a file's
-    lines needn't meet in one task.
+    The directives, few a file, are gathered by file and joined to its lines.
     """
+    names = F.filter(F.split(F.substring(F.regexp_replace("value", r"\r\z", ""), 9, LINE_BYTES), r"[ \t\r\n\f]+"), lambda x: x != "")
+    told = F.col("value").startswith("#Fields:") & (F.octet_length("value") <= LINE_BYTES) & F.is_valid_utf8("value")
+    heads = lines.where(told).select("source_id", "line_number", names.alias("names")).where(F.size("names").between(1, W3C_FIELDS))
+    heads = heads.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("line_number", F.array_join("names", " ").alias("names")))).alias("_heads"))
+    found = lines.join(heads, "source_id", "left")
+    head = F.try_element_at(F.filter("_heads", lambda h: h["line_number"] <= F.col("line_number")), F.lit(-1))["names"]
+    return found.withColumn("header", head).drop("_heads")
+
+
+def _w3c(ready: DataFrame, profile: dict) -> DataFrame:
+    """W3C extended logs: each ``#Fields:`` line names the columns of the lines after it, which are in ``header``."""
     text = F.col("_text")
     names = F.filter(F.split(F.substring(text, 9, LINE_BYTES), r"[ \t\r\n\f]+"), lambda x: x != "")
     directive = text.startswith("#Fields:")
-    heads = ready.where(directive & F.col("_bad").isNull()).select("source_id", "line_number", names.alias("names")).where(F.size("names").between(1, W3C_FIELDS))
-    heads = heads.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("line_number", "names"))).alias("_heads"))
-    ready = ready.join(heads, "source_id", "left")
-    head = F.try_element_at(F.filter("_heads", lambda h: h["line_number"] < F.col("line_number")), F.lit(-1))["names"]
+    head = F.split("header", " ")
     ready = _settled(ready, **{"_names": head, "_tokens": F.filter(F.split(text, r"[ \t\r\n\f]+"), lambda x: x != "")})
     pairs = F.filter(F.arrays_zip(F.col("_names").alias("n"), F.col("_tokens").alias("v")), lambda p: p["v"] != "-")
     ready = _settled(ready, _pairs=F.when(F.size("_names") == F.size("_tokens"), F.transform(pairs, lambda p: F.struct(p["n"].alias("n"), p["v"].alias("v")))))
