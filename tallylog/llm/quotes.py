@@ -4,10 +4,8 @@ A message's lines are read with their quote levels (leading ``>`` marks); runs o
 one level are passages.  Texts are normalised (lower case, runs of anything but letters and
 digits as one blank) and hashed in units that survive other line breaks and partial quotes:
 every five words in a row of the joined text; a passage of fewer words is one unit, and meets
-lines and messages of just these words.  A unit is known under the first and the last message
-of the conversation that has it unquoted, so it has two partners at most, however often it is
-repeated.  A passage belongs to the earlier message that has most of its units, at least half
-of them; a message answers the one that its largest first-level passage belongs to.  Threads
+lines and messages of just these words.  A passage belongs to the earlier message that has
+most of its units, at least half of them, whatever other messages repeat; a message answers the one that its largest first-level passage belongs to.  Threads
 are found by pointer doubling over these answers; ordering by (conv_id, thread_turn, turn)
 gives each conversation in reply order, without its quotations.
 
@@ -26,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.common import materialise
+from tallylog.llm.common import discard, materialise
 
 COVER, SHINGLE = 0.5, 5
 _MARKS = r"^((?:[ \t]*>)+)"
@@ -104,23 +102,50 @@ def short_lines(lines: Column) -> Column:
 
 
 def linked_passages(messages: DataFrame, cover: float = COVER) -> DataFrame:
-    """(conv_id, turn, level, passage, origin, share, chars): the different passages and where they belong (null: nowhere)."""
+    """(conv_id, turn, level, passage, origin, share, chars): the different passages and where they belong (null: nowhere).
+
+    The origin is the earlier message that has most of the passage's units, ``cover`` of them
+    at least, the first of equals.  A message that has so many has one of the passage's rarest
+    ones, so these lead to the candidates, whose units are then compared as a whole.  Equal
+    passages of a conversation are looked up once, and of equal messages the first stands for
+    all; of what is found only the first message of each share counts, a list no longer than
+    the passage, from which each quotation takes the best one before it.
+    """
     known = messages.where("conv_id is not null and turn is not null")
     names = ["conv_id", "turn", "level", "passage"]
     quotes = known.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", F.array_join("q.lines", " ").alias("whole"))
-    quotes = quotes.select("conv_id", "turn", "level", F.xxhash64("whole").alias("passage"), F.length("whole").cast("long").alias("chars"), units(F.col("whole")).alias("units"))
+    quotes = quotes.select("conv_id", "turn", "level", F.unhex(F.md5("whole")).alias("passage"), F.length("whole").cast("long").alias("chars"), units(F.col("whole")).alias("units"))
     quotes = materialise(quotes.dropDuplicates(names), "passages")
     if quotes.isEmpty():
         return quotes.select(*names, F.lit(None).cast("long").alias("origin"), F.lit(None).cast("double").alias("share"), "chars")
-    own = known.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi")
+    wanted = materialise(quotes.groupBy("conv_id", "passage").agg(F.first("units").alias("units"), F.max("turn").alias("last")), "wanted")
+    own = known.join(wanted.select("conv_id").distinct(), "conv_id", "left_semi")
     lines = F.filter(F.transform(F.split("body", "\n"), normal), lambda x: x != "")
-    own = own.select("conv_id", "turn", let(lines, lambda x: F.concat(units(F.array_join(x, " ")), short_lines(x))).alias("units"))
-    own = own.select("conv_id", "turn", F.explode("units").alias("unit")).groupBy("conv_id", "unit").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
-    probes = quotes.select(*names, F.size("units").alias("n"), F.explode("units").alias("unit"))
-    met = probes.join(own, ["conv_id", "unit"]).select(*names, "n", F.explode(F.array_distinct(F.array("first", "last"))).alias("origin")).where("origin < turn")
-    parts = met.groupBy(*names, "origin").agg((F.count("*") / F.first("n")).alias("share"))
-    best = parts.where(F.col("share") >= cover).groupBy(*names).agg(F.max(F.struct("share", (-F.col("origin")).alias("early"))).alias("best"))
-    return quotes.select(*names, "chars").join(best, names, "left").select(*names, (-F.col("best.early")).alias("origin"), "best.share", "chars")
+    own = own.select("conv_id", F.col("turn").alias("origin"), let(lines, lambda x: F.array_distinct(F.concat(units(F.array_join(x, " ")), short_lines(x)))).alias("held"))
+    parts = materialise(own.select("conv_id", "origin", F.explode("held").alias("unit")).distinct(), "units")
+    # of messages with the same units the first one is kept
+    same = [F.bit_xor(F.xxhash64("unit", F.lit(k))).alias(f"sum_{k}") for k in (1, 2)]
+    sums = parts.groupBy("conv_id", "origin").agg(F.count("*").alias("n"), *same)
+    firsts = sums.groupBy("conv_id", "n", "sum_1", "sum_2").agg(F.min("origin").alias("origin")).select("conv_id", "origin")
+    own = materialise(parts.join(firsts, ["conv_id", "origin"], "left_semi"), "messages")
+    discard(parts)
+    parts = own
+    often = parts.groupBy("conv_id", "unit").agg(F.count("*").alias("often"))
+    asked = wanted.select("conv_id", "passage", "last", F.explode("units").alias("unit")).join(often, ["conv_id", "unit"], "left")
+    ranked = asked.groupBy("conv_id", "passage", "last").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "unit"))).alias("ranked"))
+    rarest = F.slice("ranked", F.lit(1), (F.size("ranked") - F.ceil(F.size("ranked") * cover) + 1).cast("int"))
+    leads = ranked.select("conv_id", "passage", "last", F.explode(rarest).alias("lead")).where("lead.often > 0").select("conv_id", "passage", "last", "lead.unit")
+    candidates = leads.join(parts, ["conv_id", "unit"]).where("origin < last").select("conv_id", "passage", "origin").distinct()
+    asked = candidates.join(wanted.select("conv_id", "passage", F.size("units").alias("n"), F.explode("units").alias("unit")), ["conv_id", "passage"])
+    counts = asked.join(parts, ["conv_id", "origin", "unit"]).groupBy("conv_id", "passage", "origin").agg((F.count("*") / F.first("n")).alias("share"))
+    shares = counts.where(F.col("share") >= cover)
+    first = shares.groupBy("conv_id", "passage", "share").agg(F.min("origin").alias("origin"))
+    found = first.groupBy("conv_id", "passage").agg(F.collect_list(F.struct("share", (-F.col("origin")).alias("early"))).alias("found"))
+    best = F.array_max(F.filter("found", lambda x: -x["early"] < F.col("turn")))
+    linked = quotes.select(*names, "chars").join(found, ["conv_id", "passage"], "left").withColumn("best", best)
+    linked = materialise(linked.select(*names, (-F.col("best.early")).alias("origin"), "best.share", "chars"), "passages")
+    discard(quotes, wanted, own)
+    return linked
 
 
 def roots(answers: DataFrame) -> DataFrame:
@@ -129,15 +154,16 @@ def roots(answers: DataFrame) -> DataFrame:
     while True:
         up = found.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("higher"))
         moved = materialise(found.join(up, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "threads")
-        found = moved.select("conv_id", "turn", "root")
+        discard(found)
+        found = moved
         if moved.where("moved").isEmpty():
-            return found
+            return moved.select("conv_id", "turn", "root")
 
 
 def conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", cover: float = COVER) -> DataFrame:
     """(conv_id, thread_turn, turn, parent_turn, role, body, n_quotes, n_linked, max_level) for each row of ``df``."""
     messages = parsed(df, conv_col, turn_col, text_col, role=role_col)
-    links = materialise(linked_passages(messages, cover), "passages")
+    links = linked_passages(messages, cover)
     # the largest first-level passage, the later message of equal ones
     parent = F.max(F.when((F.col("level") == 1) & F.col("origin").isNotNull(), F.struct("chars", "origin")))["origin"]
     linked = materialise(links.groupBy("conv_id", "turn").agg(parent.alias("parent"), F.count("origin").alias("n_linked")), "answers")

@@ -85,6 +85,29 @@ def test_quotes_by_brute_force(spark):
         assert got[conv, turn].thread_turn == top
 
 
+def test_originals_repeated_before_and_after(spark):
+    """Small vocabularies and repeated messages; a later message never changes an earlier link."""
+    rng, rows, want = random.Random(11), [], {}
+    word = lambda: rng.choice("abcdefg") + str(rng.randrange(6))
+    for conv in range(60):
+        bodies = {}
+        for turn in range(8):
+            parts = [bodies[k] for k in range(turn) if rng.random() < 0.35]
+            own = "\n".join([*rng.sample(parts, min(2, len(parts))), " ".join(word() for _ in range(rng.randrange(3, 20)))])
+            quoted = None
+            if turn and rng.random() < 0.8:
+                words = bodies[rng.randrange(turn)].split()
+                a = rng.randrange(len(words)) if rng.random() < 0.5 else 0
+                quoted = " ".join(words[a : a + rng.randrange(4, 60)])
+            bodies[turn] = own
+            rows.append((conv, turn, "u", f"> {quoted}\n{own}" if quoted else own))
+            want[conv, turn] = slow_origin(quoted, turn, bodies) if quoted else None
+    rows += [(99, 1, "u", "a1 b1 c1 d1 e1 f1"), (99, 2, "u", "a1 b1 c1 d1 e1 f1\nand g1 h1 i1 j1 k1 l1"), (99, 3, "u", "> a1 b1 c1 d1 e1 f1\n> and g1 h1 i1 j1 k1 l1\nyes"), (99, 4, "u", "a1 b1 c1 d1 e1 f1\nand g1 h1 i1 j1 k1 l1")]
+    want |= {(99, 1): None, (99, 2): None, (99, 3): 2, (99, 4): None}
+    got = {(r.conv_id, r.turn): r.parent_turn for r in quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == want and sum(v is not None for v in want.values()) > 100
+
+
 def test_licences(spark):
     rows = [
         (1, "Some text.\nReleased under the MIT License.\nMore."), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "no licence to speak of"), (4, None), (5, ""),
