@@ -26,6 +26,7 @@ LOOKS = (
     ("integer", None, r"\d+\Z"),
 )
 _PIECE = re.compile(r'"(?P<quoted>(?:\\.|[^"\\])*)"?|\[(?P<bracketed>[^\]]*)\]?|(?P<token>[^ \t"\[][^ \t]*)')
+#: fixed values: a date and the time after it
 _DATE, _CLOCK = re.compile(r"\d{4}[/-]\d{2}[/-]\d{2}\Z"), re.compile(r"\d{2}:\d{2}:\d{2}(?:\.\d+)?,?\Z")
 
 
@@ -100,6 +101,150 @@ def profile(line: str, name: str = "guessed") -> dict:
     return made if not validate(made) and not any(RESERVED.match(b.get("name", "")) for b in blocks) else {}
 
 
+# --- error logs -----------------------------------------------------------------------------
+
+#: fixed values: what the pieces of an error line look like, by the name that they are stored under
+ERROR_LOOKS = (
+    ("level", r"(?i)\[?(?:emerg|alert|crit|error|warn|warning|notice|info|debug)\]?\Z"),
+    ("level", r"(?i)[a-z_]+:(?:emerg|alert|crit|error|warn|notice|info|debug|trace\d?)\Z"),
+    ("pid_tid", r"\d+#\d+:?\Z"),
+    ("pid_tid", r"pid \d+"),
+    ("connection", r"\*\d+\Z"),
+    ("client", r"client \S+"),
+    ("source_file", r"(?i)[a-z_]+\.c\(\d+\)\Z"),
+    ("os_error", r"\(\d+\)"),
+    ("error_code", r"AH\d{5}:\Z"),
+)
+#: fixed values: the fields that the lines of each server have, in order; the message goes on to the end
+ERROR_FIELDS = {
+    "nginx": ("timestamp", "level", "pid_tid", "connection", "message"),
+    "apache": ("timestamp", "level", "pid_tid", "client", "log_id", "source_file", "os_error", "error_code", "message"),
+    "unknown": ("timestamp", "level", "source", "message"),
+}
+#: fixed values: time formats of error lines, each with what such a time looks like
+ERROR_TIMES = (
+    ("%a %b %d %H:%M:%S%.f %Y", r"(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) [A-Z][a-z]{2} \d{1,2} \d{2}:\d{2}:\d{2}\.\d+"),
+    ("%a %b %d %H:%M:%S %Y", r"(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) [A-Z][a-z]{2} \d{1,2} \d{2}:\d{2}:\d{2}"),
+    ("%Y/%m/%d %H:%M:%S", r"\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}"),
+    ("iso8601", r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"),
+)
+
+
+class Tail(NamedTuple):
+    """An item that may follow a message as ``, key: value``."""
+
+    key: str
+    label: str
+    kind: str
+    name: str
+    quoted: bool
+
+
+#: fixed values: what follows messages, in the order in which it does
+TAILS = {
+    "nginx": (
+        Tail("client", "클라이언트 IP", "client_ip", "client_ip", False), Tail("server", "서버", "text", "server", False), Tail("request", "요청 라인", "request_line", "request", True),
+        Tail("upstream", "업스트림", "text", "upstream", True), Tail("host", "호스트", "text", "host", True), Tail("referrer", "리퍼러", "referrer", "referrer", True),
+    ),
+    "apache": (Tail("referer", "리퍼러", "referrer", "referrer", False),),
+    "unknown": (),
+}
+#: an item that some lines of a server don't have, and how it looks
+_MAYBE = {"connection": r"\*\d+"}
+
+
+def error_roles(parts: list[Piece], server: str) -> list[str]:
+    """The stored name of each piece of an error line: time, level and origin, then the message, which takes all that follows (``ignore``)."""
+    fields, found = ERROR_FIELDS[server], []
+    for k, (value, _) in enumerate(parts):
+        if "message" in found:
+            found.append("ignore")
+        elif k == 0 and any(re.match(p, value) for _, p in ERROR_TIMES):
+            found.append("timestamp")
+        else:
+            name = next((n for n, p in ERROR_LOOKS if re.match(p, value)), "message")
+            if name not in fields:
+                # a server without a name of its own for where a line comes from has one for all of that
+                name = ("source" if "source" in fields else "text") if name in ("pid_tid", "connection", "client") else "message"
+            found.append(name)
+    return found
+
+
+def error_profile(line: str, server: str = "unknown", name: str = "error_log", details: bool = True, offset_seconds: int = 9 * 3600) -> dict:
+    """A format profile for error lines like ``line``; ``details``: with what may follow the message as fields of their own.
+
+    Such times have no offset; ``offset_seconds`` is taken.
+    """
+    parts = pieces(line)
+    blocks: list[dict] = []
+    names: list[str] = []
+    for k, (piece, role) in enumerate(zip(parts, error_roles(parts, server), strict=True)):
+        if role == "ignore":
+            break
+        stored = role if role != "text" else f"field_{k + 1}"
+        stored = stored if stored not in names else f"{stored}_{sum(n.split('_')[0] == stored for n in names) + 1}"
+        names.append(stored)
+        if role in _MAYBE:
+            blocks.append({"block": "optional_group", "blocks": [{"block": "whitespace"}, _field(stored, "text", {"kind": "pattern", "pattern": _MAYBE[role]}, ["-"])]})
+            continue
+        if k:
+            blocks.append({"block": "whitespace"})
+        if role == "message":
+            tail = TAILS[server] if details else ()
+            blocks.append(_field(stored, "text", {"kind": "pattern", "pattern": ".*?" if tail else ".*"}, []))
+            for t in tail:
+                inner = [{"block": "literal", "text": f', {t.key}: "' if t.quoted else f", {t.key}: "}, _field(t.name, t.kind, {"kind": "pattern", "pattern": '[^"]*' if t.quoted else "[^,]+"}, ["-"])]
+                blocks.append({"block": "optional_group", "blocks": [*inner, {"block": "literal", "text": '"'}] if t.quoted else inner})
+            continue
+        capture = {"kind": "pattern", "pattern": r"\S+ \S+"} if piece.capture == "pattern" else {"kind": piece.capture}
+        block = _field(stored, "timestamp" if role == "timestamp" else "text", capture, ["-"])
+        if role == "timestamp":
+            form = next(f for f, p in ERROR_TIMES if re.match(p, piece.value))
+            block["kind"]["format"] = {"kind": form} if form == "iso8601" else {"kind": "custom", "pattern": form}
+        blocks.append(block)
+    return {"schema_version": 1, "name": name, "version": 1, "server_hint": server, "timezone": {"kind": "fixed", "offset_seconds": offset_seconds}, "strategy": {"kind": "blocks", "blocks": blocks}}
+
+
+def _field(name: str, kind: str, capture: dict, missing: list[str]) -> dict:
+    return {"block": "field", "name": name, "kind": {"kind": kind}, "capture": capture, "missing": missing}
+
+
+def roles_of(made: dict, parts: list[Piece]) -> list[str] | None:
+    """The stored name of each piece of a line, by the fields of a profile in their order; None for W3C profiles.
+
+    A field that goes on to the end of the line takes the pieces that are left; pieces beyond
+    the fields have none (``ignore``).
+    """
+    if made["strategy"]["kind"] != "blocks":
+        return None
+    found: list[str] = []
+    for block in made["strategy"]["blocks"]:
+        if block["block"] == "regex":
+            found.append("ignore")
+        elif block["block"] == "field":
+            found.append(block["name"])
+            if block["capture"].get("pattern") in (".*", ".*?"):
+                break
+        elif block["block"] == "optional_group":
+            inner = [b for b in block["blocks"] if b["block"] != "whitespace"]
+            if len(inner) != 1 or inner[0]["block"] != "field":
+                break
+            found.append(inner[0]["name"])
+    return [*found, *["ignore"] * len(parts)][: len(parts)]
+
+
+def tail_labels(parts: list[Piece], message_at: int, tail: tuple[Tail, ...]) -> dict[int, tuple[str, str]]:
+    """(label, kind) of the pieces after a message that belong to an item of its tail; only the piece with the key has the label."""
+    found: dict[int, tuple[str, str]] = {}
+    own: Tail | None = None
+    for k in range(message_at + 1, len(parts)):
+        if named := next((t for t in tail if parts[k].value == f"{t.key}:"), None):
+            own = named
+        if own:
+            found[k] = (own.label if named else "", own.kind)
+    return found
+
+
 def profiles(heads: DataFrame) -> dict[int, dict]:
     """A profile for each source of ``heads`` (its first lines), from the line whose profile matches most of the first SAMPLE_LINES."""
     from tallylog.sources.formats import compile_blocks

@@ -10,6 +10,9 @@ METHODS = (("GET", 800), ("POST", 140), ("HEAD", 30), ("PUT", 20), ("DELETE", 10
 STATUSES = ((200, 820), (304, 60), (301, 40), (404, 50), (500, 20), (403, 10))
 ERRORS, BLANKS, LATE, IPV6 = 5, 1, 50, 50
 START = 1_704_067_200
+#: the lines at the top of a W3C file, and the columns from its middle on
+W3C_HEAD = ("#Software: tallylog", "#Version: 1.0", "#Date: 2024-01-01 00:00:00", "#Fields: date time c-ip cs-method cs-uri-stem sc-status sc-bytes")
+W3C_SECOND = "#Fields: date time sc-status s-port cs-method cs-uri-stem c-ip"
 FORMATS = ("combined", "common", "w3c", "pipe")
 
 
@@ -41,13 +44,15 @@ def generate(spark: SparkSession, lines: int, form: str = "combined", seed: int
     line = {
         "common": clf,
         "combined": F.concat(clf, F.lit(' "-" "Mozilla/5.0 (X11; Linux x86_64)"')),
-        "w3c": F.concat_ws(" ", F.date_format(time, "yyyy-MM-dd HH:mm:ss"), ip, method, target, status, size),
+        "w3c": F.when(F.col("id") < lines // 2, F.concat_ws(" ", F.date_format(time, "yyyy-MM-dd HH:mm:ss"), ip, method, target, status, size)).otherwise(F.concat_ws(" ", F.date_format(time, "yyyy-MM-dd HH:mm:ss"), status, F.lit("443"), method, target, ip)),
         "pipe": F.concat_ws("|", F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), ip, method, target, status, size, F.lit("ua")),
     }[form]
     draw = _draw("odd", seed, 1000)
     value = F.when(draw < errors, F.concat(F.lit("broken line "), F.col("id").cast("string"))).when(draw < errors + blanks, "").otherwise(line)
-    found = spark.range(lines).select((F.col("id") + 1).alias("line_number"), value.alias("value"))
-    if form == "w3c":
-        head = spark.createDataFrame([(0, "#Fields: date time c-ip cs-method cs-uri-stem sc-status sc-bytes")], "line_number long, value string")
-        found = head.union(found).select((F.col("line_number") + 1).alias("line_number"), "value")
-    return found
+    if form != "w3c":
+        return spark.range(lines).select((F.col("id") + 1).alias("line_number"), value.alias("value"))
+    # other columns from the middle on, which a reader has to notice
+    half = lines // 2
+    heads = [(k + 1, x) for k, x in enumerate(W3C_HEAD)] + [(half + len(W3C_HEAD) + 1, W3C_SECOND)]
+    number = F.col("id") + 1 + len(W3C_HEAD) + F.when(F.col("id") >= half, 1).otherwise(0)
+    return spark.createDataFrame(heads, "line_number long, value string").union(spark.range(lines).select(number, value))

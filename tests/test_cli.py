@@ -12,8 +12,11 @@ def test_generated_lines(spark):
         made = synth.generate(spark, 3000, form)
         assert sorted(map(tuple, made.collect())) == sorted(map(tuple, synth.generate(spark, 3000, form).repartition(3).collect()))
         kinds = {(r.kind, r.code): r["count"] for r in parse.parse(made.selectExpr("1L as source_id", "line_number", "value"), formats.preset(profile)).groupBy("kind", "code").count().collect()}
+        if form == "w3c":
+            rows = parse.records(parse.parse(made.selectExpr("1L as source_id", "line_number", "value"), formats.preset("w3c")))
+            assert rows.where("line_number <= 1504 and bytes_sent is null or line_number > 1504 and bytes_sent is not null").count() == 0 and rows.where("status is null").count() == 0
         bad = sum(n for (k, _), n in kinds.items() if k == "error")
-        assert sum(kinds.values()) == 3000 + (form == "w3c") and 0 < bad < 60 and kinds["record", None] > 2900
+        assert sum(kinds.values()) == 3000 + 5 * (form == "w3c") and 0 < bad < 60 and kinds["record", None] > 2900
 
 
 def test_commands(spark, tmp_path, capsys):

@@ -79,3 +79,9 @@ def test_guards():
 
 def test_auto_buckets():
     assert [stats.auto_bucket(0, s * 1_000_000) for s in (60, 30 * 86_400, 3 * 365 * 86_400)] == [60, 21_600, 604_800]
+
+
+def test_filters_on_one_line():
+    f = LogFilter(status=404, status_class=4, method="GET", target_contains="a", expr=Cond("status", "eq", "1"), time_from=1, job_id=7)
+    assert rules.describe_filter(f) == '상태 404 · 메서드 GET · 경로에 "a" 포함 · status eq 1 · 시간 범위 · 작업 7'
+    assert rules.describe_filter(LogFilter()) == "조건 없음" and rules.describe_filter(LogFilter(status_class=5, client_ip="::1", target_regex="x")) == "상태 5xx · IP ::1 · 경로 정규식"
