@@ -2,9 +2,12 @@
 
 Texts become symbols (bytes, the last one of a word marked) and are cut into chunks of fixed
 size, wherever the cut falls.  A chunk's map is a table: entry state to exit state and number
-of tokens.  A chunk that begins with a word is entered in the start state; one that goes on
-with a word has rows for the states that the chunk before can leave.  Maps compose
-associatively, and a scan of logarithmic depth composes them for all prefixes of all texts of
+of tokens.  No chunk waits for the one before.  One that begins with a word has one row,
+whatever the state before; for one that goes on with a word the states that it may be entered
+in are told by the few symbols before the cut: from where the word begins, or, if that is
+more than LOOK symbols back, from several places there, each of which may give a state of its
+own and so a row.  Only where a table's exit still isn't an entry of the next chunk's table,
+which takes a long word without a blank, a row for it is added.  Maps compose associatively, and a scan of logarithmic depth composes them for all prefixes of all texts of
 a piece at once; the map of a whole text, applied to the start state, has its count.
 
 Parts between white space that hold a character other than ASCII and the letters of U+00C0
@@ -32,6 +35,8 @@ from tallylog.llm.word_symbols import pieces, symbols_of
 
 CHUNK_BYTES = 1 << 12
 LIMIT = 2048
+#: symbols before a cut that are looked at, and places among them from which a longer word is followed
+LOOK, PLACES = 48, 4
 #: entry of a row that holds whatever the state before
 ANY = -1
 
@@ -71,27 +76,47 @@ def chunk_maps(parts: list[bytes], bpe: BpeMachine, size: int = CHUNK_BYTES) ->
     owner = np.searchsorted(edge, starts, side="right") - 1
     sizes, goes_on = ends - starts, ~word[starts]
     open_end = symbols[ends - 1] < 256
-    tokens, exits = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-    entries = np.zeros(len(starts), np.int64)
-    plain = np.flatnonzero(~goes_on)
-    tokens[plain], exits[plain] = bpe.run(symbols, starts[plain], sizes[plain])
-    # runs that go on with a word: the chunk before has to be left first
-    todo, ready = np.flatnonzero(goes_on), ~goes_on
-    while len(todo):
-        now = todo[ready[todo - 1]]
-        entries[now] = exits[now - 1]
-        tokens[now], exits[now] = bpe.run(symbols, starts[now], sizes[now], entries[now])
-        ready[now] = True
-        todo = todo[~ready[todo]]
-    n = upto[-1]
-    entry, leave = np.full(n, ANY, np.int64), np.zeros(n, np.int64)
-    entry[owner[goes_on]] = entries[goes_on]
-    leave[owner[open_end]] = exits[open_end]
-    count = np.bincount(owner, tokens, n).astype(np.int64)
+    n, plain, on = int(upto[-1]), np.flatnonzero(~goes_on), np.flatnonzero(goes_on)
+    tokens, exits = bpe.run(symbols, starts[plain], sizes[plain])
+    count, leave = np.bincount(owner[plain], tokens, n).astype(np.int64), np.zeros(n, np.int64)
+    leave[owner[plain][open_end[plain]]] = exits[open_end[plain]]
     if foreign:
         at = np.searchsorted(edge, [a for a, _ in foreign], side="right") - 1
         count += np.bincount(at, [len(bpe.library.ids(w)) for _, w in foreign], n).astype(np.int64)
-    return Maps(np.arange(n), entry, leave, count), upto
+    # the run of each chunk that goes on with a word, if one does
+    first = np.full(n, -1, np.int64)
+    first[owner[on]] = on
+
+    def rows_of(chunk: np.ndarray, entry: np.ndarray) -> Maps:
+        own = first[chunk]
+        more, left = bpe.run(symbols, starts[own], sizes[own], entry)
+        return Maps(chunk, entry, np.where(open_end[own], left, leave[chunk]), count[chunk] + more)
+
+    others = np.flatnonzero(first < 0)
+    found = [Maps(others, np.full(len(others), ANY, np.int64), leave[others], count[others])]
+    chunk, entry = _entries(symbols, np.flatnonzero(there & word), starts[on], owner[on], bpe)
+    while len(chunk):
+        found.append(rows_of(chunk, entry))
+        whole = Maps(*(np.concatenate([getattr(m, f) for m in found]) for f in ("chunk", "entry", "exit", "count")))
+        following = whole.chunk + 1
+        asked = (following < n) & (first[np.minimum(following, n - 1)] >= 0)
+        missing = np.setdiff1d(following[asked] << 32 | whole.exit[asked], whole.chunk << 32 | whole.entry)
+        chunk, entry = missing >> 32, missing & (1 << 32) - 1
+    whole = Maps(*(np.concatenate([getattr(m, f) for m in found]) for f in ("chunk", "entry", "exit", "count")))
+    order = np.lexsort((whole.entry, whole.chunk))
+    return Maps(whole.chunk[order], whole.entry[order], whole.exit[order], whole.count[order]), upto
+
+
+def _entries(symbols: np.ndarray, words: np.ndarray, cuts: np.ndarray, chunk: np.ndarray, bpe: BpeMachine) -> tuple[np.ndarray, np.ndarray]:
+    """(chunk, state) for the states in which chunks cut within words may be entered, by the symbols before each cut only; ``words``: where words begin."""
+    begun = words[np.searchsorted(words, cuts, side="right") - 1] if len(cuts) else cuts
+    back = np.where(cuts - begun <= LOOK, 1, PLACES)
+    at = np.repeat(np.arange(len(cuts)), back)
+    shift = np.arange(len(at)) - np.repeat(np.cumsum(back) - back, back)
+    begin = np.where(back[at] == 1, begun[at], cuts[at] - LOOK + shift)
+    states = bpe.run(symbols, begin, cuts[at] - begin)[1]
+    keys = np.unique(chunk[at] << 32 | states)
+    return keys >> 32, keys & (1 << 32) - 1
 
 
 def compose(first: Maps, second: Maps, left: np.ndarray, right: np.ndarray) -> Maps:

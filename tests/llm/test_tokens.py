@@ -57,6 +57,40 @@ def test_scan_gives_all_prefixes(size):
         maps.rows(maps.chunk[inside], np.array([10**6]))
 
 
+@pytest.mark.parametrize("look", [48, 2])
+def test_tables_do_not_wait_for_the_chunk_before(monkeypatch, look):
+    """A chunk's rows are the same whatever stands more than LOOK symbols before it; with few symbols to look at there are several."""
+    monkeypatch.setattr(token_counts, "LOOK", look)
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("etaoinshrdlu", k=n))
+    several = 0
+    for _ in range(20):
+        near, own = letters(rng.choice([5, 200])), letters(100)
+        tables = []
+        for far in ("a" * (256 - len(near)), "z " * ((256 - len(near)) // 2) + "z" * (len(near) % 2)):
+            bpe = BpeMachine.__new__(BpeMachine)
+            bpe.__dict__ = dict(machine(PATH).__dict__)
+            bpe.let_go()
+            far = far[: 255 - len(near)] + (" " if len(near) < 100 else "q")
+            maps, _ = token_counts.chunk_maps([(far + near + own + " end").encode()], bpe, 256)
+            at = maps.chunk == 1
+            tables.append({bpe.held[e]: (bpe.held[x], n) for e, x, n in zip(maps.entry[at].tolist(), maps.exit[at].tolist(), maps.count[at].tolist())})
+        both = tables[0].keys() & tables[1].keys()
+        assert both and all(tables[0][e] == tables[1][e] for e in both)
+        several += len(tables[0]) > 1
+    assert several or look > 2
+
+
+def test_rows_that_are_missing_are_added(monkeypatch):
+    """Where the looks before the cuts tell the wrong states the counts are right all the same."""
+    monkeypatch.setattr(token_counts, "LOOK", 1)
+    monkeypatch.setattr(token_counts, "PLACES", 1)
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(1, 600))) + rng.choice(["", " ", " x"]) for _ in range(60)]
+    for size in (3, 40):
+        assert token_counts.count_texts([t.encode() for t in texts], machine(PATH), size).tolist() == [len(x) for x in library(texts)]
+
+
 def test_states_stay_few():
     rng = random.Random(5)
     small = BpeMachine(PATH, max_states=500)
