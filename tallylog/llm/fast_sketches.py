@@ -1,13 +1,12 @@
 """Near-duplicates by fast similarity sketching, banding and exact verification.
 
-Each text is the set of its word shingles (64-bit hashes).  A sketch of COORDINATES values is
-filled in rounds: in each round every element falls into one bin, with a value that later
+Each text is the set of its word shingles (64-bit hashes).  A sketch is filled in rounds: in each round every element falls into one bin, with a value that later
 rounds can't undercut; once all bins are full no further round is run, and rounds after the
 first COORDINATES ones fill one bin each, so every coordinate fills.  A large set needs one
 round, and agreement of coordinates is at least as concentrated about the Jaccard similarity
 as with independent MinHash values.
 
-BANDS bands of ROWS coordinates put sets into buckets: a pair at the similarity of 0.85 shares
+Bands of its coordinates put sets into buckets: a pair at the similarity of 0.85 shares
 no bucket with a computed probability of 7e-7.  Of a bucket not all pairs are made.  Its
 members are compared with its hub, the set that shares buckets with most others; then, round
 by round, with a hub among those outside its largest component.  Once that links little more,
@@ -27,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +38,18 @@ from tallylog.llm import simhash
 from tallylog.llm.common import batches, by_heavy_keys, discard, let_go, materialise, small, text_bytes
 from tallylog.llm.text_codes import shingle_sets
 
-SHINGLE = 3
-#: sets link where SHARE[1] times their common shingles is at least SHARE[0] times all of theirs
-SHARE = (85, 100)
-BANDS, ROWS = 30, 6
-COORDINATES = BANDS * ROWS
+
+
+class Rule(NamedTuple):
+    """What links: sets of ``shingle`` words in a row of which ``share`` hundredths are common; looked for in ``bands`` of ``rows`` coordinates."""
+
+    shingle: int = 3
+    share: int = 85
+    bands: int = 30
+    rows: int = 6
+
+
+RULE = Rule()
 #: rounds with hubs at most, before all pairs that are left are compared
 HUB_ROUNDS = 4
 #: elements that are dealt to bins or counted together
@@ -61,7 +68,7 @@ def _dealt(hashes: np.ndarray, turn: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def sketches(sets: list[np.ndarray], size: int = COORDINATES) -> np.ndarray:
+def sketches(sets: list[np.ndarray], size: int = RULE.bands * RULE.rows) -> np.ndarray:
     """A row of ``size`` values for each set; those of an empty set are all ones."""
     full = np.full(len(sets) * size, np.iinfo(np.uint64).max, np.uint64)
     lengths = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -93,7 +100,7 @@ def _runs(lengths: np.ndarray) -> list[slice]:
     return found
 
 
-def band_keys(found: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def band_keys(found: np.ndarray, bands: int = RULE.bands) -> np.ndarray:
     """One bucket a band for each sketch."""
     parts = found.reshape(len(found), bands, -1)
     key = np.arange(bands, dtype=np.uint64)[None, :] * _SECOND + np.uint64(1)
@@ -108,24 +115,36 @@ def set_name(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-def nodes(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, key, node, n, buckets) for each row of ``df``; ``key`` tells texts apart, empty sets have no buckets."""
+def bits_of(hashes: np.ndarray) -> int:
+    """SimHash of a set: the bits that over half of its hashes have, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def text_key(df: DataFrame, text_col: str) -> F.Column:
+    """128 bits that tell texts apart."""
+    return F.unhex(F.md5(text_bytes(df, text_col)))
+
+
+def nodes(df: DataFrame, id_col: str, text_col: str, rule: Rule, prints: bool = False) -> DataFrame:
+    """(doc_id, key, node, n, buckets) for each row of ``df``, with ``prints`` also its SimHash ``fp``; ``key`` tells texts apart, empty sets have no buckets."""
 
     def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in rows:
             texts = batch.column(2).to_pylist()
             for s in batches(texts):
-                held, own = shingle_sets(texts[s], shingle), batch.slice(s.start, s.stop - s.start)
-                keys = band_keys(sketches(held)).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array([set_name(h) for h in held], pa.binary()), pa.array([len(h) for h in held], pa.int64()), pa.array([k if len(h) else [] for k, h in zip(keys, held, strict=True)], pa.list_(pa.int64()))],
-                    names=["doc_id", "key", "node", "n", "buckets"],
-                )
+                held, own = shingle_sets(texts[s], rule.shingle), batch.slice(s.start, s.stop - s.start)
+                keys = band_keys(sketches(held, rule.bands * rule.rows), rule.bands).tolist()
+                columns = [own.column(0), own.column(1), pa.array([set_name(h) for h in held], pa.binary()), pa.array([len(h) for h in held], pa.int64()), pa.array([k if len(h) else [] for k, h in zip(keys, held, strict=True)], pa.list_(pa.int64()))]
+                if prints:
+                    columns.append(pa.array([bits_of(h) for h in held], pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "node", "n", "buckets", "fp"][: len(columns)])
 
-    text = text_bytes(df, text_col)
-    slim = df.select(df[id_col].cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
-    return slim.mapInArrow(each, "doc_id long, key binary, node binary, n long, buckets array<long>")
+    slim = df.select(df[id_col].cast("long").alias("doc_id"), text_key(df, text_col).alias("key"), text_bytes(df, text_col).alias("text"))
+    return slim.mapInArrow(each, "doc_id long, key binary, node binary, n long, buckets array<long>" + ", fp long" * prints)
 
 
 def full_sets(df: DataFrame, wanted: DataFrame, text_col: str, shingle: int) -> DataFrame:
@@ -138,34 +157,33 @@ def full_sets(df: DataFrame, wanted: DataFrame, text_col: str, shingle: int) ->
             for s in batches(texts):
                 yield pa.RecordBatch.from_arrays([pa.array(names[s], pa.binary()), pa.array([h.tobytes() for h in shingle_sets(texts[s], shingle)], pa.binary())], names=["node", "held"])
 
-    text = text_bytes(df, text_col)
-    keyed = df.select(F.unhex(F.md5(text)).alias("key"), text.alias("text")).join(small(wanted), "key")
+    keyed = df.select(text_key(df, text_col).alias("key"), text_bytes(df, text_col).alias("text")).join(small(wanted), "key")
     whole = keyed.groupBy("node").agg(F.first("text").alias("text"))
     return materialise(whole.mapInArrow(each, "node binary, held binary"), "sets")
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, share: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return SHARE[1] * both >= SHARE[0] * (len(a) + len(b) - both)
+    return 100 * both >= share * (len(a) + len(b) - both)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar."""
 
     def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in rows:
             a, b = (map(lambda x: np.frombuffer(x.as_py(), np.uint64), batch.column(k)) for k in (2, 3))
-            near = pa.array([similar(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())
+            near = pa.array([similar(x, y, share) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(near)
 
     one, two = (sets.select(F.col("node").alias(n), F.col("held").alias(h)) for n, h in (("u", "a"), ("v", "b")))
     return materialise(pairs.join(two, "v").join(one, "u").select("u", "v", "a", "b").mapInArrow(each, "u binary, v binary"), "links")
 
 
-def by_size() -> F.Column:
+def by_size(share: int) -> F.Column:
     """Whether sets of ``n`` and ``_n`` shingles can be similar."""
-    return F.least("n", "_n") * SHARE[1] >= F.greatest("n", "_n") * SHARE[0]
+    return F.least("n", "_n") * 100 >= F.greatest("n", "_n") * share
 
 
 def outside(held: DataFrame) -> DataFrame:
@@ -175,7 +193,7 @@ def outside(held: DataFrame) -> DataFrame:
     return held.join(tops, "bucket")
 
 
-def to_hubs(held: DataFrame, of_others: bool) -> DataFrame:
+def to_hubs(held: DataFrame, of_others: bool, share: int) -> DataFrame:
     """(u, v): each set with the hub of another component, of its buckets' hubs, with which it shares most buckets.
 
     A bucket's hub is its member with the greatest score; ``of_others``: among those outside
@@ -184,7 +202,7 @@ def to_hubs(held: DataFrame, of_others: bool) -> DataFrame:
     fresh = outside(held)
     able = fresh.where("root <> top") if of_others else fresh
     hubs = able.groupBy("bucket").agg(F.max(F.struct("score", "node", "root", "n")).alias("hub")).select("bucket", F.col("hub.node").alias("u"), F.col("hub.root").alias("_root"), F.col("hub.n").alias("_n"))
-    met = held.join(hubs, "bucket").where((F.col("root") != F.col("_root")) & by_size())
+    met = held.join(hubs, "bucket").where((F.col("root") != F.col("_root")) & by_size(share))
     shared = met.groupBy("node", "u").agg(F.count("*").alias("m"))
     best = shared.groupBy("node").agg(F.max(F.struct("m", "u"))["u"].alias("u"))
     return materialise(best.select("u", F.col("node").alias("v")), "pairs")
@@ -204,7 +222,7 @@ def reach(held: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(alone, "reach")
 
 
-def near_in_block(names: list[bytes], roots: list[bytes], sets: list[np.ndarray], fresh: list[bool]) -> list[tuple[bytes, bytes]]:
+def near_in_block(names: list[bytes], roots: list[bytes], sets: list[np.ndarray], fresh: list[bool], share: int) -> list[tuple[bytes, bytes]]:
     """The similar pairs of a fresh set with any other one of another component, by common hashes counted for many pairs at once."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     whole, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
@@ -219,19 +237,19 @@ def near_in_block(names: list[bytes], roots: list[bytes], sets: list[np.ndarray]
             size = last[k] - first[k]
             at = np.repeat(first[k] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
             both += np.bincount(owner[at], minlength=len(sets))
-        near = (SHARE[1] * both >= SHARE[0] * (n[i] + n - both)) & (root != root[i])
+        near = (100 * both >= share * (n[i] + n - both)) & (root != root[i])
         found += [(min(names[i], names[j]), max(names[i], names[j])) for j in np.flatnonzero(near).tolist()]
     return found
 
 
-def compared(held: DataFrame, alone: DataFrame, sets: DataFrame) -> DataFrame:
+def compared(held: DataFrame, alone: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """(u, v): the similar pairs among all sets of different components that share a bucket.
 
     A bucket's sets outside its largest component are compared with all of its sets, in blocks
     of about BLOCK_BYTES of either; small buckets go together.  No rows of pairs are made but
     of those that are similar.
     """
-    able = held.join(alone, "node", "left").where((F.col("n") - F.coalesce("alone", F.lit(0))) * SHARE[1] >= F.col("n") * SHARE[0])
+    able = held.join(alone, "node", "left").where((F.col("n") - F.coalesce("alone", F.lit(0))) * 100 >= F.col("n") * share)
     told = outside(able.select("bucket", "node", "root", "n")).withColumn("fresh", F.col("root") != F.col("top")).drop("top")
     size = lambda c: F.sum(F.when(c, F.col("n"))) * 8
     blocks = told.groupBy("bucket").agg(size(F.col("fresh")).alias("some"), size(F.lit(True)).alias("all")).where("some > 0")
@@ -253,7 +271,7 @@ def compared(held: DataFrame, alone: DataFrame, sets: DataFrame) -> DataFrame:
             part = table.slice(first, last - first)
             fresh = part.column("fresh").to_pylist()
             if any(fresh) and not all(fresh):
-                found.update(near_in_block(part.column("node").to_pylist(), part.column("root").to_pylist(), [np.frombuffer(x, np.uint64) for x in part.column("held").to_pylist()], fresh))
+                found.update(near_in_block(part.column("node").to_pylist(), part.column("root").to_pylist(), [np.frombuffer(x, np.uint64) for x in part.column("held").to_pylist()], fresh, share))
         return pa.table({"u": pa.array([u for u, _ in found], pa.binary()), "v": pa.array([v for _, v in found], pa.binary())})
 
     both = left.unionByName(right).join(sets, "node").select("group", "bucket", "node", "root", "fresh", "row", "column", "held")
@@ -262,14 +280,15 @@ def compared(held: DataFrame, alone: DataFrame, sets: DataFrame) -> DataFrame:
     return links
 
 
-def linked(df: DataFrame, text_col: str, shingle: int, classes: DataFrame) -> DataFrame:
-    """(node, root) of all sets that link with another; ``classes``: (node, key, n, buckets)."""
+def linked(df: DataFrame, text_col: str, rule: Rule, classes: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    """(node, root) of all sets that link with another; ``classes``: (node, key, n, buckets), ``tried``: pairs (u, v) to begin with."""
     members = classes.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     met = materialise(members.join(shared, "bucket").select("bucket", "node", "n", "m"), "buckets")
     scores = materialise(met.groupBy("node").agg(F.sum("m").alias("score")), "scores")
-    wanted = materialise(classes.select("key", "node").join(scores.select("node"), "node"), "wanted")
-    sets = full_sets(df, wanted, text_col, shingle)
+    names = scores.select("node") if tried is None else scores.select("node").union(tried.select("u")).union(tried.select("v")).distinct()
+    wanted = materialise(classes.select("key", "node").join(names, "node"), "wanted")
+    sets = full_sets(df, wanted, text_col, rule.shingle)
     found: list[DataFrame] = []
     roots = None
 
@@ -291,29 +310,31 @@ def linked(df: DataFrame, text_col: str, shingle: int, classes: DataFrame) -> Da
                 discard(before)
         return n
 
+    if tried is not None:
+        take(confirmed(tried, sets, rule.share))
     held = split()
     for turn in range(HUB_ROUNDS):
-        pairs = to_hubs(held, turn > 0)
-        tried, linking = pairs.count(), take(confirmed(pairs, sets))
+        pairs = to_hubs(held, turn > 0, rule.share)
+        asked, linking = pairs.count(), take(confirmed(pairs, sets, rule.share))
         discard(pairs)
         if linking:
             discard(held)
             held = split()
         # few new links tell that what is left is apart
-        if 20 * linking < tried or not tried:
+        if 20 * linking < asked or not asked:
             break
     alone = reach(held, sets)
-    take(compared(held, alone, sets))
+    take(compared(held, alone, sets, rule.share))
     discard(met, scores, wanted, sets, held, alone, *found)
     return roots if roots is not None else classes.sparkSession.createDataFrame([], "node binary, root binary")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = RULE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``df``."""
-    docs = materialise(nodes(df, id_col, text_col, shingle), "nodes")
+    docs = materialise(nodes(df, id_col, text_col, rule), "nodes")
     named = docs.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
     classes = materialise(named, "classes")
-    roots = linked(df, text_col, shingle, classes)
+    roots = linked(df, text_col, rule, classes)
     rooted = materialise(classes.join(roots, "node", "left").select("node", "first_id", "rows", F.coalesce("root", "node").alias("root")), "classes")
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     told = materialise(rooted.join(names, "root").select("node", "rows", "component_id"), "names")

@@ -1,19 +1,12 @@
-"""Near-duplicate groups at a Jaccard similarity of word shingles.
+"""Near-duplicate groups at a Jaccard similarity of word shingles: SimHash first, then fast sketches.
 
 Texts with the same shingles are one node.  SimHash fingerprints of the shingle sets go
-through the binary-trie self-join first; it links what differs in few bits.  Pairs at the
-stated similarity can differ in more bits than a trie can follow at scale, so beside it
-MinHash bands gather nodes that may be similar: at 25 bands of 5 values a pair of similarity
-0.8 shares none with probability 5e-5.  Two bits of every value make a sketch, by which pairs
-that are clearly apart are dropped where they would meet (at 0.8 with probability 5e-5).
-Every pair that is left is confirmed by the exact similarity of the two sets (64-bit hashes
-of the shingles), and the confirmed ones are joined into components.
-
-No bucket's pairs are all made.  In each, the nodes are compared with its hub, the node that
-shares buckets with most others; then with a hub among those that the largest component
-hasn't taken; after that only nodes outside it are compared with those of other components, and of these
-pairs only those that can be similar in spite of the shingles which no other node there has.
-Where nodes are many, two of them have to share a second bucket to meet.
+through the binary-trie self-join; its links, few bits apart, are confirmed on the full sets.
+Texts at the stated similarity can differ in more bits than a trie can follow at scale, so
+what lies further apart is found by sketches of the same sets: bands of their coordinates, of
+which a pair at the similarity shares none with a computed probability of 7e-6, hubs, and
+comparison in blocks, as ``fast_sketches`` says.  Every link is confirmed by the exact
+similarity of the two sets (64-bit hashes of the shingles).
 
 Defined results: a null text is an empty one, and texts without words are alike; which row
 of a group stays is as in ``simhash.first_of``; a null id takes part in links but names no
@@ -22,232 +15,47 @@ group; other columns, whatever their names, pass through; an empty table gives a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.llm import simhash
-from tallylog.llm.common import batches, discard, let_go, materialise, small, text_bytes
-from tallylog.llm.text_codes import shingle_sets
-
-SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 25, 5
-#: sketch entries of two nodes that may differ
-APART = 35
-#: nodes of a bucket outside its largest component from which on they have to share a second bucket
-MANY = 256
-SEED = 42
-_rng = np.random.default_rng(SEED)
-_FLIP, _TIMES = (_rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1) for _ in range(2))
-_JOIN = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-_HALF = 0x5555555555555555
-
-
-def bits_of(hashes: np.ndarray) -> int:
-    """SimHash of a set: the bits that over half of its hashes have, as a signed number."""
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 1 << 14):
-        ones += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
-
-
-def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One bucket a band, and two bits of every MinHash value in four numbers."""
-    if not len(hashes):
-        return np.zeros(0, np.int64), np.zeros(4, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    for k in range(0, len(short), 256):
-        part = (short[k : k + 256, None] ^ _FLIP) * _TIMES
-        np.minimum(least, (part ^ (part >> np.uint32(15))).min(0), out=least)
-    mixed = (least.astype(np.uint64) + np.uint64(1)) * _JOIN
-    mixed ^= mixed >> np.uint64(29)
-    own = mixed.reshape(BANDS, ROWS).sum(1, dtype=np.uint64) * _JOIN[:BANDS]
-    pairs = np.zeros(128, np.uint64)
-    pairs[: BANDS * ROWS] = mixed & np.uint64(3)
-    sketch = (pairs.reshape(4, 32) << (2 * np.arange(32, dtype=np.uint64))).sum(1, dtype=np.uint64)
-    return (own ^ (own >> np.uint64(32))).view(np.int64), sketch.view(np.int64)
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
-def nodes(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, key, node, fp, buckets, sketch) for each row of ``df``; ``key`` tells texts apart."""
-
-    def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        for batch in rows:
-            texts = batch.column(2).to_pylist()
-            for s in batches(texts):
-                held = shingle_sets(texts[s], shingle)
-                node = np.fromiter((xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in held), np.uint64, len(held)).view(np.int64)
-                made = [signature(h) for h in held]
-                own = batch.slice(s.start, s.stop - s.start)
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array(node), pa.array([bits_of(h) for h in held], pa.int64()), pa.array([b for b, _ in made], pa.list_(pa.int64())), pa.array([s for _, s in made], pa.list_(pa.int64()))],
-                    names=["doc_id", "key", "node", "fp", "buckets", "sketch"],
-                )
-
-    text = text_bytes(df, text_col)
-    slim = df.select(df[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    return slim.mapInArrow(each, "doc_id long, key long, node long, fp long, buckets array<long>, sketch array<long>")
-
-
-def apart(a: Column, b: Column) -> Column:
-    """In how many entries two sketches differ."""
-    differ = [a[k].bitwiseXOR(b[k]) for k in range(4)]
-    return sum((F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_HALF))) for x in differ[1:]), F.bit_count(differ[0].bitwiseOR(F.shiftrightunsigned(differ[0], 1)).bitwiseAND(F.lit(_HALF))))
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose similarity is ``least`` or more; ``texts``: (node, text)."""
+from tallylog.llm.common import by_heavy_keys, discard, materialise
+from tallylog.llm.fast_sketches import Rule, linked, nodes, text_key
 
-    def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        for batch in rows:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                u, v = part.column(0).to_pylist(), part.column(1).to_pylist()
-                held: dict[int, bytes] = dict(zip(u, part.column(2).to_pylist(), strict=True)) | dict(zip(v, part.column(3).to_pylist(), strict=True))
-                sets, names, data = {}, list(held), list(held.values())
-                for s in batches(data):
-                    sets.update(zip(names[s], shingle_sets(data[s], shingle), strict=True))
-                near = [similarity(sets[a], sets[b]) >= least for a, b in zip(u, v, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+RULE = Rule(shingle=5, share=80, bands=30, rows=5)
 
-    both = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    return materialise(both.select("u", "v", "a", "b").mapInArrow(each, "u long, v long"), "links")
 
-
-def outside(held: DataFrame) -> DataFrame:
-    """Nodes of ``held`` (bucket, node, root, ...) in buckets of several components, with the bucket's largest one ``top`` and the number ``others`` of nodes outside it."""
-    parts = held.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    tops = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    return held.join(tops.select("bucket", F.col("top.root").alias("top"), (F.col("all") - F.col("top.n")).alias("others")), "bucket")
-
-
-def to_hubs(held: DataFrame, of_others: bool) -> DataFrame:
-    """(u, v): each node with the nearest of its buckets' hubs of other components that may be similar.
-
-    The hub of a bucket is the node with the greatest score; ``of_others``: among those
-    outside the largest component.
-    """
-    fresh = outside(held)
-    allowed = F.col("root") != F.col("top") if of_others else F.lit(True)
-    hub = fresh.where(allowed).groupBy("bucket").agg(F.max(F.struct("score", "node", "root", "sketch")).alias("hub"))
-    met = fresh.join(hub, "bucket").where(F.col("root") != F.col("hub.root"))
-    met = met.select("node", F.col("hub.node").alias("u"), apart(F.col("sketch"), F.col("hub.sketch")).alias("apart")).where(F.col("apart") <= APART)
-    best = met.groupBy("node").agg(F.min(F.struct("apart", "u"))["u"].alias("u"))
-    return materialise(best.select("u", F.col("node").alias("v")), "pairs")
-
-
-def across(held: DataFrame, least: float) -> DataFrame:
-    """(u, v): the pairs of nodes of different components that share a bucket and may be similar, by their sketches and by (n, most) of ``reach``."""
-    fresh = outside(held)
-    more = ["n", "most"]
-    rest = fresh.where("root <> top").select("bucket", F.col("node").alias("u"), F.col("root").alias("_root"), F.col("sketch").alias("_sketch"), *[F.col(c).alias(f"_{c}") for c in more])
-    both = F.least("most", "_most")
-    close = both / (F.col("n") + F.col("_n") - both) >= least - 1e-9
-    met = fresh.join(rest, "bucket").where(close).where((F.col("root") != F.col("_root")) & ((F.col("root") == F.col("top")) | (F.col("u") < F.col("node"))) & (apart(F.col("sketch"), F.col("_sketch")) <= APART))
-    return met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-
-
-def reach(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, n, most) of each of ``nodes``: its shingles, and how many of them another of the nodes has; no two have more in common than ``most`` of either."""
-
-    def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            names, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for s in batches(data):
-                for node, held in zip(names[s], shingle_sets(data[s], shingle), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), node)), pa.array(held.view(np.int64))], names=["node", "hash"])
-
-    own = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(each, "node long, hash long")
-    single = own.groupBy("hash").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-    # a hash of one node counts for it alone, one of several for each of them
-    alone = single.where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    found = own.groupBy("node").agg(F.count("*").alias("n")).join(alone, "node", "left")
-    return materialise(found.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")), "reach")
-
-
-def rooted_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, key, node, root) for each row of ``df``: rows of one group share ``root``."""
-    docs = materialise(nodes(df, id_col, text_col, shingle), "nodes")
-    classes = materialise(docs.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")), "classes")
-    # pairs of the trie: fingerprints within its budget, and nodes that share a fingerprint
+def print_pairs(classes: DataFrame) -> DataFrame:
+    """(u, v): pairs of nodes by the trie, of fingerprints within its budget and of nodes that share one."""
     prints = materialise(classes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
     forest = simhash.trie_links(prints.select("fp"), prints.count())
     ends = forest.join(prints.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
     same = classes.join(prints, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
-    tried = materialise(ends.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same), "pairs")
-    # buckets of several nodes
-    members = classes.select("node", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(members.join(shared, "bucket").select("bucket", "node", "n"), "buckets")
-    score = materialise(met.groupBy("node").agg(F.sum("n").alias("score")), "scores")
-    wanted = score.select("node").union(tried.select("u")).union(tried.select("v")).distinct()
-    keys = materialise(classes.select("node", "key").join(wanted, "node"), "keys")
-    whole = df.select(F.xxhash64(text_bytes(df, text_col)).alias("key"), text_bytes(df, text_col).alias("text"))
-    texts = materialise(keys.join(whole.join(small(keys.select("key")), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "key").select("node", "text"), "texts")
-    links = confirmed(tried, texts, shingle, least)
-    info = classes.select("node", "sketch").join(score, "node")
-
-    roots = materialise(simhash.components(links), "roots").withColumnsRenamed({"node": "_node", "root": "_root"})
-
-    def split() -> DataFrame:
-        """The members of buckets that hold several components."""
-        own = met.join(roots, met["node"] == roots["_node"], "left").select("bucket", "node", F.coalesce("_root", "node").alias("root"))
-        parted = own.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("split")).where("split").select("bucket")
-        return materialise(own.join(parted, "bucket", "left_semi").join(info, "node"), "members")
-
-    def more_links(pairs: DataFrame) -> bool:
-        """Confirm ``pairs`` and take them in; whether there were any."""
-        nonlocal links, roots
-        more = confirmed(pairs, texts, shingle, least)
-        if more.isEmpty():
-            return False
-        links = materialise(links.union(more), "links")
-        roots = materialise(simhash.components(links), "roots").withColumnsRenamed({"node": "_node", "root": "_root"})
-        return True
-
-    held = split()
-    for of_others in (False, True):
-        if more_links(to_hubs(held, of_others)):
-            discard(held)
-            held = split()
-    # what no other of these nodes has keeps some below the similarity, whomever they meet
-    shares = reach(held.select("node").distinct(), texts, shingle)
-    near = materialise(held.join(shares.where(F.col("most") >= F.col("n") * (least - 1e-9)), "node"), "members")
-    crowd = materialise(outside(near).where(F.col("others") > MANY).select("bucket").distinct(), "crowds")
-    last = across(near.join(crowd, "bucket", "left_anti"), least)
-    if not crowd.isEmpty():
-        many = near.join(crowd, "bucket", "left_semi").join(members.select("node", F.col("bucket").alias("_other")), "node").where("bucket <> _other")
-        last = last.union(across(many.withColumn("bucket", F.xxhash64("bucket", "_other")).drop("_other"), least)).distinct()
-    last = materialise(last, "pairs")
-    if not last.isEmpty():
-        more_links(last)
-    found = docs.join(roots, docs["node"] == roots["_node"], "left").select("doc_id", "key", "node", F.coalesce("_root", "node").alias("root"))
-    found = materialise(found, "groups")
-    discard(docs, classes, prints, tried, met, score, keys, texts, held, near, shares, crowd, last, links)
+    pairs = materialise(ends.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same), "pairs")
+    discard(prints)
+    return pairs
+
+
+def rooted_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = RULE) -> DataFrame:
+    """(doc_id, key, root) for each row of ``df``: rows of one group share ``root``."""
+    docs = materialise(nodes(df, id_col, text_col, rule, prints=True), "nodes")
+    named = docs.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("fp").alias("fp"), F.count("*").alias("rows"))
+    classes = materialise(named, "classes")
+    tried = print_pairs(classes)
+    roots = linked(df, text_col, rule, classes, tried)
+    told = materialise(classes.join(roots, "node", "left").select("node", "rows", F.coalesce("root", "node").alias("root")), "roots")
+    found = materialise(by_heavy_keys(docs.select("doc_id", "key", "node"), told, "node", "rows").select("doc_id", "key", "root"), "groups")
+    discard(docs, classes, tried, roots, told)
     return found
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = RULE) -> DataFrame:
     """(doc_id, component_id) for each row of ``df``: the smallest id of its group."""
-    rows = rooted_rows(df, id_col, text_col, **options)
-    names = materialise(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "classes")
-    return rows.join(names, "root").select("doc_id", "component_id")
+    rows = rooted_rows(df, id_col, text_col, rule)
+    names = materialise(rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")), "classes")
+    return by_heavy_keys(rows, names, "root", "rows").select("doc_id", "component_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = RULE) -> DataFrame:
     """Rows of ``df`` that stay when one row of each group does."""
-    return simhash.first_of(df, rooted_rows(df, id_col, text_col, **options), id_col, text_col)
+    return simhash.first_of(df, rooted_rows(df, id_col, text_col, rule), id_col, text_col, text_key(df, text_col))

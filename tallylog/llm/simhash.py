@@ -285,10 +285,10 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     return first_of(df, groups, id_col, text_col)
 
 
-def first_of(df: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of(df: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_key: F.Column | None = None) -> DataFrame:
     """Rows of ``df`` that stay when one row of each of the ``groups`` (doc_id, key, root) does.
 
-    ``key`` is the XXH64 of the text.  The row with the smallest id stays, of equal ids the
+    ``key`` is the XXH64 of the text, or ``text_key`` if that is given.  The row with the smallest id stays, of equal ids the
     one with the smallest key.  Rows that share both are one; of these the one with the
     smallest hash of all columns stays.  Rows without an id stay, as nothing names them.
     """
@@ -298,7 +298,7 @@ def first_of(df: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col:
     told = materialise(held.join(first, "root").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), (~is_first).alias("_gone"), ((F.col("n") > 1) & is_first).alias("_again")).where("_gone or _again"), "gone")
     discard(held)
     names = fresh_names(df, "id", "key")
-    row = df.withColumns({names[0]: df[id_col].cast("long"), names[1]: F.xxhash64(text_bytes(df, text_col))})
+    row = df.withColumns({names[0]: df[id_col].cast("long"), names[1]: F.xxhash64(text_bytes(df, text_col)) if text_key is None else text_key})
 
     def of(table: DataFrame, how: str) -> DataFrame:
         return row.join(table, (row[names[0]] == table["_id"]) & (row[names[1]] == table["_key"]), how)
