@@ -26,6 +26,13 @@ def show(rows: object) -> None:
         print(json.dumps(row.asDict(True) if hasattr(row, "asDict") else row, default=str, ensure_ascii=False))
 
 
+def show_stats(found: dict) -> None:
+    table = found.pop("table")
+    for name, told in found.items():
+        show([{name: [r.asDict() for r in told.collect()] if isinstance(told, DataFrame) else told}])
+    table.unpersist()
+
+
 def profile_of(name: str) -> dict:
     if found := formats.preset(name):
         return found
@@ -140,8 +147,7 @@ def main(argv: list[str] | None = None) -> int:
         case "analyze":
             began = time.time()
             logs = apply_filter(store.logs(), LogFilter(job_id=a.job, time_from=a.from_micros, time_to=a.to_micros), store.jobs(), store.bookmarks())
-            for name, found in stats.compute(logs, None, a.top_n).items():
-                show([{name: [r.asDict() for r in found.collect()] if isinstance(found, DataFrame) else found}])
+            show_stats(stats.compute(logs, None, a.top_n))
             show([{"seconds": round(time.time() - began, 3)}])
         case "jobs":
             show(store.jobs())
@@ -156,8 +162,7 @@ def main(argv: list[str] | None = None) -> int:
             show(paging.detail(store.logs(), store.sources(), int(a.source), int(a.line)).withColumn("text", reconstruct.combined_like()))
         case "stats":
             logs = apply_filter(store.logs(), filter_of(a), store.jobs(), store.bookmarks())
-            for name, found in stats.compute(logs, a.kind, a.top, int(a.bucket) if a.bucket.isdigit() else a.bucket, a.offset).items():
-                show([{name: [r.asDict() for r in found.collect()] if isinstance(found, DataFrame) else found}])
+            show_stats(stats.compute(logs, a.kind, a.top, int(a.bucket) if a.bucket.isdigit() else a.bucket, a.offset))
         case "export":
             show([vars(exporting.export_store(store, filter_of(a), a.out, a.format, max_rows=a.max_rows, name=a.name))])
     return 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,21 +97,50 @@ def auto_timeline(logs: DataFrame, offset: int = 0, limit: int | None = BUCKETS)
     return timeline(logs, auto_bucket(span["first_micros"] or 0, span["last_micros"] or 0), offset, limit)
 
 
+def tallied(logs: DataFrame, values: dict[str, Column], seconds: int, offset: int = 0) -> DataFrame:
+    """(dim, key, n, untimed, least, most) of every value of some columns, of all rows (``all``) and of buckets of time (``time``), in one scan.
+
+    Each row is counted under all its values at once, within tasks before anything moves.
+    """
+    dims = {"all": F.lit(""), "time": bucket_start(F.col("timestamp_utc"), seconds, offset)} | values
+    every = F.array(*[F.struct(F.lit(d).alias("dim"), v.cast("string").alias("key")) for d, v in dims.items()])
+    rows = logs.select(F.unix_micros("timestamp_utc").alias("micros"), F.explode(every).alias("d"))
+    return rows.groupBy("d.dim", "d.key").agg(F.count("*").alias("n"), F.count_if(F.col("micros").isNull()).alias("untimed"), F.min("micros").alias("least"), F.max("micros").alias("most"))
+
+
 def compute(logs: DataFrame, kind: str | None, top_n: int = 20, bucket: str | int = "auto", offset: int = 0) -> dict[str, DataFrame | bool]:
-    """All statistics of one filter, by name; ``truncated`` tells whether the timeline had more buckets."""
-    span = totals(logs).first()
-    size = NAMED.get(bucket, bucket) if bucket != "auto" else auto_bucket(span["first_micros"] or 0, span["last_micros"] or 0)
-    total = logs.sparkSession.createDataFrame([span], totals(logs).schema)
-    found: dict[str, DataFrame | bool] = {"totals": total, "top_ips": top_ips(logs, top_n), "ip_rows": ip_rows(logs, top_n)}
-    if kind == "error":
-        found |= {"levels": by_level(logs), "top_messages": top_messages(logs, top_n)}
+    """All statistics of one filter, by name, from one scan of the rows; ``truncated`` tells whether the timeline had more buckets.
+
+    The counts by value are kept until the results are read; ``table`` is what to unpersist.
+    """
+    if abs(offset) > TZ_OFFSET:
+        raise FilterError("the offset is out of range")
+    checked_top(top_n)
+    error = kind == "error"
+    values = {"ip": F.col("client_ip")} | ({n: F.get_json_object("extra_json", f"$.{n}") for n in ("level", "message")} if error else {n: F.col(c) for n, c in (("status", "status"), ("method", "method"), ("target", "request_target"))})
+    given = NAMED.get(bucket, bucket)
+    # the size that suits the range is known later; buckets of a minute add up to any of them
+    base = math.gcd(60, offset % 60) if bucket == "auto" else given
+    table = tallied(logs, values, base, offset).persist()
+    of = lambda dim: table.where(F.col("dim") == dim)
+    whole = of("all").first()
+    span = [(whole["n"], whole["untimed"], whole["least"], whole["most"]) if whole else (0, 0, None, None)]
+    size = auto_bucket(span[0][2] or 0, span[0][3] or 0) if bucket == "auto" else given
+    named = lambda dim, name, limit, nulls=False, key=F.col("key"): (of(dim) if nulls else of(dim).where("key is not null")).select(key.alias(name), "n").orderBy(F.col("n").desc(), F.col(name).asc_nulls_last()).limit(limit)
+    found: dict[str, DataFrame | bool] = {"totals": logs.sparkSession.createDataFrame(span, totals(logs).schema), "top_ips": named("ip", "client_ip", top_n)}
+    found["ip_rows"] = of("ip").where("key is not null").select(F.col("key").alias("client_ip"), "n", F.col("least").alias("first_micros"), F.col("most").alias("last_micros")).orderBy(F.col("n").desc(), "client_ip").limit(top_n)
+    if error:
+        found |= {"levels": named("level", "level", 50, True), "top_messages": named("message", "message", top_n)}
     else:
-        found |= {"status": by_status(logs), "methods": by_method(logs), "top_targets": top_targets(logs, top_n)}
+        statuses = of("status").select(F.col("key").cast("int").alias("status"), "n").orderBy(F.col("status").asc_nulls_last())
+        found |= {"status": statuses, "methods": named("method", "method", 50, True), "top_targets": named("target", "request_target", top_n)}
+    start = bucket_start(F.timestamp_micros(F.col("key").cast("bigint")), size, offset)
+    line = of("time").where("key is not null").groupBy(start.alias("bucket_micros")).agg(F.sum("n").alias("n")).orderBy("bucket_micros").limit(BUCKETS + 1)
     # at most BUCKETS + 1 rows, so these are fetched once
-    line = timeline(logs, size, offset, BUCKETS + 1)
     rows = line.collect()
     found["timeline"] = logs.sparkSession.createDataFrame(rows[:BUCKETS], line.schema)
     found["truncated"] = len(rows) > BUCKETS
+    found["table"] = table
     return found
 
 

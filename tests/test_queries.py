@@ -85,3 +85,20 @@ def test_filters_on_one_line():
     f = LogFilter(status=404, status_class=4, method="GET", target_contains="a", expr=Cond("status", "eq", "1"), time_from=1, job_id=7)
     assert rules.describe_filter(f) == '상태 404 · 메서드 GET · 경로에 "a" 포함 · status eq 1 · 시간 범위 · 작업 7'
     assert rules.describe_filter(LogFilter()) == "조건 없음" and rules.describe_filter(LogFilter(status_class=5, client_ip="::1", target_regex="x")) == "상태 5xx · IP ::1 · 경로 정규식"
+
+
+@pytest.mark.parametrize(("kind", "bucket", "offset"), [("access", "auto", 0), ("access", "hour", 19_800), ("error", 77, 0), (None, "auto", 61)])
+def test_statistics_of_one_scan(spark, kind, bucket, offset):
+    """All at once they are what each is by itself."""
+    t = demo_logs.tables(spark, DATA)
+    logs = filters.apply_filter(t["logs"], LogFilter(active_only=True, log_kind=kind), t["jobs"])
+    got = stats.compute(logs, kind, 7, bucket, offset)
+    span = stats.totals(logs).first()
+    size = stats.NAMED.get(bucket, bucket) if bucket != "auto" else stats.auto_bucket(span.first_micros, span.last_micros)
+    want = {"totals": stats.totals(logs), "top_ips": stats.top_ips(logs, 7), "ip_rows": stats.ip_rows(logs, 7), "timeline": stats.timeline(logs, size, offset)}
+    want |= {"levels": stats.by_level(logs), "top_messages": stats.top_messages(logs, 7)} if kind == "error" else {"status": stats.by_status(logs), "methods": stats.by_method(logs), "top_targets": stats.top_targets(logs, 7)}
+    for name, frame in want.items():
+        assert list(map(tuple, got[name].collect())) == list(map(tuple, frame.collect())), name
+    assert set(got) - set(want) == {"truncated", "table"}
+    assert str(got["table"]._jdf.queryExecution().optimizedPlan()).count("InMemoryRelation") == 1
+    got["table"].unpersist()
