@@ -55,7 +55,7 @@ HUB_ROUNDS = 4
 #: elements that are dealt to bins or counted together
 SLICE = 1 << 18
 #: bytes of sets that are compared with as many others in one task
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _VALUE_BITS = np.uint64(40)
 
@@ -263,6 +263,7 @@ def compared(held: DataFrame, alone: DataFrame, sets: DataFrame, share: int) ->
     right = dealt.select("group", "bucket", "node", "root", F.lit(False).alias("fresh"), F.explode(each_of("rows")).alias("row"), of("columns").alias("column"))
 
     def compare(table: pa.Table) -> pa.Table:
+        let_go()
         found: set[tuple[bytes, bytes]] = set()
         table = table.sort_by("bucket")
         bucket = table.column("bucket").to_numpy()
@@ -271,7 +272,7 @@ def compared(held: DataFrame, alone: DataFrame, sets: DataFrame, share: int) ->
             part = table.slice(first, last - first)
             fresh = part.column("fresh").to_pylist()
             if any(fresh) and not all(fresh):
-                found.update(near_in_block(part.column("node").to_pylist(), part.column("root").to_pylist(), [np.frombuffer(x, np.uint64) for x in part.column("held").to_pylist()], fresh, share))
+                found.update(near_in_block(part.column("node").to_pylist(), part.column("root").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("held")], fresh, share))
         return pa.table({"u": pa.array([u for u, _ in found], pa.binary()), "v": pa.array([v for _, v in found], pa.binary())})
 
     both = left.unionByName(right).join(sets, "node").select("group", "bucket", "node", "root", "fresh", "row", "column", "held")
