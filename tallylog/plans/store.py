@@ -318,41 +318,52 @@ class Store:
         """(numbered spans, bytes of a span) of each wave; spans are counted wave by wave, packed files when their turn comes."""
         total = sum(s["file_size"] for s in sources)
         size = ranges.span_bytes(self.spark, min(total, wave_bytes))
-        pending: list[ranges.Span] = []
+        state, first = dict(starts), 0
+        while first < len(sources):
+            # as many files as a wave may have bytes, one at least; their packed ones are looked into together
+            upto, used = first, 0
+            while upto < len(sources) and (upto == first or used + sources[upto]["file_size"] <= wave_bytes):
+                used += sources[upto]["file_size"]
+                upto += 1
+            pending = self._pending(sources[first:upto], state, headers, size)
+            first, k = upto, 0
+            while k < len(pending):
+                wave, used = [], 0
+                while k < len(pending) and (not wave or used + pending[k].high - pending[k].low <= wave_bytes):
+                    wave.append(pending[k])
+                    used += pending[k].high - pending[k].low
+                    k += 1
+                plain = ranges.counted(self.spark, [s for s in wave if not s.packed], state, headers, size)
+                # what lies before a source's next spans
+                for s in plain:
+                    state[s.source_id] = ranges.Start(s.high, s.before + s.lines, s.last)
+                yield plain + [s for s in wave if s.packed], size
+
+    def _pending(self, sources: list[dict], starts: dict[int, ranges.Start], headers: bool, size: int) -> list[ranges.Span]:
+        """The spans of some files from where each starts; those of packed ones by the lists of their members, which are made once."""
+        paths = {s["source_id"]: storage.mounted(self.spark, s["current_path"]) for s in sources}
+        name = lambda source: f"members/{source}{'-w3c' if headers else ''}.json"
+        known = {s["source_id"]: self.files.read(name(s["source_id"])) for s in sources if s["compression"] == "gzip"}
+        fresh = [ranges.Span(i, paths[i], True, 0, 0, 0, 0) for i, data in known.items() if data is None]
+        if fresh:
+            found: dict[int, list] = {s.source_id: [] for s in fresh}
+            for s in ranges.counted(self.spark, fresh, {}, headers, size):
+                found[s.source_id].append([s.physical, s.at, s.low, s.high, s.before, s.lines, s.header, s.last])
+            for source, rows in found.items():
+                known[source] = json.dumps(rows).encode()
+                self.files.replace(name(source), known[source])
+        spans: list[ranges.Span] = []
         for s in sources:
-            path, start = storage.mounted(self.spark, s["current_path"]), starts.get(s["source_id"], ranges.Start())
-            if s["compression"] == "gzip":
-                pending += self._packed(s["source_id"], path, start, headers, size)
-            elif start.offset < s["file_size"]:
-                pending += ranges.cut([ranges.Span(s["source_id"], path, False, start.offset, start.offset, start.offset, s["file_size"])], size)
-        state, k = dict(starts), 0
-        while k < len(pending):
-            wave, used = [], 0
-            while k < len(pending) and (not wave or used + pending[k].high - pending[k].low <= wave_bytes):
-                wave.append(pending[k])
-                used += pending[k].high - pending[k].low
-                k += 1
-            plain = ranges.counted(self.spark, [s for s in wave if not s.packed], state, headers, size)
-            found = plain + [s for s in wave if s.packed]
-            # what lies before a source's next spans
-            for s in plain:
-                state[s.source_id] = ranges.Start(s.high, s.before + s.lines, s.last)
-            yield found, size
-
-    def _packed(self, source_id: int, path: str, start: ranges.Start, headers: bool, size: int) -> list[ranges.Span]:
-        """The spans of a gzip file from ``start`` on, by the list of its members, which is made once."""
-        name = f"members/{source_id}{'-w3c' if headers else ''}.json"
-        data = self.files.read(name)
-        if data is None:
-            found = ranges.counted(self.spark, [ranges.Span(source_id, path, True, 0, 0, 0, 0)], {}, headers, size)
-            data = json.dumps([[s.physical, s.at, s.low, s.high, s.before, s.lines, s.header, s.last] for s in found]).encode()
-            self.files.replace(name, data)
-        spans = []
-        for physical, at, low, high, before, lines, header, last in json.loads(data):
-            if start.offset < high:
-                if start.offset > low:
-                    low, before, lines, header = start.offset, start.line, before + lines - start.line, start.header
-                spans.append(ranges.Span(source_id, path, True, physical, at, low, high, before, lines, header, last))
+            source, start = s["source_id"], starts.get(s["source_id"], ranges.Start())
+            if source not in known:
+                if start.offset < s["file_size"]:
+                    spans += ranges.cut([ranges.Span(source, paths[source], False, start.offset, start.offset, start.offset, s["file_size"])], size)
+                continue
+            for physical, at, low, high, before, lines, header, last in json.loads(known[source]):
+                if start.offset < high:
+                    if start.offset > low:
+                        low, before, lines, header = start.offset, start.line, before + lines - start.line, start.header
+                    spans.append(ranges.Span(source, paths[source], True, physical, at, low, high, before, lines, header, last))
         return spans
 
     def _commit(self, job_id: int, lines: DataFrame, expected: dict[int, int], sources: list[dict], profile: dict, batch_rows: int, held: lease.Lease, work: lease.Stoppable) -> None:
