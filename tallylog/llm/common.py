@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,10 +111,17 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
 CACHES: list[Callable[[], None]] = []
 
 
+#: gives memory that was freed back to the system, where the C library can
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def let_go() -> None:
-    """Called where a task of another kind begins: forget what the worker's earlier tasks kept."""
+    """Called where a task of another kind begins: forget what the worker's earlier tasks kept, and give back their memory."""
     for clear in CACHES:
         clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def text_bytes(df: DataFrame, name: str) -> F.Column:
