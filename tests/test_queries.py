@@ -102,3 +102,10 @@ def test_statistics_of_one_scan(spark, kind, bucket, offset):
     assert set(got) - set(want) == {"truncated", "table"}
     assert str(got["table"]._jdf.queryExecution().optimizedPlan()).count("InMemoryRelation") == 1
     got["table"].unpersist()
+
+
+def test_protocol_cases_has_every_protocol(spark):
+    """Its SQL once had rows of two protocols only."""
+    kinds = ("TLS ClientHello", "TLS 1.0", "TLS 1.1", "TLS 1.2+", "SSLv2", "SOCKS5", "SOCKS4", "길이 접두")
+    told = {r.text for r in catalog.QUERIES["protocol_cases"](spark, DATA).select("text").distinct().collect()}
+    assert None in told and all(any(t and t.startswith(k) for t in told) for k in kinds)
