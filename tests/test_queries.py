@@ -109,3 +109,14 @@ def test_protocol_cases_has_every_protocol(spark):
     kinds = ("TLS ClientHello", "TLS 1.0", "TLS 1.1", "TLS 1.2+", "SSLv2", "SOCKS5", "SOCKS4", "길이 접두")
     told = {r.text for r in catalog.QUERIES["protocol_cases"](spark, DATA).select("text").distinct().collect()}
     assert None in told and all(any(t and t.startswith(k) for t in told) for k in kinds)
+
+
+def test_logs_are_joined_with_their_pages_in_every_task(spark):
+    """Not by the fifty values of a key, however large the tables are said to be."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = str(demo_logs.tables(spark, DATA)["logs"]._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
