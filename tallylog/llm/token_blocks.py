@@ -50,12 +50,12 @@ class Model:
     def __init__(self, ids: int, lanes: int):
         self.ids = ids
         self.seen = np.zeros(ids, np.int64)
-        #: by context, the id that followed and two bits of confidence
-        self.next1, self.next2 = np.zeros(ids + 1, np.int32), np.zeros(1 << _ORDER2, np.int32)
+        #: by context of order 1, then by those of order 2, the id that followed and two bits of confidence
+        self.next = np.zeros(ids + 1 + (1 << _ORDER2), np.int32)
         self.hits = np.tile(np.array([[2, 2, 60]], np.int64), (32, 1))
         self.steps = 0
-        self.before = np.full(lanes, ids, np.int32)
-        self.before2 = np.full(lanes, ids, np.int32)
+        self.before = np.full(lanes, ids, np.intp)
+        self.before2 = np.full(lanes, ids, np.intp)
         self.new: list[np.ndarray] = []
         self.refresh()
 
@@ -68,13 +68,14 @@ class Model:
         total = int(self.seen.sum())
         freq = 1 + (self.seen * spare // total if total else np.zeros(self.ids, np.int64))
         freq[int(freq.argmax()) if total else 0] += (1 << _FREQ) - int(freq.sum())
+        self.freq = freq.astype(np.uint64)
         self.cut = np.append(0, np.cumsum(freq)).astype(np.uint64)
         self.table = None
 
     def symbols(self) -> np.ndarray:
         """The id at each place of the order-0 range, for the reader."""
         if self.table is None:
-            self.table = np.repeat(np.arange(self.ids, dtype=np.int32), np.diff(self.cut.astype(np.int64)))
+            self.table = np.repeat(np.arange(self.ids, dtype=np.int32), self.freq.astype(np.int64))
         return self.table
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,23 +83,24 @@ class Model:
         if self.steps and self.steps % _REFRESH == 0:
             self.refresh()
         self.steps += 1
-        self.n, self.at1 = n, self.before[:n]
-        self.at2 = (self.before2[:n].astype(np.uint32) * np.uint32(0x9E3779B1) ^ self.at1.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _ORDER2)
-        self.f1, self.f2 = self.next1[self.at1], self.next2[self.at2]
-        self.p1, self.p2 = self.f1 >> 2, self.f2 >> 2
-        self.context = (self.f2 & 3) << 3 | (self.f1 & 3) << 1 | (self.p1 == self.p2)
-        shares = (1 + self.hits[:, :2] * ((1 << _SHARE) - 3) // self.hits.sum(1)[:, None]).astype(np.uint64) << np.uint64(_FREQ)
-        return self.p1, self.p2, shares[:, 0][self.context], shares[:, 1][self.context]
+        self.n, last = n, self.before[:n]
+        pair = (self.before2[:n].astype(np.uint32) * np.uint32(0x9E3779B1) ^ last.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _ORDER2)
+        # both orders are looked up at once
+        self.at = np.concatenate([last, pair + np.intp(self.ids + 1)])
+        self.had = self.next.take(self.at)
+        self.guess, self.sure = self.had >> 2, self.had & 3
+        p1, p2 = self.guess[:n], self.guess[n:]
+        self.context = (self.sure[n:] << 3 | self.sure[:n] << 1 | (p1 == p2)).astype(np.intp)
+        shares = (1 + self.hits[:, :2] * ((1 << _SHARE) - 3) // self.hits.sum(1)[:, None]).T.astype(np.uint64) << np.uint64(_FREQ)
+        return p1, p2, shares[0].take(self.context), shares[1].take(self.context)
 
     def interval(self, ids: np.ndarray, kind: np.ndarray, w2: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each lane's part of the range, of 2**(_FREQ + _SHARE) in all."""
         base = w2 + w1
         rest = (_TOTAL - base) >> np.uint64(_FREQ)
-        begin = self.cut[ids]
-        start, size = base + begin * rest, (self.cut[1:][ids] - begin) * rest
-        known = np.flatnonzero(kind < 2)
-        second = kind[known] == 1
-        start[known], size[known] = w2[known] * second, np.where(second, w1[known], w2[known])
+        none, second = kind == 2, kind == 1
+        start = np.where(none, base + self.cut.take(ids) * rest, w2 * second)
+        size = np.where(none, self.freq.take(ids) * rest, np.where(second, w1, w2))
         return start, size
 
     def update(self, ids: np.ndarray, kind: np.ndarray) -> None:
@@ -107,10 +109,9 @@ class Model:
         if self.steps % 64 == 0:
             self.hits = np.maximum(self.hits // 2, 1)
         self.new.append(ids)
-        for follows, at, had, guess in ((self.next1, self.at1, self.f1, self.p1), (self.next2, self.at2, self.f2, self.p2)):
-            sure = had & 3
-            follows[at] = np.where(guess == ids, had + (sure < 3), np.where(sure > 0, had - 1, ids << 2))
-        self.before2[: self.n] = self.at1
+        both = np.concatenate([ids, ids])
+        self.next[self.at] = np.where(self.guess == both, self.had + (self.sure < 3), np.where(self.sure > 0, self.had - 1, both << 2))
+        self.before2[: self.n] = self.at[: self.n]
         self.before[: self.n] = ids
 
 

@@ -157,3 +157,13 @@ def test_documents_over_several_blocks(spark):
     assert {(r.doc_id, r.ids_crc32) for r in got} == rows
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
     assert token_blocks.store_ids(df.limit(0), PATH).count() == 0
+
+
+def test_bytes_of_a_block_stay_the_same():
+    """Files written before can be read: the checksum is of the coder's first version."""
+    k = np.arange(60_000, dtype=np.uint64)
+    ids = ((k * k * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(9) + (k // np.uint64(50)) % np.uint64(900)).astype(np.int32)
+    packed = token_blocks.pack(token_blocks.Block([1, None], np.array([59_000, 1000]), ids, False))
+    assert zlib.crc32(packed) == 3791442431
+    (found,) = token_blocks.unpack(io.BytesIO(packed))
+    assert np.array_equal(found.ids, ids) and found.doc_ids == [1, None]
