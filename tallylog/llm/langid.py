@@ -121,7 +121,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return None
     langs = sorted(found)
     sample = [(k, row) for k, lang in enumerate(langs) for _, row in sorted(found[lang])[:per_lang]]
-    return fit(langs, np.array([k for k, _ in sample]), np.stack([np.frombuffer(row, np.uint8) for _, row in sample]), **options)
+    model = fit(langs, np.array([k for k, _ in sample]), np.stack([np.frombuffer(row, np.uint8) for _, row in sample]), **options)
+    del found, sample
+    let_go()  # the driver has held the sample's wide rows
+    return model
 
 
 def predict_texts(texts: list[bytes | None], model: Model | None) -> tuple[list[str], np.ndarray]:
