@@ -34,6 +34,7 @@ _MIX = 0x9E3779B1
 _RISE, _ZERO = 20, 512
 #: how a state packs the token before a cut, the trie node and the count
 _NODE, _COUNT, _HALF = 20, 12, 1 << 11
+_NODES, _COUNTS = (1 << _NODE) - 1, (1 << _COUNT) - 1
 #: so few runs take their steps one by one
 _FEW = 4
 
@@ -162,22 +163,21 @@ class BpeMachine:
         """Build the transition ``key`` (state << 9 | symbol)."""
         state, symbol = divmod(key, 512)
         made, rise, stay = -1, 0, []
+        below, inner, tokens = self.child.get, self.inner, self.token
         for packed in self.states[state]:
-            before, node, count = (packed >> _NODE + _COUNT) - 1, packed >> _COUNT & (1 << _NODE) - 1, (packed & (1 << _COUNT) - 1) - _HALF
-            child = self.child.get(node << 9 | symbol)
+            child = below((packed >> _COUNT & _NODES) << 9 | symbol)
             if child is None:
                 continue
-            t = self.token[child]
-            if t >= 0 and made < 0 and (before < 0 or self.fits(before, t)):
-                made, rise = t, count + 1
-            if self.inner[child]:
-                stay.append((before, child, count))
+            if made < 0 and (t := tokens[child]) >= 0 and ((before := (packed >> _NODE + _COUNT) - 1) < 0 or self.fits(before, t)):
+                made, rise = t, (packed & _COUNTS) - _HALF + 1
+            if inner[child]:
+                # the same cut and count, one node further
+                stay.append(packed + (child << _COUNT) - (packed & _NODES << _COUNT))
         if made < 0:
             raise ValueError("the merge list does not cover these bytes")
         target = made
         if symbol < 256:
-            rest = [*((b, n, c - rise) for b, n, c in stay), (made, 0, 0)]
-            target = self._numbered(tuple(b + 1 << _NODE + _COUNT | n << _COUNT | c + _HALF for b, n, c in rest))
+            target = self._numbered((*(x - rise for x in stay), made + 1 << _NODE + _COUNT | _HALF))
         if 2 * (self.used + 1) > len(self.keys):
             old = self.keys >= 0
             rows = self.keys[old].tolist(), self.value[old].tolist()
@@ -206,18 +206,23 @@ class BpeMachine:
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Slots of the transitions ``keys``, built if need be."""
-        while True:
-            slots = (keys.view(np.uint32) * np.uint32(_MIX)) >> self.shift
-            off = np.flatnonzero(self.keys[slots] != keys)
-            empty = off[:0]
-            while len(off) and not len(empty):
-                empty = off[self.keys[slots[off]] < 0]
-                slots[off] = (slots[off] + np.uint32(1)) & np.uint32(self.mask)
-                off = off[self.keys[slots[off]] != keys[off]]
-            if not len(empty):
-                return slots
-            for key in np.unique(keys[empty]).tolist():
+        slots = (keys.view(np.uint32) * np.uint32(_MIX)) >> self.shift
+        off, missing = np.flatnonzero(self.keys[slots] != keys), []
+        while len(off):
+            none = self.keys[slots[off]] < 0
+            if none.any():
+                missing.append(off[none])
+                off = off[~none]
+            slots[off] = (slots[off] + np.uint32(1)) & np.uint32(self.mask)
+            off = off[self.keys[slots[off]] != keys[off]]
+        if missing:
+            size, new = len(self.keys), np.concatenate(missing)
+            for key in np.unique(keys[new]).tolist():
                 self._add(key)
+            if len(self.keys) != size:
+                return self._find(keys)  # the table was replaced
+            slots[new] = self._find(keys[new])
+        return slots
 
     # --- running -----------------------------------------------------------------------
 

@@ -61,9 +61,9 @@ class Model:
 
     def refresh(self) -> None:
         """Order-0 frequencies that add up to 2**_FREQ, at least 1 each."""
-        for ids in self.new:
-            self.seen += np.bincount(ids, minlength=self.ids)
-        self.new.clear()
+        if self.new:
+            self.seen += np.bincount(np.concatenate(self.new), minlength=self.ids)
+            self.new.clear()
         spare = (1 << _FREQ) - self.ids
         total = int(self.seen.sum())
         freq = 1 + (self.seen * spare // total if total else np.zeros(self.ids, np.int64))

@@ -167,3 +167,32 @@ def test_bytes_of_a_block_stay_the_same():
     assert zlib.crc32(packed) == 3791442431
     (found,) = token_blocks.unpack(io.BytesIO(packed))
     assert np.array_equal(found.ids, ids) and found.doc_ids == [1, None]
+
+
+def test_a_new_transition_does_not_repeat_the_look_at_known_ones():
+    looks = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            looks.append(np.size(at) if isinstance(at, np.ndarray) else 0)
+            return np.asarray(self).__getitem__(at)
+
+    bpe = BpeMachine(PATH)
+    list(bpe.encode([b"some words and more of them"]))
+    known = np.repeat(np.array([ord("s"), ord("m"), ord("t")], np.int32), 400)
+    assert bpe.keys[bpe._find(known)].tolist() == known.tolist()
+    bpe.keys = bpe.keys.view(Counted)
+    keys = np.append(known, np.int32(ord("q")))
+    slots = bpe._find(keys)
+    assert np.asarray(bpe.keys)[slots].tolist() == keys.tolist()
+    assert 1200 < sum(looks) < 1300
+
+
+def test_a_refresh_counts_all_new_ids_at_once(monkeypatch):
+    model, whole, calls = token_blocks.Model(100, 4), np.bincount, []
+    model.new = [np.array([1, 2, 2, 99], np.int32), np.array([2, 0], np.int32)]
+    monkeypatch.setattr(token_blocks.np, "bincount", lambda *a, **b: calls.append(1) or whole(*a, **b))
+    model.refresh()
+    assert len(calls) == 1 and model.seen[[0, 1, 2, 99]].tolist() == [1, 1, 3, 1] and model.seen.sum() == 6
+    model.refresh()
+    assert len(calls) == 1 and model.seen.sum() == 6 and int(model.freq.sum()) == 1 << 20
