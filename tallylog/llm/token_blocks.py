@@ -14,9 +14,10 @@ each, ordered by a hash of their text; an empty table gives no files and no rows
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
@@ -27,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallylog.llm.bpe_machine import machine
 from tallylog.llm.common import materialise, new_path, text_bytes
+from tallylog.llm.word_ids import word_ids
 
 END = 2
 #: ids a block holds at most, and ids of a lane at most
 BLOCK_IDS, LANE_IDS = 1 << 20, 512
+#: blocks of the same size that are coded together
+TOGETHER = 6
 #: the coder's totals: order-0 frequencies, and the shares of the three orders
 _FREQ, _SHARE = 20, 12
 #: steps between two refreshes of the order-0 frequencies
@@ -40,78 +43,113 @@ _REFRESH = 32
 _ORDER2 = 18
 _MAGIC = b"TLCM"
 _HEAD = struct.Struct("<4sIQIIIIII")
-_TOTAL = np.uint64(1 << (_FREQ + _SHARE))
 _U32, _SHIFT = np.uint64(0xFFFFFFFF), np.uint64(32)
+#: multipliers of the hash of two ids, for the later and the earlier one
+_FIRST, _SECOND = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
 
 
 class Model:
-    """The predictions that the lanes of one block share; the same calls keep it the same for writer and reader."""
+    """The predictions that the lanes of one block share; the same calls keep it the same for writer and reader.
 
-    def __init__(self, ids: int, lanes: int):
-        self.ids = ids
-        self.seen = np.zeros(ids, np.int64)
+    Several blocks may take their steps together, each with tables of its own; ``ids`` has the number of ids of each.
+    """
+
+    def __init__(self, ids: int | list[int], lanes: int):
+        self.ids = [ids] if isinstance(ids, int) else ids
+        blocks, self.none = len(self.ids), max(self.ids)
+        #: each block's places in a table by ids: one more than ids, for predicted ones
+        self.row = self.none + 1
+        self.seen = np.zeros(blocks * self.row, np.int64)
         #: by context of order 1, then by those of order 2, the id that followed and two bits of confidence
-        self.next = np.zeros(ids + 1 + (1 << _ORDER2), np.int32)
-        self.hits = np.tile(np.array([[2, 2, 60]], np.int64), (32, 1))
+        self.next = np.zeros(blocks * (self.row + (1 << _ORDER2)), np.int32)
+        #: how often, by block and context, order 2 was right, order 1 was, and neither
+        self.hits = np.tile(np.array([[2], [2], [60]], np.int64), (blocks, 1, 32))
+        #: where in the range each of the three has its part, and the part's unit
+        self.part, self.unit = np.zeros((2, blocks, 3, 32), np.int64)
         self.steps = 0
-        self.before = np.full(lanes, ids, np.intp)
-        self.before2 = np.full(lanes, ids, np.intp)
+        # where the tables of each lane's block begin
+        block = np.repeat(np.arange(blocks), lanes)
+        self.by_id, self.by_hit, self.by_place = block * self.row, block * 96, block << _FREQ
+        first = block * (self.row + (1 << _ORDER2))
+        self.by_next = np.stack([first, first + self.row])
+        self.before = np.repeat(np.array(self.ids, np.uint32), lanes)
+        #: the id before that, as the hash of two ids takes it
+        self.before2 = self.before * _SECOND
         self.new: list[np.ndarray] = []
         self.refresh()
 
     def refresh(self) -> None:
-        """Order-0 frequencies that add up to 2**_FREQ, at least 1 each."""
+        """Order-0 frequencies that add up to 2**_FREQ in each block, at least 1 each."""
         if self.new:
-            self.seen += np.bincount(np.concatenate(self.new), minlength=self.ids)
+            self.seen += np.bincount(np.concatenate(self.new), minlength=len(self.seen))
             self.new.clear()
-        spare = (1 << _FREQ) - self.ids
-        total = int(self.seen.sum())
-        freq = 1 + (self.seen * spare // total if total else np.zeros(self.ids, np.int64))
-        freq[int(freq.argmax()) if total else 0] += (1 << _FREQ) - int(freq.sum())
-        self.freq = freq.astype(np.uint64)
-        self.cut = np.append(0, np.cumsum(freq)).astype(np.uint64)
+        self.freq, self.cut = np.zeros((2, len(self.seen)), np.uint64)
+        for k, ids in enumerate(self.ids):
+            own = slice(k * self.row, k * self.row + ids)
+            seen, spare = self.seen[own], (1 << _FREQ) - ids
+            total = int(seen.sum())
+            freq = 1 + (seen * spare // total if total else np.zeros(ids, np.int64))
+            freq[int(freq.argmax()) if total else 0] += (1 << _FREQ) - int(freq.sum())
+            self.freq[own] = freq
+            self.cut[own] = np.cumsum(freq) - freq
+        # the part of a predicted id is taken once, from its beginning
+        self.times = self.freq.copy()
+        self.times[self.none :: self.row] = 1
         self.table = None
 
     def symbols(self) -> np.ndarray:
-        """The id at each place of the order-0 range, for the reader."""
+        """The id at each place of the order-0 ranges, for the reader."""
         if self.table is None:
-            self.table = np.repeat(np.arange(self.ids, dtype=np.int32), self.freq.astype(np.int64))
+            ids = np.tile(np.arange(self.row, dtype=np.int32), len(self.ids))
+            self.table = np.repeat(ids, self.freq.astype(np.int64))
         return self.table
 
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Predicted ids of both orders, and the shares of the range that each has, for the first ``n`` lanes."""
+    def predict(self, n: int) -> None:
+        """Look up both orders' ids for the first ``n`` lanes, and the parts of the range by context."""
         if self.steps and self.steps % _REFRESH == 0:
             self.refresh()
         self.steps += 1
         self.n, last = n, self.before[:n]
-        pair = (self.before2[:n].astype(np.uint32) * np.uint32(0x9E3779B1) ^ last.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _ORDER2)
+        pair = last * _FIRST
+        pair ^= self.before2[:n]
+        pair >>= np.uint32(32 - _ORDER2)
         # both orders are looked up at once
-        self.at = np.concatenate([last, pair + np.intp(self.ids + 1)])
+        self.at = np.empty((2, n), np.intp)
+        self.at[0], self.at[1] = last, pair
+        self.at += self.by_next[:, :n]
         self.had = self.next.take(self.at)
-        self.guess, self.sure = self.had >> 2, self.had & 3
-        p1, p2 = self.guess[:n], self.guess[n:]
-        self.context = (self.sure[n:] << 3 | self.sure[:n] << 1 | (p1 == p2)).astype(np.intp)
-        shares = (1 + self.hits[:, :2] * ((1 << _SHARE) - 3) // self.hits.sum(1)[:, None]).T.astype(np.uint64) << np.uint64(_FREQ)
-        return p1, p2, shares[0].take(self.context), shares[1].take(self.context)
-
-    def interval(self, ids: np.ndarray, kind: np.ndarray, w2: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of each lane's part of the range, of 2**(_FREQ + _SHARE) in all."""
-        base = w2 + w1
-        rest = (_TOTAL - base) >> np.uint64(_FREQ)
-        none, second = kind == 2, kind == 1
-        start = np.where(none, base + self.cut.take(ids) * rest, w2 * second)
-        size = np.where(none, self.freq.take(ids) * rest, np.where(second, w1, w2))
-        return start, size
-
-    def update(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        """Take in the ids of this step; ``kind``: 0 where order 2 was right, 1 where order 1 was, else 2."""
-        self.hits += np.bincount(self.context * 3 + kind, minlength=96).reshape(32, 3)
+        self.guess, self.sure = self.had >> 2, self.had.astype(np.int8) & np.int8(3)
+        context = self.sure[1] << 2 | self.sure[0]
+        context <<= 1
+        context |= (self.guess[0] == self.guess[1]).view(np.int8)
+        self.context = context + self.by_hit[:n]
+        self.unit[:, :2] = 1 + self.hits[:, :2] * ((1 << _SHARE) - 3) // self.hits.sum(1, keepdims=True) << _FREQ
+        np.cumsum(self.unit[:, :2], axis=1, out=self.part[:, 1:])
+        self.unit[:, 2] = (1 << _FREQ + _SHARE) - self.part[:, 2] >> _FREQ
+
+    def interval(self, ids: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each lane's part of the range, of 2**(_FREQ + _SHARE) in all; ``kind``: 0 where order 2 is right, 1 where order 1 is, else 2."""
+        self.which = self.context + (kind << 5)
+        own = self.by_id[: self.n] + np.where(kind == 2, ids, np.int32(self.none))
+        unit = self.unit.view(np.uint64).take(self.which)
+        start = self.cut.take(own)
+        start *= unit
+        start += self.part.view(np.uint64).take(self.which)
+        unit *= self.times.take(own)
+        return start, unit
+
+    def update(self, ids: np.ndarray, right: np.ndarray) -> None:
+        """Take in the ids of this step; ``right``: where each order's guess is the id."""
+        self.hits += np.bincount(self.which, minlength=self.hits.size).reshape(self.hits.shape)
         if self.steps % 64 == 0:
             self.hits = np.maximum(self.hits // 2, 1)
-        self.new.append(ids)
-        both = np.concatenate([ids, ids])
-        self.next[self.at] = np.where(self.guess == both, self.had + (self.sure < 3), np.where(self.sure > 0, self.had - 1, both << 2))
-        self.before2[: self.n] = self.at[: self.n]
+        self.new.append(ids + self.by_id[: self.n])
+        # a right guess gains confidence, a wrong one loses it or, if it has none, is replaced
+        step = (right & (self.sure < 3)).view(np.int8) - (~right).view(np.int8)
+        self.had += step
+        np.copyto(self.had, ids << 2, where=(self.sure == 0) > right)
+        self.next[self.at] = self.had
+        np.multiply(self.before[: self.n], _SECOND, out=self.before2[: self.n])
         self.before[: self.n] = ids
 
 
@@ -121,86 +159,106 @@ def _lanes(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
-def encode_ids(ids: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit words of all lanes, one lane after the other, and the number of words of each."""
-    lanes, steps = _lanes(len(ids))
-    padded = np.zeros(lanes * steps, np.int32)
-    padded[: len(ids)] = ids
-    by_step = np.ascontiguousarray(padded.reshape(lanes, steps).T)
+def _active(count: int, step: int, steps: int, blocks: int) -> int:
+    """Lanes that have an id at this step; only blocks whose lanes are all full go together."""
+    return blocks * -(-(count - step) // steps)
+
+
+def encode_ids(ids: np.ndarray, n_ids: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each block, a row of ``ids``: 32-bit words of all lanes, one lane after the other, and the number of words of each."""
+    blocks, count = ids.shape
+    lanes, steps = _lanes(count)
+    padded = np.zeros((blocks, lanes * steps), np.int32)
+    padded[:, :count] = ids
     model = Model(n_ids, lanes)
+    lanes *= blocks
+    by_step = np.ascontiguousarray(padded.reshape(lanes, steps).T)
     low, wide = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     who, words = [], []
 
-    def shift_out(at: np.ndarray) -> None:
-        who.append(at.astype(np.int32))
-        words.append((low[at] >> _SHIFT).astype(np.uint32))
-        low[at] <<= _SHIFT
-        wide[at] <<= _SHIFT
+    def shift_out(at: np.ndarray, lead: np.ndarray) -> None:
+        who.append(at.astype(np.uint16 if lanes <= 1 << 16 else np.int32))
+        words.append((lead >> _SHIFT).astype(np.uint32))
 
     for step in range(steps):
-        n = -(-(len(ids) - step) // steps)
+        n = _active(count, step, steps, blocks)
         now = by_step[step, :n]
-        p1, p2, w2, w1 = model.predict(n)
-        kind = np.where(p2 == now, np.int8(0), np.int8(2) - (p1 == now))
-        start, size = model.interval(now, kind, w2, w1)
+        model.predict(n)
+        right = model.guess == now
+        kind = (np.int8(2) - right[0]) * ~right[1]
+        start, size = model.interval(now, kind)
         unit = wide[:n] >> _SHIFT
-        low[:n] += unit * start
-        wide[:n] = unit * size
+        start *= unit
+        low[:n] += start
+        np.multiply(unit, size, out=wide[:n])
         _renormalise(low, wide, n, shift_out)
-        model.update(now, kind)
-    for _ in range(2):
-        shift_out(np.arange(lanes))
+        model.update(now, right)
+    shift_out(np.arange(lanes), low)
+    shift_out(np.arange(lanes), low << _SHIFT)
     who, words = np.concatenate(who), np.concatenate(words)
     order = np.argsort(who, kind="stable")
-    return words[order], np.bincount(who, minlength=lanes).astype(np.uint32)
+    sizes = np.bincount(who, minlength=lanes).astype(np.uint32).reshape(blocks, -1)
+    return list(zip(np.split(words[order], np.cumsum(sizes.sum(1, dtype=np.int64))[:-1]), sizes, strict=True))
 
 
-def _renormalise(low: np.ndarray, wide: np.ndarray, n: int, shift: object) -> None:
+def _renormalise(low: np.ndarray, wide: np.ndarray, n: int, shift: Callable[[np.ndarray, np.ndarray], None]) -> None:
     """Move out settled leading words; where a carry stays possible, cut the range at the next word's border."""
-    at = np.flatnonzero(((low[:n] ^ (low[:n] + wide[:n])) <= _U32) | (wide[:n] <= _U32))
+    open_ = low[:n] + wide[:n]
+    open_ ^= low[:n]
+    at = np.flatnonzero((open_ <= _U32) | (wide[:n] <= _U32))
     while len(at):
-        short = at[(low[at] ^ (low[at] + wide[at])) > _U32]
+        lead, size = low[at], wide[at]
+        short = np.flatnonzero((lead ^ lead + size) > _U32)
         if len(short):
-            wide[short] = (np.uint64(0) - low[short]) & _U32
-        shift(at)
-        at = at[((low[at] ^ (low[at] + wide[at])) <= _U32) | (wide[at] <= _U32)]
+            size[short] = (np.uint64(0) - lead[short]) & _U32
+        shift(at, lead)
+        lead <<= _SHIFT
+        size <<= _SHIFT
+        low[at], wide[at] = lead, size
+        at = at[((lead ^ lead + size) <= _U32) | (size <= _U32)]
 
 
-def decode_ids(words: np.ndarray, sizes: np.ndarray, count: int, n_ids: int) -> np.ndarray:
+def decode_ids(words: np.ndarray, sizes: np.ndarray, count: int, n_ids: list[int]) -> np.ndarray:
+    """The ids of the blocks whose words follow each other, a row each."""
+    blocks = len(n_ids)
     lanes, steps = _lanes(count)
+    model = Model(n_ids, lanes)
+    lanes *= blocks
     ends = np.cumsum(sizes.astype(np.int64))
     at = ends - sizes
     words = np.append(words, np.uint32(0)).astype(np.uint64)
-    model = Model(n_ids, lanes)
     low, wide = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     code = words[at] << _SHIFT | words[at + 1]
     at += 2
     found = np.zeros((steps, lanes), np.int32)
 
-    def shift_in(who: np.ndarray) -> None:
-        low[who] <<= _SHIFT
-        wide[who] <<= _SHIFT
-        code[who] = code[who] << _SHIFT | words[np.minimum(at[who], len(words) - 1)]
-        at[who] += 1
+    def shift_in(who: np.ndarray, _: np.ndarray) -> None:
+        place = at[who]
+        code[who] = code[who] << _SHIFT | words[np.minimum(place, len(words) - 1)]
+        at[who] = place + 1
 
     for step in range(steps):
-        n = -(-(count - step) // steps)
-        p1, p2, w2, w1 = model.predict(n)
+        n = _active(count, step, steps, blocks)
+        model.predict(n)
         unit = wide[:n] >> _SHIFT
-        value = np.minimum((code[:n] - low[:n]) // unit, _U32)
-        base = w2 + w1
-        kind = 2 - (value < base).astype(np.int8) - (value < w2)
-        place = (value - np.minimum(base, value)) // ((_TOTAL - base) >> np.uint64(_FREQ))
-        now = model.symbols()[np.minimum(place, np.uint64((1 << _FREQ) - 1))]
-        known = np.flatnonzero(kind < 2)
-        now[known] = np.where(kind[known] == 0, p2[known], p1[known])
-        start, size = model.interval(now, kind, w2, w1)
-        low[:n] += unit * start
-        wide[:n] = unit * size
+        value = code[:n] - low[:n]
+        value //= unit
+        np.minimum(value, _U32, out=value)
+        second, base = (model.part.view(np.uint64).take(model.context + 32 * k) for k in (1, 2))
+        guessed = value < base
+        kind = np.int8(2) - guessed - (value < second)
+        now = np.where(kind == 0, model.guess[1], model.guess[0])
+        none = np.flatnonzero(~guessed)
+        place = (value[none] - base[none]) // model.unit.view(np.uint64).take(model.context[none] + 64)
+        now[none] = model.symbols().take(np.minimum(place, np.uint64((1 << _FREQ) - 1)).astype(np.intp) + model.by_place[none])
+        start, size = model.interval(now, kind)
+        start *= unit
+        low[:n] += start
+        np.multiply(unit, size, out=wide[:n])
         _renormalise(low, wide, n, shift_in)
-        model.update(now, kind)
+        model.update(now, model.guess == now)
         found[step, :n] = now
-    return np.ascontiguousarray(found.T).ravel()[:count]
+    return np.ascontiguousarray(found.T).reshape(blocks, -1)[:, :count]
 
 
 @dataclass
@@ -214,32 +272,60 @@ class Block:
 
 def pack(block: Block) -> bytes:
     """The bytes of one block: head, checksum of the head and body, documents, lanes."""
-    ids = np.ascontiguousarray(block.ids, np.uint32)
-    n_ids = int(ids.max()) + 1
-    words, lanes = encode_ids(ids.astype(np.int32), n_ids)
-    docs = zlib.compress(np.array([x or 0 for x in block.doc_ids], np.int64).tobytes() + np.array([x is None for x in block.doc_ids], np.uint8).tobytes() + block.sizes.astype(np.int64).tobytes(), 1)
-    body = docs + zlib.compress(lanes.tobytes(), 1)
-    split = len(docs)
-    body += words.astype("<u4").tobytes()
-    head = _HEAD.pack(_MAGIC, len(block.doc_ids), len(ids), n_ids, split, len(body) - 4 * len(words), len(words), int(block.goes_on), zlib.crc32(ids.astype("<u4")))
-    return head + struct.pack("<I", zlib.crc32(head + body)) + body
+    return next(pack_all(iter([block])))
+
+
+def _together(items: Iterable[object], count: Callable[[object], int]) -> Iterator[list]:
+    """Runs of blocks with as many ids, in lanes that are all full."""
+    run: list = []
+    for item in items:
+        n = count(item)
+        if run and (len(run) == TOGETHER or n != count(run[0]) or math.prod(_lanes(n)) != n):
+            yield run
+            run = []
+        run.append(item)
+    if run:
+        yield run
+
+
+def pack_all(blocks: Iterable[Block]) -> Iterator[bytes]:
+    """The bytes of each block; blocks of the same size are coded together."""
+    for run in _together(blocks, lambda block: len(block.ids)):
+        ids = np.stack([np.asarray(block.ids, np.uint32) for block in run])
+        n_ids = [int(x.max()) + 1 for x in ids]
+        for block, own, n, (words, lanes) in zip(run, ids, n_ids, encode_ids(ids.astype(np.int32), n_ids), strict=True):
+            docs = zlib.compress(np.array([x or 0 for x in block.doc_ids], np.int64).tobytes() + np.array([x is None for x in block.doc_ids], np.uint8).tobytes() + block.sizes.astype(np.int64).tobytes(), 1)
+            body = docs + zlib.compress(lanes.tobytes(), 1)
+            split = len(docs)
+            body += words.astype("<u4").tobytes()
+            head = _HEAD.pack(_MAGIC, len(block.doc_ids), len(own), n, split, len(body) - 4 * len(words), len(words), int(block.goes_on), zlib.crc32(own.astype("<u4")))
+            yield head + struct.pack("<I", zlib.crc32(head + body)) + body
+
+
+def _bodies(stream: object) -> Iterator[tuple[tuple, bytes]]:
+    while head := stream.read(_HEAD.size):
+        fields = _HEAD.unpack(head)
+        (crc,) = struct.unpack("<I", stream.read(4))
+        body = stream.read(fields[5] + 4 * fields[6])
+        if fields[0] != _MAGIC or zlib.crc32(head + body) != crc:
+            raise ValueError("a block fails its checksum")
+        yield fields, body
 
 
 def unpack(stream: object) -> Iterator[Block]:
     """Blocks of a file; a block that fails a checksum raises ValueError."""
-    while head := stream.read(_HEAD.size):
-        magic, n_docs, n, n_ids, split, fixed, n_words, goes_on, ids_crc = _HEAD.unpack(head)
-        (crc,) = struct.unpack("<I", stream.read(4))
-        body = stream.read(fixed + 4 * n_words)
-        if magic != _MAGIC or zlib.crc32(head + body) != crc:
-            raise ValueError("a block fails its checksum")
-        docs, lanes = zlib.decompress(body[:split]), np.frombuffer(zlib.decompress(body[split:fixed]), np.uint32)
-        ids = decode_ids(np.frombuffer(body, "<u4", n_words, fixed), lanes, n, n_ids)
-        if zlib.crc32(ids.astype("<u4")) != ids_crc:
-            raise ValueError("the ids of a block fail their checksum")
-        doc_ids = np.frombuffer(docs, np.int64, n_docs).tolist()
-        null = np.frombuffer(docs, np.uint8, n_docs, 8 * n_docs)
-        yield Block([None if x else d for d, x in zip(doc_ids, null, strict=True)], np.frombuffer(docs, np.int64, n_docs, 9 * n_docs), ids, bool(goes_on))
+    for run in _together(_bodies(stream), lambda item: item[0][2]):
+        lanes = [np.frombuffer(zlib.decompress(body[fields[4] : fields[5]]), np.uint32) for fields, body in run]
+        words = [np.frombuffer(body, "<u4", fields[6], fields[5]) for fields, body in run]
+        found = decode_ids(np.concatenate(words), np.concatenate(lanes), run[0][0][2], [fields[3] for fields, _ in run])
+        for (fields, body), ids in zip(run, found, strict=True):
+            _, n_docs, _, _, split, _, _, goes_on, ids_crc = fields
+            if zlib.crc32(ids.astype("<u4")) != ids_crc:
+                raise ValueError("the ids of a block fail their checksum")
+            docs = zlib.decompress(body[:split])
+            doc_ids = np.frombuffer(docs, np.int64, n_docs).tolist()
+            null = np.frombuffer(docs, np.uint8, n_docs, 8 * n_docs)
+            yield Block([None if x else d for d, x in zip(doc_ids, null, strict=True)], np.frombuffer(docs, np.int64, n_docs, 9 * n_docs), ids, bool(goes_on))
 
 
 def blocks_of(documents: Iterator[tuple[int | None, np.ndarray]], limit: int = BLOCK_IDS) -> Iterator[Block]:
@@ -275,14 +361,14 @@ def write_ids(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id",
 
     def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        bpe = machine(tokenizer)
+        words = word_ids(tokenizer)
         stop = np.array([end], np.int32)
         done = [0, 0]
 
         def documents() -> Iterator[tuple[int | None, np.ndarray]]:
             for batch in rows:
                 doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for doc_id, own in zip(doc_ids, bpe.encode(texts), strict=True):
+                for doc_id, own in zip(doc_ids, words.encode(texts), strict=True):
                     done[0] += 1
                     done[1] += len(own) + 1
                     yield doc_id, np.concatenate([own, stop])
@@ -290,11 +376,11 @@ def write_ids(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id",
         store, folder = _store(path)
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.ids"
         out = None
-        for block in blocks_of(documents(), block_ids):
+        for packed in pack_all(blocks_of(documents(), block_ids)):
             if out is None:
                 store.create_dir(folder, recursive=True)
                 out = store.open_output_stream(f"{folder}/{name}")
-            out.write(pack(block))
+            out.write(packed)
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "file": [f"{path}/{name}"], "n_docs": [done[0]], "n_tokens": [done[1]]}, pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
