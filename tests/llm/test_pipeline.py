@@ -82,3 +82,17 @@ def test_stages_take_odd_tables(spark):
     assert sorted((str(r.doc_id), (r.text or "")[:9]) for r in kept.collect()) == sorted([("1", "the cat a"), ("1", "another t"), ("None", "a text wi"), ("None", ""), ("7", ""), ("8", " 12 34 "), ("9", "word word"), ("10", "é" * 9)])
     ids = corpus_pipeline.token_ids(spark, docs, DATA)
     assert ids.count() == len(rows) and corpus_pipeline.token_ids(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_decontamination_of_batches_that_end_with_a_short_text(spark, tmp_path):
+    """A window that begins after a text's last word reached into the last text of the batch, which stopped the stage."""
+    sf = "/root/testdata/sf0.001"
+    item = read(spark, sf, "benchmark").orderBy("item_id").first().text.split()[:16]
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = read(spark, sf, "documents").select("doc_id", "text").where("text is not null")
+    pairs = [[(10_000 + n, " ".join(f"x{j}" for j in range(n))), (11_000 + n, " ".join(item[4:9]))] for n in (1, 9, 17)]
+    for rows in pairs:
+        docs = docs.union(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    docs = docs.union(spark.createDataFrame([(20_000, " ".join(item))], "doc_id long, text string"))
+    left = {r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()}
+    assert 20_000 not in left and {d for rows in pairs for d, _ in rows} <= left
