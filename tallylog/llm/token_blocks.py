@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallylog.llm.common import materialise, new_path, text_bytes
+from tallylog.llm.common import give_back, let_go, materialise, new_path, text_bytes
 from tallylog.llm.word_ids import word_ids
 
 END = 2
@@ -36,6 +36,8 @@ END = 2
 BLOCK_IDS, LANE_IDS = 1 << 20, 512
 #: blocks of the same size that are coded together
 TOGETHER = 6
+#: rows of a batch that are taken at once
+ROWS = 512
 #: the coder's totals: order-0 frequencies, and the shares of the three orders
 _FREQ, _SHARE = 20, 12
 #: steps between two refreshes of the order-0 frequencies
@@ -168,11 +170,12 @@ def encode_ids(ids: np.ndarray, n_ids: list[int]) -> list[tuple[np.ndarray, np.n
     """For each block, a row of ``ids``: 32-bit words of all lanes, one lane after the other, and the number of words of each."""
     blocks, count = ids.shape
     lanes, steps = _lanes(count)
-    padded = np.zeros((blocks, lanes * steps), np.int32)
-    padded[:, :count] = ids
+    if count < lanes * steps:
+        ids = np.pad(ids, ((0, 0), (0, lanes * steps - count)))
     model = Model(n_ids, lanes)
     lanes *= blocks
-    by_step = np.ascontiguousarray(padded.reshape(lanes, steps).T)
+    by_step = np.ascontiguousarray(ids.reshape(lanes, steps).T)
+    del ids
     low, wide = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     who, words = [], []
 
@@ -291,14 +294,16 @@ def _together(items: Iterable[object], count: Callable[[object], int]) -> Iterat
 def pack_all(blocks: Iterable[Block]) -> Iterator[bytes]:
     """The bytes of each block; blocks of the same size are coded together."""
     for run in _together(blocks, lambda block: len(block.ids)):
-        ids = np.stack([np.asarray(block.ids, np.uint32) for block in run])
-        n_ids = [int(x.max()) + 1 for x in ids]
-        for block, own, n, (words, lanes) in zip(run, ids, n_ids, encode_ids(ids.astype(np.int32), n_ids), strict=True):
+        n_ids = [int(np.max(block.ids)) + 1 for block in run]
+        # what is stacked is let go once it is dealt out to the lanes
+        coded = encode_ids(np.stack([np.asarray(block.ids, np.int32) for block in run]), n_ids)
+        for block, n, (words, lanes) in zip(run, n_ids, coded, strict=True):
+            own = np.asarray(block.ids, "<u4")
             docs = zlib.compress(np.array([x or 0 for x in block.doc_ids], np.int64).tobytes() + np.array([x is None for x in block.doc_ids], np.uint8).tobytes() + block.sizes.astype(np.int64).tobytes(), 1)
             body = docs + zlib.compress(lanes.tobytes(), 1)
             split = len(docs)
             body += words.astype("<u4").tobytes()
-            head = _HEAD.pack(_MAGIC, len(block.doc_ids), len(own), n, split, len(body) - 4 * len(words), len(words), int(block.goes_on), zlib.crc32(own.astype("<u4")))
+            head = _HEAD.pack(_MAGIC, len(block.doc_ids), len(own), n, split, len(body) - 4 * len(words), len(words), int(block.goes_on), zlib.crc32(own))
             yield head + struct.pack("<I", zlib.crc32(head + body)) + body
 
 
@@ -360,6 +365,7 @@ def write_ids(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id",
     dealt = slim.select("doc_id", "text", tie).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         context = TaskContext.get()
         words = word_ids(tokenizer)
         stop = np.array([end], np.int32)
@@ -367,11 +373,12 @@ def write_ids(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id",
 
         def documents() -> Iterator[tuple[int | None, np.ndarray]]:
             for batch in rows:
-                doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for doc_id, own in zip(doc_ids, words.encode(texts), strict=True):
-                    done[0] += 1
-                    done[1] += len(own) + 1
-                    yield doc_id, np.concatenate([own, stop])
+                for k in range(0, batch.num_rows, ROWS):
+                    doc_ids, texts = (column.to_pylist() for column in batch.slice(k, ROWS).columns)
+                    for doc_id, own in zip(doc_ids, words.encode(texts), strict=True):
+                        done[0] += 1
+                        done[1] += len(own) + 1
+                        yield doc_id, np.concatenate([own, stop])
 
         store, folder = _store(path)
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.ids"
@@ -395,6 +402,7 @@ def read_ids(files: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in rows:
             for row in batch.to_pylist():
                 store, where = _store(row["file"])

@@ -2,6 +2,7 @@ import io
 import random
 import subprocess
 import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -196,3 +197,16 @@ def test_a_refresh_counts_all_new_ids_at_once(monkeypatch):
     assert len(calls) == 1 and model.seen[[0, 1, 2, 99]].tolist() == [1, 1, 3, 1] and model.seen.sum() == 6
     model.refresh()
     assert len(calls) == 1 and model.seen.sum() == 6 and int(model.freq.sum()) == 1 << 20
+
+
+def test_blocks_that_are_coded_together_are_held_few_times():
+    rng = np.random.default_rng(12)
+    blocks = [token_blocks.Block([k], np.array([token_blocks.BLOCK_IDS]), rng.integers(0, 300, token_blocks.BLOCK_IDS).astype(np.int32), False) for k in range(token_blocks.TOGETHER)]
+    size = sum(block.ids.nbytes for block in blocks)
+    tracemalloc.start()
+    packed = list(token_blocks.pack_all(iter(blocks)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * size, peak / size
+    back = list(token_blocks.unpack(io.BytesIO(b"".join(packed))))
+    assert all(np.array_equal(a.ids, b.ids) for a, b in zip(blocks, back, strict=True))
